@@ -28,3 +28,23 @@ def load_all() -> None:
     from pathlib import Path
     for p in sorted(Path(__file__).parent.glob("*_queries.py")):
         import_module(f"popweave.catalog.{p.stem}")
+
+
+def r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    """Round result columns at the edge of a query."""
+    from pyspark.sql import functions as F
+    for c in cols:
+        df = df.withColumn(c, F.round(F.col(c), digits))
+    return df
+
+
+def located(t: Tables, name: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """Stand-in coordinates: key modulo plus a hash draw."""
+    from pyspark.sql import functions as F
+    from popweave.functions.draws import draw
+    return (getattr(t, name).withColumn("x", F.col(key) % 97 + draw("x", key)).withColumn("y", F.col(key) % 89 + draw("y", key)))
+
+
+def located_sql(name: str = "customer", key: str = "c_custkey") -> str:
+    from popweave.functions.draws import draw_sql
+    return f"(SELECT *, {key} % 97 + {draw_sql('x', key)} AS x, {key} % 89 + {draw_sql('y', key)} AS y FROM {name})"
