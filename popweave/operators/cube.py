@@ -40,22 +40,23 @@ def one_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1)
 
 
-def margins(df: DataFrame, blocks: Sequence[Sequence[str]], value: Column | None = None) -> DataFrame:
-    """(block, cell, n) over every block of attributes.
+def margins(df: DataFrame, blocks: Sequence[Sequence[str]], values: dict[str, Column] | None = None) -> DataFrame:
+    """(block, cell, n) over every block of attributes; ``values`` names other sums than the row count.
 
     Rows are first reduced to full cells, so the grouping sets multiply cells, not rows.
     """
     names = sorted({c for b in blocks for c in b})
-    full = df.groupBy(*names).agg((F.count("*") if value is None else F.sum(value)).alias("__n"))
+    sums = {n: F.sum(v) for n, v in values.items()} if values else {"n": F.count("*")}
+    full = df.groupBy(*names).agg(*[e.alias(n) for n, e in sums.items()])
     sets = [[F.col(c) for c in b] for b in blocks]
     gid = F.grouping_id(*names)
-    g = full.groupingSets(sets, *names).agg(F.sum("__n").alias("n"), gid.alias("__g"))
+    g = full.groupingSets(sets, *names).agg(*[F.sum(n).alias(n) for n in sums], gid.alias("__g"))
     code = lambda b: sum(1 << (len(names) - 1 - i) for i, c in enumerate(names) if c not in b)
     block = reduce(lambda acc, b: acc.when(F.col("__g") == code(b), F.lit("*".join(b))), blocks[1:],
                    F.when(F.col("__g") == code(blocks[0]), F.lit("*".join(blocks[0]))))
     cell = reduce(lambda acc, b: acc.when(F.col("__g") == code(b), cell_key(b)), blocks[1:],
                   F.when(F.col("__g") == code(blocks[0]), cell_key(blocks[0])))
-    return g.select(block.alias("block"), cell.alias("cell"), "n")
+    return g.select(block.alias("block"), cell.alias("cell"), *sums)
 
 
 def all_subsets(names: Sequence[str], k: int) -> list[list[str]]:

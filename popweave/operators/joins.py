@@ -180,7 +180,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, pid: str, poly: str
 def nearest_facility(points: DataFrame, facilities: DataFrame, pid: str, fid: str, grid: float, extent: float) -> DataFrame:
     """Exact nearest facility by planar distance: (pid, fid, distance).
 
-    Level k looks into the 3 x 3 cells of side grid * 2^k; an answer no farther than one side
+    Level k looks into the 3 x 3 cells of side grid * 3^k; an answer no farther than one side
     is final, the other points go to the next level. The last level spans ``extent``.
     Facilities at the same place are one candidate.
     """
@@ -201,7 +201,7 @@ def nearest_facility(points: DataFrame, facilities: DataFrame, pid: str, fid: st
         got = best.filter(F.col("distance") <= side)
         done.append(got)
         left = left.join(got.select(pid), pid, "left_anti")
-        side *= 2
+        side *= 3
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
