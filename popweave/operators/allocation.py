@@ -16,6 +16,7 @@ from popweave.operators.aggregates import with_totals
 from popweave.operators.joins import fallback_level
 from popweave.plans.intervals import cumulative_table, pick
 from popweave.plans.ranking import join_keys, magnitude_slice, rank_by_draw, running_total
+from popweave.session import cut_lineage
 
 
 def apportion(weights: DataFrame, totals: DataFrame, cell: Sequence[str], category: str, weight: str, n: str = "n", out: str = "k") -> DataFrame:
@@ -77,8 +78,8 @@ def assign_section(people: DataFrame, weights: DataFrame, cell: Sequence[str], s
 
 def two_stage(people: DataFrame, area_weights: DataFrame, area_cell: Sequence[str], area: str, item_weights: DataFrame,
               item_cell: Sequence[str], item: str, weight: str, key: str) -> DataFrame:
-    """Area first, then the item inside (area, item cell)."""
-    a = allocate(people, area_weights, area_cell, area, weight, key, area)
+    """Area first, then the item inside (area, item cell). The first stage is written once: the second reads it several times."""
+    a = cut_lineage(allocate(people, area_weights, area_cell, area, weight, key, area))
     return allocate(a, item_weights, item_cell, item, weight, key, item)
 
 
@@ -96,7 +97,7 @@ def assign_age(people: DataFrame, block_weights: DataFrame, years: DataFrame, se
     ``years(sex, age, w)``; ages inside the block and the band are allowed.
     """
     blocks = block_weights.groupBy(section, sex, band, "block").agg(F.sum("w").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    a = allocate(people, blocks, [section, sex, band], "block", "w", key, "age-block")
+    a = cut_lineage(allocate(people, blocks, [section, sex, band], "block", "w", key, "age-block"))
     spans = blocks.select(band, "block", "lo", "hi").distinct()
     yw = (spans.withColumn("age", F.explode(F.sequence("lo", "hi"))).join(years, "age").groupBy(sex, band, "block", "age").agg(F.sum("w").alias("w")))
     return allocate(a, yw, [sex, band, "block"], "age", "w", key, "age-year")
@@ -168,8 +169,10 @@ def draw_with_fallback(people: DataFrame, steps: Sequence[tuple[str, DataFrame,
             r = table.select(*cell).distinct().withColumnsRenamed({c: f"__r_{c}" for c in cell})
             cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cell])
             hit, rest = rest.join(r, cond, "left_semi"), rest.join(r, cond, "left_anti")
-        done.append(weighted_draw(hit, table, cell, value, key, channel, weight).withColumn("chain", F.lit(">".join(chain))))
         if not cell:
+            hit, table, cell = hit.withColumn("__all", F.lit(1)), table.withColumn("__all", F.lit(1)), ["__all"]
+        done.append(weighted_draw(hit, table, cell, value, key, channel, weight).withColumn("chain", F.lit(">".join(chain))).drop("__all"))
+        if cell == ["__all"]:
             break
     return reduce(lambda a, b: a.unionByName(b), done)
 

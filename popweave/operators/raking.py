@@ -30,9 +30,11 @@ def rake_two(cells: DataFrame, value: str, rows: Sequence[str], cols: Sequence[s
     """Fit cells to two margins. Shared key columns in ``rows`` and ``cols`` make strata that rake together.
 
     Targets are ``(keys..., target)``. Without ``tolerance`` exactly ``sweeps`` sweeps are run. With it, the
-    largest row miss is looked at every ``cut_every`` sweeps.
+    largest row miss is looked at every ``cut_every`` sweeps. Cells and targets are written once at the
+    start, because every sweep reads them again.
     """
     m = F.col(value).cast("double")
+    cells, row_target, col_target = cut_lineage(cells), cut_lineage(row_target), cut_lineage(col_target)
     col_f = None
     for i in range(1, sweeps + 1):
         d = cells if col_f is None else join_keys(cells, col_f.withColumnRenamed("__f", "__fc"), list(cols))
@@ -119,6 +121,8 @@ def rake_blocks(lattice: DataFrame, blocks: Sequence[tuple[Sequence[str], DataFr
     block scales its cells to alpha; cells the block does not list share the rest, 1 - sum(alpha). The start
     is uniform on the allowed lattice. Factors are written after every pass.
     """
+    lattice = cut_lineage(lattice)
+    blocks = [(attrs, cut_lineage(alpha)) for attrs, alpha in blocks]
     size = lattice.count()
     base = 1.0 / size
     factors: list[DataFrame | None] = [None] * len(blocks)

@@ -45,19 +45,19 @@ def running_total(df: DataFrame, keys: Key, order: Sequence[Column], slice_: Col
                   out: str, inclusive: bool = True) -> DataFrame:
     """Running sum of ``value`` inside ``keys`` ordered by ``order``.
 
-    ``slice_`` must never decrease along ``order``. ``order`` must be total.
+    ``slice_`` must never decrease along ``order``. ``order`` must be total. Group and slice travel
+    as one struct: equality on it is null-safe, and the join reuses the window's partitioning.
     """
-    k = [*keys, "__s"]
-    marked = df.withColumn("__s", slice_).withColumn("__v", value)
-    before = W.partitionBy(*keys).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (marked.groupBy(*k).agg(F.sum("__v").alias("__t"))
-               .select(*k, F.sum("__t").over(before).alias("__o")))
-    inside = W.partitionBy(*k).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    got = join_keys(marked.withColumn("__i", F.sum("__v").over(inside)), offsets, k)
+    marked = df.withColumn("__v", value).withColumn("__g", F.struct(*keys, slice_.alias("__s")))
+    before = W.partitionBy(*[f"__g.{k}" for k in keys]).orderBy("__g.__s").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (marked.groupBy("__g").agg(F.sum("__v").alias("__t"))
+               .select("__g", F.sum("__t").over(before).alias("__o")))
+    inside = W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    got = marked.withColumn("__i", F.sum("__v").over(inside)).join(offsets, "__g")
     total = F.col("__i") + F.coalesce(F.col("__o"), F.lit(0))
     if not inclusive:
         total = total - F.col("__v")
-    return got.withColumn(out, total).drop("__s", "__v", "__i", "__o")
+    return got.withColumn(out, total).drop("__g", "__v", "__i", "__o")
 
 
 def rank_by_draw(df: DataFrame, keys: Key, draw_col: str, ties: Key, out: str = "rank") -> DataFrame:
@@ -70,13 +70,12 @@ def rank_by_draw(df: DataFrame, keys: Key, draw_col: str, ties: Key, out: str =
 def rank_by_value(df: DataFrame, keys: Key, value: str, tie: str, out: str = "rank") -> DataFrame:
     """1-based rank by (value, tie); equal values are counted first, so a value that
     holds most rows is still split by the numeric ``tie``."""
-    k = [*keys, value, "__ts"]
-    marked = df.withColumn("__ts", magnitude_slice(F.col(tie)))
-    groups = marked.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
-    base = running_total(groups, keys, [F.col(value), F.col("__ts")], magnitude_slice(F.col(value)),
-                         F.col("__n"), "__base", inclusive=False).select(*k, "__base")
-    inner = marked.withColumn("__i", F.row_number().over(W.partitionBy(*k).orderBy(tie)))
-    return join_keys(inner, base, k).withColumn(out, F.col("__base") + F.col("__i")).drop("__ts", "__i", "__base")
+    marked = df.withColumn("__h", F.struct(*keys, value, magnitude_slice(F.col(tie)).alias("__ts")))
+    groups = marked.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).select("__h", "__n", *[f"__h.{k}" for k in keys])
+    base = running_total(groups, keys, [F.col(f"__h.{value}"), F.col("__h.__ts")], magnitude_slice(F.col(f"__h.{value}")),
+                         F.col("__n"), "__base", inclusive=False).select("__h", "__base")
+    inner = marked.withColumn("__i", F.row_number().over(W.partitionBy("__h").orderBy(tie)))
+    return inner.join(base, "__h").withColumn(out, F.col("__base") + F.col("__i")).drop("__h", "__i", "__base")
 
 
 def average_rank(df: DataFrame, keys: Key, value: str, out: str = "rank") -> DataFrame:
@@ -119,12 +118,11 @@ def previous_value(df: DataFrame, keys: Key, value: str, tie: str, carry: Sequen
 
     The first row of a slice takes the last row of the nearest earlier slice.
     """
-    k = [*keys, "__s"]
-    marked = df.withColumn("__s", magnitude_slice(F.col(value)))
+    marked = df.withColumn("__g", F.struct(*keys, magnitude_slice(F.col(value)).alias("__s")))
     packed = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    last = marked.groupBy(*k).agg(F.max(packed).alias("__l"))
-    last = last.select(*k, F.lag("__l").over(W.partitionBy(*keys).orderBy("__s")).alias("__p"))
-    inside = W.partitionBy(*k).orderBy(value, tie)
-    got = join_keys(marked.withColumn("__q", F.lag(packed).over(inside)), last, k)
+    last = marked.groupBy("__g").agg(F.max(packed).alias("__l"))
+    last = last.select("__g", F.lag("__l").over(W.partitionBy(*[f"__g.{k}" for k in keys]).orderBy("__g.__s")).alias("__p"))
+    inside = W.partitionBy("__g").orderBy(value, tie)
+    got = marked.withColumn("__q", F.lag(packed).over(inside)).join(last, "__g")
     src = F.coalesce(F.col("__q"), F.col("__p"))
     return got.select(*df.columns, *[src[f"c_{c}"].alias(f"prev_{c}") for c in carry])
