@@ -162,8 +162,7 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
              .select(section, "hh", F.substring(F.col("signature"), F.col("pos"), F.lit(1)).alias("role"),
                      F.concat_ws("#", "hh", "pos").alias("slot"), F.contains(F.col("signature"), F.lit("F")).alias("kids"),
                      F.contains(F.col("signature"), F.lit("P")).alias("couple")))
-    slots, everyone = cut_lineage(slots), cut_lineage(persons.select(section, "uid", "age", "male", "status"))
-    free = everyone
+    slots, free = cut_lineage(slots), cut_lineage(persons.select(section, "uid", "age", "male", "status"))
     placed: list[DataFrame] = []
 
     def take(open_slots, tier, keys, s_cols, p_cols, accept, channel, pool=F.lit(True)):
@@ -175,8 +174,7 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
             p = p.withColumn(n, c)
         got = cut_lineage(_match(s, p, [section, *keys], accept, channel).withColumn("tier", F.lit(tier)))
         placed.append(got)
-        gone = reduce(lambda a, b: a.unionByName(b), [x.select("uid") for x in placed])
-        free = everyone.join(gone, "uid", "left_anti")
+        free = cut_lineage(free.join(got.select("uid"), "uid", "left_anti"))
         return open_slots.join(got.select("slot"), "slot", "left_anti")
 
     yes = F.lit(True)
