@@ -5,6 +5,7 @@ from popweave.catalog import query, r
 from popweave.catalog.aggregate_queries import COL, CUBE, constraint_cube, cust
 from popweave.functions.draws import draw_sql
 from popweave.operators import aggregates as A, cube as C, distances as D, windows as X
+from popweave.session import cut_lineage
 
 LP = "lineitem JOIN part ON l_partkey = p_partkey"
 
@@ -33,7 +34,7 @@ c AS (SELECT 'l_returnflag' AS conditioner, l_returnflag AS value, p_type AS cat
 m AS (SELECT cat, n / sum(n) OVER () AS q FROM (SELECT p_type AS cat, count(*) AS n FROM d GROUP BY 1)),
 v AS (SELECT DISTINCT conditioner, value FROM c), x AS (SELECT v.conditioner, v.value, m.cat, q, coalesce(n, 0) AS n FROM v CROSS JOIN m LEFT JOIN c ON c.conditioner = v.conditioner AND c.value = v.value AND c.cat = m.cat),
 s AS (SELECT *, sum(n) OVER (PARTITION BY conditioner, value) AS t FROM x),
-p AS (SELECT conditioner, value, sum(n) AS n, count(*) FILTER (n > 0) AS support, sum(abs(n / t - q)) / 2 AS tvd, '' AS note FROM s GROUP BY ALL) """
+p AS (SELECT conditioner, value, sum(n) AS n, count(*) FILTER (n > 0) AS support, CASE WHEN count(*) FILTER (n > 0) >= 0.5 * count(*) THEN sum(abs(n / t - q)) / 2 END AS tvd, CASE WHEN count(*) FILTER (n > 0) >= 0.5 * count(*) THEN '' ELSE 'supports too different' END AS note FROM s GROUP BY ALL) """
 
 
 def profile(t):
@@ -46,7 +47,7 @@ def _(t):
     return r(profile(t), "tvd")
 
 
-@query("ds3_conditioner_ranking", PROFILE + "SELECT conditioner, count(*) AS cells, round(min(tvd), 6) AS min, round(median(tvd), 6) AS median, round(max(tvd), 6) AS max, 0::BIGINT AS unmeasured FROM p GROUP BY 1")
+@query("ds3_conditioner_ranking", PROFILE + "SELECT conditioner, count(*) AS cells, round(min(tvd), 6) AS min, round(median(tvd), 6) AS median, round(max(tvd), 6) AS max, count(*) FILTER (tvd IS NULL) AS unmeasured FROM p GROUP BY 1")
 def _(t):
     return r(D.conditioner_ranking(profile(t)), "min", "median", "max")
 
@@ -54,7 +55,7 @@ def _(t):
 @query("ds4_independence_gap", f"""
 WITH c AS (SELECT l_returnflag AS k, p_type AS x, p_size // 10 AS y, count(*)::DOUBLE AS c FROM {LP} GROUP BY ALL),
 g AS (SELECT k, x, y, c, sum(c) OVER (PARTITION BY k, x) AS cx, sum(c) OVER (PARTITION BY k, y) AS cy, sum(c) OVER (PARTITION BY k) AS n FROM c)
-SELECT k, round(sum(abs(c / n - cx * cy / n / n)) / 2, 6) AS tvd, count(*) AS cells FROM g GROUP BY 1""")
+SELECT k, round((sum(abs(c / n - cx * cy / n / n)) + greatest(1 - sum(cx * cy / n / n), 0)) / 2, 6) AS tvd, count(*) AS cells FROM g GROUP BY 1""")
 def _(t):
     d = lp(t).select(COL("l_returnflag").alias("k"), COL("p_type").alias("x"), F.floor(COL("p_size") / 10).alias("y"))
     return r(D.independence_gap(d, "x", "y", ["k"]), "tvd")
@@ -236,7 +237,7 @@ def _(t):
     m = (t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k"))
          .distinct().withColumn("all", F.lit(1)))
     perm = D.permuted_units(m, ["all"], "u", "k", "id", 3).select("replicate", "u", "k", "n")
-    cells = perm.unionByName(m.groupBy("u", "k").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5)
+    cells = cut_lineage(perm.unionByName(m.groupBy("u", "k").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
     def net(level):
         mi = D.information(cells, level, "k", "n", ["replicate"])
         med = X.quantiles(mi.filter("replicate > 0"), [], "mi", {"m": 0.5})

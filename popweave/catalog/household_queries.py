@@ -5,6 +5,7 @@ from popweave.catalog import query, r
 from popweave.catalog.aggregate_queries import COL
 from popweave.functions.draws import draw, draw_sql
 from popweave.operators import households as H, allocation as L
+from popweave.operators.aggregates import beside
 from popweave.operators.distances import tvd
 
 ROLE = "['R', 'P', 'F', 'F', 'F', 'G', 'A']"
@@ -146,7 +147,7 @@ def _(t):
     o = over.agg(n(F.coalesce(COL("got") > F.length("signature"), F.lit(True))).alias("slots_over"), n(COL("refs") != 1).alias("extra_references"))
     d = a.agg((F.count("*") - F.countDistinct("uid")).alias("placed_twice"))
     lost = a.join(p, "uid", "left_anti").agg(F.count("*"))
-    return k.select("*", *[o.select(c).scalar().alias(c) for c in ("slots_over", "extra_references")], d.scalar().alias("placed_twice"), lost.scalar().alias("lost_or_invented"))
+    return beside(beside(beside(k, o), d), lost.toDF("lost_or_invented"))
 
 
 @query("hh7_couple_coherence", f"""WITH {MEM}, g AS (SELECT hh, count(*) AS n, bool_or(role = 'R' AND status = 'N') AS rm, bool_or(role = 'P' AND status = 'N') AS pm FROM m GROUP BY 1)

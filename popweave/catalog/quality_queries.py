@@ -105,7 +105,7 @@ def _(t):
 
 
 GATE = """WITH d AS (SELECT o_orderstatus AS "table", o_custkey % 30 AS place, year(o_orderdate) AS y, CASE WHEN o_custkey % 30 = 4 THEN -1 WHEN o_custkey % 30 = 6 THEN NULL ELSE 1 END AS v, o_custkey % 30 = 8 AND o_orderkey % 2 = 0 AS els FROM orders WHERE NOT (o_custkey % 30 = 2 AND o_orderstatus = 'P')),
-g AS (SELECT "table", place, count(*) AS rows, count(v) AS nm, count(*) FILTER (v < 0) AS neg, count(*) FILTER (els) AS els, sum(v) AS s, sum(v) FILTER (y = 2001) AS latest FROM d GROUP BY ALL), e AS (SELECT st AS "table", pl AS place, 20.0::DOUBLE AS pop FROM (VALUES ('F'), ('O'), ('P')) a(st), range(0, 30) b(pl)),
+g AS (SELECT "table", place, count(*) AS rows, count(v) AS nm, count(*) FILTER (v < 0) AS neg, count(*) FILTER (els) AS els, sum(v) AS s, any_value(lt) AS latest FROM (SELECT *, sum(v) OVER (PARTITION BY "table", place, y) AS sy, max(y) OVER (PARTITION BY "table", place) AS my FROM d) d LEFT JOIN (SELECT "table" AS t2, place AS p2, arg_max(s, y) AS lt FROM (SELECT "table", place, y, sum(v) AS s FROM d GROUP BY ALL) WHERE s IS NOT NULL GROUP BY ALL) ON t2 = "table" AND p2 = place GROUP BY ALL), e AS (SELECT st AS "table", pl AS place, 20.0::DOUBLE AS pop FROM (VALUES ('F'), ('O'), ('P')) a(st), range(0, 30) b(pl)),
 rl AS (SELECT 'F' AS "table", 160 AS floor, 175 AS ceiling, NULL AS multiple UNION ALL SELECT 'O', NULL, NULL, 3 UNION ALL SELECT 'P', 1, 100000, NULL)
 SELECT e."table", e.place, CASE WHEN rows IS NULL THEN 'C1: absent or empty' WHEN rows % multiple <> 0 THEN 'C2: ' || rows || ' rows, not a multiple of 3' WHEN rows > ceiling THEN 'C2: ' || rows || ' rows above ' || ceiling WHEN rows < floor THEN 'C2: ' || rows || ' rows below ' || floor
  WHEN els > 0 THEN 'C3: ' || els || ' rows of another territory' WHEN nm = 0 OR neg > 0 OR coalesce(s, 0) <= 0 THEN 'C4: ' || neg || ' negative' WHEN abs((latest - pop) / pop) > 1.6 / sqrt(pop) THEN 'C5: latest total off' ELSE 'ok' END AS verdict FROM e LEFT JOIN g ON g."table" = e."table" AND g.place = e.place LEFT JOIN rl ON rl."table" = e."table" """
@@ -254,11 +254,11 @@ def _(t):
     return tagged(t)[1]
 
 
-PUB = "WITH c AS (SELECT c_nationkey AS k, 'mean' AS metric, round(avg(c_acctbal), 2) AS value FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'n', count(*)::DOUBLE FROM customer GROUP BY 1), p AS (SELECT k, metric, value + CASE WHEN k % 7 = 0 THEN 0.3 WHEN k % 7 = 1 THEN 40 ELSE 0 END AS value FROM c) "
+PUB = "WITH c AS (SELECT c_nationkey AS k, 'mean' AS metric, floor(avg(c_acctbal)) AS value FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'n', count(*)::DOUBLE FROM customer GROUP BY 1), p AS (SELECT k, metric, value + CASE WHEN k % 7 = 0 THEN 0.3 WHEN k % 7 = 1 THEN 40 ELSE 0 END AS value FROM c) "
 
 
 def pub(t):
-    g = t.customer.groupBy(COL("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 2).alias("mean"), F.count("*").cast("double").alias("n"))
+    g = t.customer.groupBy(COL("c_nationkey").alias("k")).agg(F.floor(F.avg("c_acctbal")).cast("double").alias("mean"), F.count("*").cast("double").alias("n"))
     return g.unpivot(["k"], ["mean", "n"], "metric", "value")
 
 

@@ -20,12 +20,13 @@ from popweave.plans.ranking import join_keys, quantiles
 def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Add one column per aggregate of ``totals`` taken over ``keys`` (whole table when empty)."""
     agg = df.groupBy(*keys).agg(*[e.alias(n) for n, e in totals.items()])
-    if keys:
-        return join_keys(df, agg, list(keys))
-    out = df
-    for n in totals:
-        out = out.withColumn(n, agg.select(n).scalar())
-    return out
+    return join_keys(df, agg, list(keys)) if keys else beside(df, agg)
+
+
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row frame next to every row: one scalar subquery, evaluated once."""
+    s = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumns({c: s[c] for c in one_row.columns})
 
 
 def share_of(part: Column, whole: Column) -> Column:
@@ -203,8 +204,7 @@ def signature_reuse(df: DataFrame, columns: Sequence[str], cell: str) -> DataFra
     top = m.groupBy().agg(F.max(F.struct("m", "sig")).alias("t")).select(F.col("t.sig").alias("heaviest"))
     g = m.agg(F.count("*").alias("signatures"), F.avg("m").alias("mean"), F.min("m").alias("min"), F.max("m").alias("max"),
               F.sum((F.col("m") == 1).cast("bigint")).alias("singletons"), F.avg((F.col("cells") == 1).cast("double")).alias("one_cell"))
-    return (g.withColumn("median", q.select("q50").scalar()).withColumn("q90", q.select("q90").scalar())
-            .withColumn("heaviest", top.scalar()))
+    return beside(beside(g, q.withColumnRenamed("q50", "median")), top)
 
 
 def correlation_gap(a: DataFrame, b: DataFrame, variables: Sequence[str], least: int = 100) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from popweave.functions import fixed_values as V
 from popweave.functions.draws import draw
-from popweave.operators.aggregates import share_of, with_totals
+from popweave.operators.aggregates import beside, share_of, with_totals
 from popweave.operators.cube import all_subsets, margins
 from popweave.plans.intervals import cumulative_table, pick
 from popweave.plans.ranking import join_keys, quantiles, rank_by_draw
+from popweave.session import cut_lineage
 
 LEAST_SUPPORT = 0.5
 
@@ -176,12 +177,15 @@ def permuted_units(members: DataFrame, base: Sequence[str], unit: str, category:
 
 
 def against_null(observed: Column, null: DataFrame, value: str) -> DataFrame:
-    """Excess, z and p of an observed statistic over its replicates, with the null's centre and p95."""
+    """Excess, z and p of an observed statistic over its replicates, with the null's centre and p95.
+
+    The replicates are written once (one row each), because the statistics below read them several times.
+    """
+    null = cut_lineage(null)
     q = quantiles(null, [], value, {"median": 0.5, "p95": 0.95})
     g = null.withColumn("__o", observed).agg(F.max("__o").alias("observed"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
              F.sum((F.col(value) >= F.col("__o")).cast("bigint")).alias("__ge"), F.count("*").alias("replicates"))
-    return (g.withColumn("median", q.select("median").scalar()).withColumn("p95", q.select("p95").scalar())
-            .withColumn("excess", F.col("observed") - F.col("median")).withColumn("z", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")))
+    return (beside(g, q).withColumn("excess", F.col("observed") - F.col("median")).withColumn("z", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")))
             .withColumn("p", (1 + F.col("__ge")) / (1 + F.col("replicates"))).drop("__ge"))
 
 

@@ -27,7 +27,8 @@ def zone_geometry(points: DataFrame, zone: str, lon: str = "lon", lat: str = "la
     One pass of sums: the radius is E|x|^2 - |E x|^2.
     """
     c = points.agg(F.avg(lon).alias("lon0"), F.avg(lat).alias("lat0"))
-    lon0, lat0 = c.select("lon0").scalar(), c.select("lat0").scalar()
+    s = c.select(F.struct("lon0", "lat0")).scalar()
+    lon0, lat0 = s["lon0"], s["lat0"]
     d = points.withColumn("__x", (F.col(lon) - lon0) * F.lit(KM_LON) * F.cos(F.radians(lat0))).withColumn("__y", (F.col(lat) - lat0) * F.lit(KM_LAT))
     g = d.groupBy(zone).agg(F.count("*").alias("points"), F.avg("__x").alias("east_km"), F.avg("__y").alias("north_km"),
                             F.avg(F.col("__x") * F.col("__x") + F.col("__y") * F.col("__y")).alias("__q"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from popweave.functions import fixed_values as V
 from popweave.functions.draws import draw
-from popweave.operators.aggregates import with_totals
+from popweave.operators.aggregates import beside, with_totals
 from popweave.operators.allocation import weighted_draw
 from popweave.operators.windows import consecutive_gaps
 from popweave.plans.ranking import join_keys, quantiles, rank_by_draw, running_total
@@ -75,7 +75,7 @@ def repertoire_validity(rep: DataFrame, tail: DataFrame, tol: float = 0.005) ->
     s = rep.groupBy("size").agg(F.sum("share").alias("t"), F.bool_and(F.col("share").isNotNull() & ~F.isnan("share") & (F.col("share") >= 0)).alias("ok"))
     a = s.agg(F.bool_and(F.abs(F.col("t") - 1) <= tol).alias("sums_to_one"), F.bool_and("ok").alias("non_negative"))
     b = tail.agg(F.bool_and(F.col("size") > V.LARGEST_CENSUS_SIZE).alias("tail_above_census"), (F.abs(F.sum("share") - 1) <= tol).alias("tail_sums_to_one"))
-    return a.select("sums_to_one", "non_negative", b.select("tail_above_census").scalar().alias("tail_above_census"), b.select("tail_sums_to_one").scalar().alias("tail_sums_to_one"))
+    return beside(a, b)
 
 
 def size_constraints(sections: DataFrame, sizes: Sequence[str], persons: str) -> DataFrame:
@@ -184,8 +184,7 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
     rest = take(r.filter("kids"), 0, ["c"], {"c": F.col("couple").cast("int")}, {"c": (F.col("status") != widowed).cast("int")},
                 yes, "R0", F.col("age").between(25, 60))
     rest = rest.unionByName(r.filter("not kids"))
-    rest = take(rest.filter("couple"), 0, [], {}, {}, yes, "R1", adult & (F.col("status") != widowed)).unionByName(rest.filter("not couple"))
-    rest = take(rest.filter("not couple"), 0, [], {}, {}, yes, "R2", adult & (F.col("status") == widowed)).unionByName(rest.filter("couple"))
+    rest = take(rest, 0, ["c"], {"c": F.col("couple").cast("int")}, {"c": (F.col("status") != widowed).cast("int")}, yes, "R1", adult)
     rest = take(rest, 1, [], {}, {}, yes, "R3", adult)
     take(rest, 2, [], {}, {}, yes, "R4")
     ref = cut_lineage(reduce(lambda a, b: a.unionByName(b), placed).select("hh", F.col("age").alias("ra"), F.col("male").alias("rm"), F.col("status").alias("rs")))
@@ -225,7 +224,7 @@ def assembly_summary(placed: DataFrame, persons: DataFrame, households: DataFram
     s = h.agg(F.count("*").alias("households"), F.avg(((F.coalesce(F.col("got"), F.lit(0)) == F.col("n")) & (F.col("tier") == 0)).cast("double")).alias("perfect"),
               F.avg("n").alias("mean_size"))
     total, in_ = persons.agg(F.count("*")).scalar(), placed.agg(F.count("*")).scalar()
-    return s.select("households", F.coalesce("perfect", F.lit(0.0)).alias("perfect"), "mean_size", (1 - in_ / total).alias("unplaced"), *[q.select(c).scalar().alias(c) for c in ("g05", "g50", "g95")])
+    return s.select("households", F.coalesce("perfect", F.lit(0.0)).alias("perfect"), "mean_size", (1 - in_ / total).alias("unplaced")).transform(lambda x: beside(x, q))
 
 
 # ------------------------------------------------------------------ audits

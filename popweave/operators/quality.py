@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from popweave.functions import fixed_values as V
-from popweave.operators.aggregates import with_totals
+from popweave.operators.aggregates import beside, with_totals
 from popweave.plans.ranking import join_keys, quantiles
 
 _n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
@@ -37,7 +37,7 @@ def fingerprint(table: DataFrame, keys: Sequence[str] = (), key: str = "chiave",
     head = best.groupBy(*keys).agg(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda s: s[key])).alias("head"))
     if keys:
         return g.join(q, list(keys)).join(head, list(keys))
-    return g.select("*", *[q.select(c).scalar().alias(c) for c in q.columns], head.scalar().alias("head"))
+    return beside(beside(g, q), head)
 
 
 def instance_drift(now: DataFrame, stored: DataFrame, instance: str, hash_: str, rows: str) -> DataFrame:

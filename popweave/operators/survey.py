@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from popweave.operators.aggregates import with_totals
+from popweave.operators.aggregates import beside, with_totals
 from popweave.operators.windows import spearman, top_k
 from popweave.plans.ranking import join_keys, quantiles
 
@@ -75,7 +75,7 @@ def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     g = d.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("pearson"))
     s = spearman(d, keys, x, y)
-    return join_keys(g, s, list(keys)) if keys else g.withColumn("n", s.select("n").scalar()).withColumn("rho", s.select("rho").scalar())
+    return join_keys(g, s, list(keys)) if keys else beside(g, s)
 
 
 def latent_table(df: DataFrame, keys: Sequence[str], band: str, value: str) -> DataFrame:
@@ -107,12 +107,16 @@ def within_correlation(df: DataFrame, keys: Sequence[str], band: str, x: str, y:
 def chi_square(df: DataFrame, keys: Sequence[str], row: str, col: str) -> DataFrame:
     """Chi-square, degrees of freedom and the number of sparse cells (expected below 5).
 
-    Cells nobody fills still count: the sum over them is n minus the expected mass of the filled ones.
+    Cells nobody fills count too, so the column margin, a short dictionary, is opened on every row category.
     """
     c = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(*keys, row, col).agg(F.count("*").cast("double").alias("o"))
-    c = with_totals(with_totals(with_totals(c, [*keys, row], {"__r": F.sum("o")}), [*keys, col], {"__c": F.sum("o")}), keys, {"__n": F.sum("o")})
+    rows = c.groupBy(*keys, row).agg(F.sum("o").alias("__r"))
+    cols = c.groupBy(*keys, col).agg(F.sum("o").alias("__c")).groupBy(*keys).agg(F.collect_list(F.struct(col, "__c")).alias("__m"), F.sum("__c").alias("__n"))
+    wide = join_keys(rows, cols, list(keys)) if keys else beside(rows, cols)
+    wide = wide.withColumn("__m", F.explode("__m")).select(*keys, row, "__r", "__n", f"__m.{col}", "__m.__c")
+    c = join_keys(wide, c, [*keys, row, col], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
     e = F.col("__r") * F.col("__c") / F.col("__n")
-    g = c.groupBy(*keys).agg((F.sum(F.pow(F.col("o") - e, F.lit(2.0)) / e) + F.greatest(F.max("__n") - F.sum(e), F.lit(0.0))).alias("chi2"),
+    g = c.groupBy(*keys).agg(F.sum(F.pow(F.col("o") - e, F.lit(2.0)) / e).alias("chi2"),
                              ((F.countDistinct(row) - 1) * (F.countDistinct(col) - 1)).alias("df"), F.max("__n").cast("bigint").alias("n"),
                              F.sum((e < 5).cast("bigint")).alias("sparse"))
     return g

@@ -46,10 +46,8 @@ def strata_by_size(df: DataFrame, unit: str, k: int = 3) -> DataFrame:
     """Units with their size and the size class between interpolated quantile bounds."""
     u = df.groupBy(unit).agg(F.count("*").alias("size"))
     b = quantiles(u, [], "size", {f"b{i}": i / k for i in range(1, k)})
-    cls = F.lit(1)
-    for i in range(1, k):
-        cls = cls + (F.col("size") > b.select(f"b{i}").scalar()).cast("int")
-    return u.withColumn("stratum", cls)
+    s = b.select(F.struct(*b.columns)).scalar()
+    return u.withColumn("stratum", sum(((F.col("size") > s[f"b{i}"]).cast("int") for i in range(1, k)), F.lit(1)))
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:

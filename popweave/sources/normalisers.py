@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from popweave.functions.scalars import plain_name
 from popweave.functions import fixed_values as V
-from popweave.operators.aggregates import column_profile, with_totals
+from popweave.operators.aggregates import beside, column_profile, with_totals
 from popweave.operators.windows import carry_forward, first_wins
 from popweave.plans.ranking import quantiles
 
@@ -65,7 +65,7 @@ def weighted_distribution(df: DataFrame, key: str, weight: str, dims: Sequence[s
     m = raw.agg(F.count("*").alias("raw_rows"), _n(F.col("peso").isNull(), "not_numeric"), _n(F.col("peso").isNotNull() & (F.col("chiave") == ""), "blank_rows"),
                 F.coalesce(F.sum(F.when(F.col("chiave") == "", F.col("peso"))), F.lit(0.0)).alias("blank_weight"))
     t = table.agg(F.count("*").alias("categories"), F.sum("peso").alias("n"), (F.sum("__n") - F.count("*")).alias("merged"))
-    return table.drop("__n"), m.select("*", *[t.select(c).scalar().alias(c) for c in t.columns])
+    return table.drop("__n"), beside(m, t)
 
 
 def sdmx_profile(df: DataFrame, flow: str, area: str, year: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +193,8 @@ def names_by_country(df: DataFrame, country: str, romanised: str, localised: str
          .groupBy("country", "chiave").agg(F.sum("peso").alias("peso")))
     per = t.groupBy("country").agg(F.count("*").alias("entries"))
     q = quantiles(per, [], "entries", {"median": 0.5})
-    m = per.agg(F.count("*").alias("countries"), F.min("entries").alias("min"), F.max("entries").alias("max"), _n(F.col("entries") < few, "sparse")).withColumn("median", q.scalar())
+    m = per.agg(F.count("*").alias("countries"), F.min("entries").alias("min"), F.max("entries").alias("max"), _n(F.col("entries") < few, "sparse"))
+    m = beside(m, q)
     return t, m
 
 
