@@ -58,7 +58,7 @@ def list_instances(spark: SparkSession, folder: str, glob: str, regex: str) -> D
 
 def weighted_distribution(df: DataFrame, key: str, weight: str, dims: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Category -> weight: trimmed keys, numeric weights, equal keys merged; what was dropped is measured."""
-    k, w = F.trim(F.col(key).cast("string")), F.trim(F.col(weight).cast("string")).try_cast("double")
+    k, w = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")), F.trim(F.col(weight).cast("string")).try_cast("double")
     raw = df.select(k.alias("chiave"), w.alias("peso"), *dims)
     ok = F.col("peso").isNotNull() & (F.col("chiave") != "")
     table = raw.filter(ok).groupBy("chiave", *dims).agg(F.sum("peso").alias("peso"), F.count("*").alias("__n"))
