@@ -77,6 +77,19 @@ def _(t):
     return r(D.margin_distances(d, "run", "a", "b", ["l_returnflag", "l_linestatus", "l_linenumber", "band"], 3), "tvd")
 
 
+PAIR = """WITH d AS (SELECT l_returnflag, l_linestatus, CASE WHEN year(l_shipdate) < 1998 THEN 'a' ELSE 'b' END AS run, CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS nul FROM lineitem),
+m AS ({blocks}) SELECT block, round(tvd, 6) AS tvd, cells, round(nt, 6) AS null_tvd, round(tvd / nt, 3) AS ratio FROM m"""
+PAIR = PAIR.format(blocks=" UNION ALL ".join(f"""SELECT '{'*'.join(s)}' AS block, sum(abs(a / ta - b / tb)) / 2 AS tvd, count(*) AS cells, sum(abs(na / nta - nb / ntb)) / 2 AS nt FROM (SELECT count(*) FILTER (run = 'a') AS a, count(*) FILTER (run = 'b') AS b, count(*) FILTER (nul = 'a') AS na,
+ count(*) FILTER (nul = 'b') AS nb FROM d GROUP BY {', '.join(s)}), (SELECT count(*) FILTER (run = 'a') AS ta, count(*) FILTER (run = 'b') AS tb, count(*) FILTER (nul = 'a') AS nta, count(*) FILTER (nul = 'b') AS ntb FROM d)""" for s in C.all_subsets(["l_returnflag", "l_linestatus"], 2)))
+
+
+@query("ds5_against_null_pair", PAIR)
+def _(t):
+    v = ["l_returnflag", "l_linestatus"]
+    d = t.lineitem.select(*v, F.when(F.year("l_shipdate") < 1998, "a").otherwise("b").alias("run"), F.when(COL("l_partkey") % 2 == 0, "a").otherwise("b").alias("nul"))
+    return r(r(D.against_null_pair(D.margin_distances(d, "run", "a", "b", v, 2), D.margin_distances(d, "nul", "a", "b", v, 2)), "tvd", "null_tvd"), "ratio", digits=3)
+
+
 HOLD = """WITH d AS (SELECT l_returnflag || '|' || l_linenumber AS c, l_returnflag AS x, l_linenumber AS y, year(l_shipdate) AS yr FROM lineitem),
 t AS (SELECT c, count(*)::DOUBLE / (SELECT count(*) FROM d) AS p FROM d GROUP BY 1), f AS (SELECT c, count(*)::DOUBLE / (SELECT count(*) FROM d WHERE yr < 2001) AS p FROM d WHERE yr < 2001 GROUP BY 1),
 h AS (SELECT c, count(*)::DOUBLE / (SELECT count(*) FROM d WHERE yr = 1996) AS p FROM d WHERE yr = 1996 GROUP BY 1),

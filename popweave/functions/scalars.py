@@ -101,7 +101,7 @@ def plain_name(value) -> Column:
 
 def coordinate(value) -> Column:
     """Text with blanks and a decimal comma to a number."""
-    s = F.regexp_replace(_c(value), "[\\s ]", "")
+    s = F.regexp_replace(_c(value), r"[\s\x{00a0}]", "")
     return F.regexp_replace(s, ",", ".").try_cast("double")
 
 

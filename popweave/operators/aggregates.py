@@ -15,10 +15,17 @@ from popweave.operators.filters import exact_filter
 from popweave.operators.joins import completed
 from popweave.plans.intervals import range_lookup
 from popweave.plans.ranking import join_keys, quantiles
+from popweave.session import cut_lineage
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
-    """Add one column per aggregate of ``totals`` taken over ``keys`` (whole table when empty)."""
+    """Add one column per aggregate of ``totals`` taken over ``keys`` (whole table when empty).
+
+    For frames that are already reduced to cells. Without keys the cells are written once, so that
+    the total and the cells do not both go back to the raw rows.
+    """
+    if not keys:
+        df = cut_lineage(df)
     agg = df.groupBy(*keys).agg(*[e.alias(n) for n, e in totals.items()])
     return join_keys(df, agg, list(keys)) if keys else beside(df, agg)
 
@@ -199,7 +206,7 @@ def signature(columns: Sequence[str]) -> Column:
 def signature_reuse(df: DataFrame, columns: Sequence[str], cell: str) -> DataFrame:
     """How often each answer vector occurs: summary over vectors, and how many stay in one cell."""
     s = df.groupBy(signature(columns).alias("sig"), cell).agg(F.count("*").alias("c"))
-    m = s.groupBy("sig").agg(F.sum("c").alias("m"), F.count("*").alias("cells"))
+    m = cut_lineage(s.groupBy("sig").agg(F.sum("c").alias("m"), F.count("*").alias("cells")))
     q = quantiles(m, [], "m", {"q50": 0.5, "q90": 0.9})
     top = m.groupBy().agg(F.max(F.struct("m", "sig")).alias("t")).select(F.col("t.sig").alias("heaviest"))
     g = m.agg(F.count("*").alias("signatures"), F.avg("m").alias("mean"), F.min("m").alias("min"), F.max("m").alias("max"),

@@ -15,8 +15,8 @@ from popweave.functions.draws import draw
 from popweave.operators.aggregates import with_totals
 from popweave.operators.joins import fallback_level
 from popweave.plans.intervals import cumulative_table, pick
-from popweave.plans.ranking import join_keys, magnitude_slice, rank_by_draw, running_total
-from popweave.session import cut_lineage
+from popweave.plans.ranking import join_keys, magnitude_slice, rank_by_draw, running_total, sizes_by_draw
+from popweave.session import cut_lineage, salt_count
 
 
 def apportion(weights: DataFrame, totals: DataFrame, cell: Sequence[str], category: str, weight: str, n: str = "n", out: str = "k") -> DataFrame:
@@ -30,7 +30,7 @@ def apportion(weights: DataFrame, totals: DataFrame, cell: Sequence[str], catego
     d = with_totals(weights.withColumn("__w", w.cast("bigint") if whole else w), list(cell), {"__t": F.sum("__w")}).filter("__t > 0")
     d = join_keys(d, totals.select(*cell, F.col(n).cast("bigint").alias("__n")), list(cell)) if cell else d.withColumn("__n", totals.select(F.col(n).cast("bigint")).scalar())
     if whole:
-        d = d.withColumn("__b", F.floor(F.expr("__n * __w div __t"))).withColumn("__m", F.expr("(__n * __w) % __t").cast("double"))
+        d = d.withColumn("__b", F.expr("(cast(__n as decimal(19,0)) * cast(__w as decimal(19,0))) div __t")).withColumn("__m", F.expr("(cast(__n as decimal(19,0)) * cast(__w as decimal(19,0))) % __t"))
     else:
         d = d.withColumn("__e", F.col("__n") * F.col("__w") / F.col("__t")).withColumn("__b", F.floor("__e")).withColumn("__m", F.col("__e") - F.col("__b")).drop("__e")
     d = with_totals(d, list(cell), {"__sb": F.sum("__b")})
@@ -48,7 +48,7 @@ def hand_out(members: DataFrame, counts: DataFrame, cell: Sequence[str], value:
 
 def allocate(members: DataFrame, weights: DataFrame, cell: Sequence[str], value: str, weight: str, key: str, channel: str) -> DataFrame:
     """Largest remainder and hand-out in one call."""
-    sizes = members.groupBy(*cell).agg(F.count("*").alias("n"))
+    sizes = sizes_by_draw(members.withColumn("__u", draw(channel, key)), cell, "__u")
     return hand_out(members, apportion(weights, sizes, cell, value, weight), cell, value, key, channel)
 
 
@@ -233,10 +233,14 @@ def blind_sheet(df: DataFrame, group: str, per_group: int, key: str) -> DataFram
 
 
 def model_sample(lattice: DataFrame, attrs: Sequence[str], p: str, n: int, prefix: str) -> DataFrame:
-    """n individuals with replacement from cell probabilities: uid and attributes."""
+    """n individuals with replacement from cell probabilities: uid and attributes.
+
+    The lattice is one long cell, so its running total is taken over slices of a hash order.
+    """
     people = lattice.sparkSession.range(n).select(F.format_string(f"{prefix}-%07d", "id").alias("uid"), F.lit(1).alias("__all"))
-    cells = lattice.withColumn("__all", F.lit(1)).withColumn("__key", F.concat_ws("|", *attrs))
-    return weighted_draw(people, cells, ["__all"], "__key", "uid", "model", p, take=list(attrs)).select("uid", *attrs)
+    cells = lattice.withColumn("__all", F.lit(1)).withColumn("__key", F.concat_ws("|", *attrs)).withColumn("__h", draw("cell", "__key"))
+    table = cumulative_table(cells, ["__all"], p, ["__h", "__key"], F.floor(F.col("__h") * salt_count(lattice.sparkSession)).cast("int"))
+    return pick(people, table, ["__all"], list(attrs), u=draw("model", "uid")).select("uid", *attrs)
 
 
 def extend_columns(people: DataFrame, margin: DataFrame, value: str, weight: str, key: str) -> DataFrame:

@@ -71,14 +71,14 @@ def conditional_profile(df: DataFrame, variable: str, conditioners: Sequence[str
     """
     w = F.count("*").cast("double") if weight is None else F.sum(weight)
     full = df.groupBy(variable, *conditioners).agg(w.alias("__w"))
-    pairs = F.array(*[F.struct(F.lit(c).alias("conditioner"), F.col(c).cast("string").alias("value")) for c in conditioners])
+    every = F.struct(F.lit("*").alias("conditioner"), F.lit("*").alias("value"))      # the marginal is one more conditioner
+    pairs = F.array(every, *[F.struct(F.lit(c).alias("conditioner"), F.col(c).cast("string").alias("value")) for c in conditioners])
     cells = (full.select(variable, "__w", F.explode(pairs).alias("p")).select(variable, "__w", "p.*")
              .groupBy("conditioner", "value", variable).agg(F.sum("__w").alias("__c")).filter(F.col("__c") > 0))
     cells = cells.filter(F.col("value").isNotNull() & ~F.col("value").isin(list(totals)))
-    marg = full.groupBy(variable).agg(F.sum("__w").alias("__m")).filter(F.col("__m") > 0)
-    marg = with_totals(marg, [], {"__t": F.sum("__m"), "__k": F.count("*")})
-    u = with_totals(cells, ["conditioner", "value"], {"__n": F.sum("__c")})
-    j = join_keys(u, marg, [variable])
+    u = with_totals(cells, ["conditioner", "value"], {"__n": F.sum("__c"), "__s": F.count("*")})
+    marg = u.filter("conditioner = '*'").select(variable, F.col("__c").alias("__m"), F.col("__n").alias("__t"), F.col("__s").alias("__k"))
+    j = join_keys(u.filter("conditioner <> '*'").drop("__s"), marg, [variable])
     q = F.col("__m") / F.col("__t")
     g = j.groupBy("conditioner", "value").agg(F.max("__n").alias("n"), F.count("*").alias("support"), F.max("__k").alias("__k"),
         ((F.sum(F.abs(F.col("__c") / F.col("__n") - q)) + F.greatest(F.lit(1.0) - F.sum(q), F.lit(0.0))) / 2).alias("d"))
@@ -90,6 +90,7 @@ def conditional_profile(df: DataFrame, variable: str, conditioners: Sequence[str
 
 def conditioner_ranking(profile: DataFrame) -> DataFrame:
     """min / median / max distance per conditioner and how many values could not be measured."""
+    profile = cut_lineage(profile)      # one row per conditioner value
     base = profile.groupBy("conditioner").agg(F.count("*").alias("cells"), F.min("tvd").alias("min"), F.max("tvd").alias("max"),
                                               F.sum(F.col("tvd").isNull().cast("bigint")).alias("unmeasured"))
     return base.join(quantiles(profile, ["conditioner"], "tvd", {"median": 0.5}), "conditioner", "left")
@@ -114,8 +115,15 @@ def margin_distances(df: DataFrame, run: str, a: str, b: str, variables: Sequenc
                                   F.count("*").alias("cells"))
 
 
+def against_null_pair(real: DataFrame, null: DataFrame) -> DataFrame:
+    """Distance of two runs per margin over the distance of a null pair of runs."""
+    j = real.join(null.select("block", F.col("tvd").alias("null_tvd")), "block", "left")
+    return j.withColumn("ratio", F.try_divide(F.col("tvd"), F.col("null_tvd")))
+
+
 def holdout_position(truth: DataFrame, full: DataFrame, held: DataFrame, independent: DataFrame, category: str) -> DataFrame:
     """Where the held-out run lies between the constrained floor (0) and independence (1)."""
+    truth = cut_lineage(truth)
     d = lambda x: tvd(truth, x, category, least_support=0.0).select("tvd").scalar()
     one = truth.groupBy().agg(F.countDistinct(category).alias("cells"))
     o = one.withColumn("floor", d(full)).withColumn("holdout", d(held)).withColumn("independence", d(independent))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from popweave.functions import fixed_values as V
 from popweave.operators.aggregates import beside, with_totals
 from popweave.plans.ranking import join_keys, quantiles
+from popweave.session import cut_lineage
 
 _n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
 
@@ -27,8 +28,9 @@ def problems(*pairs: tuple[Column, Column | str]) -> Column:
 def fingerprint(table: DataFrame, keys: Sequence[str] = (), key: str = "chiave", weight: str = "peso", top: int = 5) -> DataFrame:
     """Categories, mass, max, min, weights equal to 1, deciles and the heaviest entries, per instance.
 
-    The top list keeps only the best ``top`` rows per task.
+    The table is written once, and the top list keeps only the best ``top`` rows per task.
     """
+    table = cut_lineage(table)
     from popweave.operators.windows import top_k
     g = table.groupBy(*keys).agg(F.count("*").alias("categories"), F.sum(weight).alias("n"), F.max(weight).alias("w_max"), F.min(weight).alias("w_min"),
                                  _n(F.col(weight) == 1).alias("hapax"))
@@ -70,10 +72,10 @@ def declared_vs_measured(registry: DataFrame, measured: DataFrame, required: Seq
 
 
 def content_hash(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free content hash per key: the sum of row hashes, reduced inside each task, plus the row count."""
+    """Order-free content hash per key: sums of two 28-bit parts of the row hash, reduced inside each task, plus the row count."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
-    h = F.conv(F.substring(row, 1, 11), 16, 10).cast("bigint")
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(h).alias("hash"))
+    part = lambda at: F.sum(F.conv(F.substring(row, at, 7), 16, 10).cast("bigint"))
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), part(1).alias("hash_a"), part(8).alias("hash_b"))
 
 
 def file_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -218,7 +220,7 @@ def recover_codes(codes: DataFrame, codelist: DataFrame, code: str) -> DataFrame
 
 def level_check(codes: DataFrame, levels: DataFrame) -> DataFrame:
     """Share of the observed codes covered by each candidate level, best first. ``codes(code)``, ``levels(level, code)``."""
-    obs = codes.select("code").filter("code is not null").distinct()
+    obs = cut_lineage(codes.select("code").filter("code is not null").distinct())
     n = obs.agg(F.count("*")).scalar()
     hit = levels.distinct().join(obs, "code").groupBy("level").agg(F.count("*").alias("hits"))
     g = levels.select("level").distinct().join(hit, "level", "left").select("level", (F.coalesce("hits", F.lit(0)) / n).alias("share"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from popweave.operators.aggregates import beside, with_totals
 from popweave.operators.windows import spearman, top_k
 from popweave.plans.ranking import join_keys, quantiles
+from popweave.session import cut_lineage
 
 
 def latent_band(score, low: int = 3, high: int = 7) -> Column:
@@ -144,7 +145,7 @@ def cell_distances(df: DataFrame, cell: str, choice: str, ground: str) -> DataFr
 
 def level_effects(df: DataFrame, variable: str, choice: str) -> DataFrame:
     """Largest TVD between any two levels of a variable; levels are few, so pairs are too."""
-    g = choice_shares(df, [variable], choice)
+    g = cut_lineage(choice_shares(df, [variable], choice))
     levels = g.groupBy(choice).agg(F.map_from_entries(F.collect_list(F.struct(F.col(variable).cast("string"), F.col("share")))).alias("m"))
     names = g.agg(F.array_sort(F.collect_set(F.col(variable).cast("string"))).alias("l"))
     p = levels.withColumn("l", names.scalar()).withColumn("a", F.explode("l")).withColumn("b", F.explode("l")).filter(F.col("a") < F.col("b"))

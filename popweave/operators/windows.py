@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from popweave.plans.ranking import (average_rank, join_keys, magnitude_slice, previous_value, quantiles, rank_by_value,
                                     running_total)
+from popweave.session import cut_lineage
 
 __all__ = ["average_rank", "terciles", "coverage", "consecutive_gaps", "strata_by_size", "first_wins", "carry_forward",
            "top_k", "cumulative_share", "spearman"]
@@ -44,7 +45,7 @@ def consecutive_gaps(df: DataFrame, group: Sequence[str], value: str, tie: str)
 
 def strata_by_size(df: DataFrame, unit: str, k: int = 3) -> DataFrame:
     """Units with their size and the size class between interpolated quantile bounds."""
-    u = df.groupBy(unit).agg(F.count("*").alias("size"))
+    u = cut_lineage(df.groupBy(unit).agg(F.count("*").alias("size")))
     b = quantiles(u, [], "size", {f"b{i}": i / k for i in range(1, k)})
     s = b.select(F.struct(*b.columns)).scalar()
     return u.withColumn("stratum", sum(((F.col("size") > s[f"b{i}"]).cast("int") for i in range(1, k)), F.lit(1)))
@@ -58,9 +59,17 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: S
 
 
 def carry_forward(df: DataFrame, group: Sequence[str], order: str, value: str, out: str) -> DataFrame:
-    """Last non-null value at or before ``order``; a group is one row of a published sheet."""
-    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    """Last non-null value at or before the numeric ``order``.
+
+    A long group is cut into slices: what a slice lacks comes from the last slice before it that has a value.
+    """
+    marked = df.withColumn("__g", F.struct(*group, magnitude_slice(F.col(order)).alias("__s")))
+    inside = W.partitionBy("__g").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*[f"__g.{k}" for k in group]).orderBy("__g.__s").rowsBetween(W.unboundedPreceding, -1)
+    last = marked.groupBy("__g").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__l"))
+    last = last.select("__g", F.last("__l", ignorenulls=True).over(before).alias("__p"))
+    got = marked.withColumn("__q", F.last(value, ignorenulls=True).over(inside)).join(last, "__g")
+    return got.withColumn(out, F.coalesce("__q", "__p")).drop("__g", "__q", "__p")
 
 
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

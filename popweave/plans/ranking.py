@@ -41,6 +41,14 @@ def magnitude_slice(value: Column) -> Column:
     return (F.signum(v).cast("int") * (width * F.lit(64) + top).cast("int")).cast("int")
 
 
+def _sliced(df: DataFrame, keys: Key, slice_: Column, value: Column) -> DataFrame:
+    return df.withColumn("__v", value).withColumn("__g", F.struct(*keys, slice_.alias("__s")))
+
+
+def _slice_totals(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("__g").agg(F.sum("__v").alias("__t"))
+
+
 def running_total(df: DataFrame, keys: Key, order: Sequence[Column], slice_: Column, value: Column,
                   out: str, inclusive: bool = True) -> DataFrame:
     """Running sum of ``value`` inside ``keys`` ordered by ``order``.
@@ -48,10 +56,9 @@ def running_total(df: DataFrame, keys: Key, order: Sequence[Column], slice_: Col
     ``slice_`` must never decrease along ``order``. ``order`` must be total. Group and slice travel
     as one struct: equality on it is null-safe, and the join reuses the window's partitioning.
     """
-    marked = df.withColumn("__v", value).withColumn("__g", F.struct(*keys, slice_.alias("__s")))
+    marked = _sliced(df, keys, slice_, value)
     before = W.partitionBy(*[f"__g.{k}" for k in keys]).orderBy("__g.__s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (marked.groupBy("__g").agg(F.sum("__v").alias("__t"))
-               .select("__g", F.sum("__t").over(before).alias("__o")))
+    offsets = _slice_totals(marked).select("__g", F.sum("__t").over(before).alias("__o"))
     inside = W.partitionBy("__g").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     got = marked.withColumn("__i", F.sum("__v").over(inside)).join(offsets, "__g")
     total = F.col("__i") + F.coalesce(F.col("__o"), F.lit(0))
@@ -60,11 +67,18 @@ def running_total(df: DataFrame, keys: Key, order: Sequence[Column], slice_: Col
     return got.withColumn(out, total).drop("__g", "__v", "__i", "__o")
 
 
+def _draw_slice(df: DataFrame, draw_col: str) -> Column:
+    return F.floor(F.col(draw_col) * salt_count(df.sparkSession)).cast("int")
+
+
 def rank_by_draw(df: DataFrame, keys: Key, draw_col: str, ties: Key, out: str = "rank") -> DataFrame:
     """1-based rank inside ``keys`` by a uniform draw in [0, 1), ties by ``ties``."""
-    n = salt_count(df.sparkSession)
-    return running_total(df, keys, [F.col(draw_col), *map(F.col, ties)],
-                         F.floor(F.col(draw_col) * n).cast("int"), F.lit(1).cast("bigint"), out)
+    return running_total(df, keys, [F.col(draw_col), *map(F.col, ties)], _draw_slice(df, draw_col), F.lit(1).cast("bigint"), out)
+
+
+def sizes_by_draw(df: DataFrame, keys: Key, draw_col: str, out: str = "n") -> DataFrame:
+    """Rows per group, added up from the slice counts of ``rank_by_draw`` so that one exchange serves both."""
+    return _slice_totals(_sliced(df, keys, _draw_slice(df, draw_col), F.lit(1).cast("bigint"))).groupBy(*[F.col(f"__g.{k}").alias(k) for k in keys]).agg(F.sum("__t").alias(out))
 
 
 def rank_by_value(df: DataFrame, keys: Key, value: str, tie: str, out: str = "rank") -> DataFrame:

@@ -60,12 +60,12 @@ def weighted_distribution(df: DataFrame, key: str, weight: str, dims: Sequence[s
     """Category -> weight: trimmed keys, numeric weights, equal keys merged; what was dropped is measured."""
     k, w = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")), F.trim(F.col(weight).cast("string")).try_cast("double")
     raw = df.select(k.alias("chiave"), w.alias("peso"), *dims)
-    ok = F.col("peso").isNotNull() & (F.col("chiave") != "")
-    table = raw.filter(ok).groupBy("chiave", *dims).agg(F.sum("peso").alias("peso"), F.count("*").alias("__n"))
-    m = raw.agg(F.count("*").alias("raw_rows"), _n(F.col("peso").isNull(), "not_numeric"), _n(F.col("peso").isNotNull() & (F.col("chiave") == ""), "blank_rows"),
-                F.coalesce(F.sum(F.when(F.col("chiave") == "", F.col("peso"))), F.lit(0.0)).alias("blank_weight"))
-    t = table.agg(F.count("*").alias("categories"), F.sum("peso").alias("n"), (F.sum("__n") - F.count("*")).alias("merged"))
-    return table.drop("__n"), beside(m, t)
+    state = F.when(F.col("peso").isNull(), "bad").when(F.col("chiave") == "", "blank").otherwise("ok")
+    cells = raw.groupBy("chiave", *dims, state.alias("__s")).agg(F.sum("peso").alias("peso"), F.count("*").cast("bigint").alias("__n"))
+    sums = lambda s, c: F.coalesce(F.sum(F.when(F.col("__s") == s, F.col(c))), F.lit(0))
+    m = cells.agg(F.sum("__n").alias("raw_rows"), sums("bad", "__n").alias("not_numeric"), sums("blank", "__n").alias("blank_rows"), sums("blank", "peso").alias("blank_weight"),
+                  F.count(F.when(F.col("__s") == "ok", 1)).alias("categories"), sums("ok", "peso").alias("n"), (sums("ok", "__n") - F.count(F.when(F.col("__s") == "ok", 1))).alias("merged"))
+    return cells.filter("__s = 'ok'").drop("__s", "__n"), m
 
 
 def sdmx_profile(df: DataFrame, flow: str, area: str, year: str, value: str) -> tuple[DataFrame, DataFrame]:

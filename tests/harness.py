@@ -8,6 +8,9 @@ from popweave.catalog import QUERIES, SQL, load_all
 from popweave.session import TABLES
 
 
+LAST: dict[str, str] = {}
+
+
 def sql_connection(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -26,6 +29,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[str, str, int, float]:
     t0 = time.time()
     df = QUERIES[name](spark, sf_dir)
     got = df.collect()
+    LAST["plan"] = df._jdf.queryExecution().executedPlan().toString()
     dt = time.time() - t0
     if name not in SQL:
         return "rows-only", "", len(got), dt
@@ -61,6 +65,9 @@ if __name__ == "__main__":
         except Exception as e:                                  # noqa: BLE001
             s, msg, n, dt = "ERROR", str(e)[:700], 0, 0.0
         bad += s in ("FAIL", "ERROR")
-        if s != "ok" or n == 0 or dt > 4:
+        plan = LAST.pop("plan", "")
+        if "NestedLoop" in plan or "CartesianProduct" in plan:
+            msg += " NESTED LOOP"
+        if s != "ok" or n == 0 or dt > 6 or msg:
             print(f"{name:34s} {s:9s} rows={n:<7d} {dt:5.1f}s {msg}", flush=True)
     print("bad", bad)
