@@ -158,7 +158,7 @@ def _(t):
 WITH p AS (SELECT a, b FROM (VALUES ('BUILDING'), ('MACHINERY'), ('FURNITURE')) x(a), (VALUES (1), (2), (99)) y(b) WHERE NOT (a = 'FURNITURE' AND b <> 99))
 SELECT a AS c_mktsegment, b AS c_nationkey, 0.0::DOUBLE AS alpha FROM p WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = a AND c_nationkey = b AND c_acctbal > 5000)""")
 def _(t):
-    return C.exclusion_cells(t.region.limit(1), "c_mktsegment", "c_nationkey", [(["BUILDING", "MACHINERY"], [1, 2, 99]), (["FURNITURE"], [99])], t.customer.filter("c_acctbal > 5000"))
+    return C.exclusion_cells(t.region, "c_mktsegment", "c_nationkey", [(["BUILDING", "MACHINERY"], [1, 2, 99]), (["FURNITURE"], [99])], t.customer.filter("c_acctbal > 5000"))
 
 
 CUBE = """WITH n AS (SELECT count(*)::DOUBLE AS n FROM lineitem), b1 AS (SELECT 'l_returnflag=' || l_returnflag || '|l_linestatus=' || l_linestatus AS key, count(*) AS c FROM lineitem GROUP BY 1),

@@ -282,10 +282,10 @@ def _(t):
 
 @query("as17_model_sample", f"""WITH t0 AS (SELECT c_mktsegment || '|' || c_nationkey AS key, c_mktsegment, c_nationkey, count(*) AS w FROM customer GROUP BY ALL),
 ta AS (SELECT 1 AS one, {draw_sql('cell', 'key')} AS h, c_mktsegment, c_nationkey, w FROM t0),
-pe AS (SELECT 'T-' || lpad(CAST(i AS VARCHAR), 7, '0') AS uid, 1 AS one FROM range(0, 5000) r(i)), """ + pull("g", "pe", "ta", ["one"], "h", "uid", "model", ["c_mktsegment", "c_nationkey"]) + " SELECT uid, c_mktsegment, c_nationkey FROM g")
+pe AS (SELECT 'T-' || lpad(CAST(i AS VARCHAR), 7, '0') AS uid, 1 AS one FROM range(0, (SELECT count(*) FROM orders)) r(i)), """ + pull("g", "pe", "ta", ["one"], "h", "uid", "model", ["c_mktsegment", "c_nationkey"]) + " SELECT uid, c_mktsegment, c_nationkey FROM g")
 def _(t):
     la = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("w"))
-    return L.model_sample(la, ["c_mktsegment", "c_nationkey"], "w", 5000, "T")
+    return L.model_sample(la, ["c_mktsegment", "c_nationkey"], "w", t.orders.count(), "T")
 
 
 @query("as18_extend_columns", "WITH pe AS (SELECT o_orderkey, o_orderstatus, 1 AS one FROM orders), ta AS (SELECT 1 AS one, c_mktsegment, count(*) AS w FROM customer GROUP BY ALL), " + pull("g", "pe", "ta", ["one"], "c_mktsegment", "o_orderkey", "extend-c_mktsegment") + " SELECT o_orderkey, o_orderstatus, c_mktsegment FROM g")

@@ -248,8 +248,8 @@ e AS (SELECT (SELECT mi FROM su WHERE replicate = 0) - (SELECT median(mi) FROM s
 SELECT round(section_net, 6) AS section_net, round(zone_net, 6) AS zone_net, round(zone_net / section_net, 3) AS kept FROM e""")
 def _(t):
     m = (t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k"))
-         .distinct().withColumn("all", F.lit(1)))
-    perm = D.permuted_units(m, ["all"], "u", "k", "id", 3).select("replicate", "u", "k", "n")
+         .distinct())
+    perm = D.permuted_units(m, [], "u", "k", "id", 3).select("replicate", "u", "k", "n")
     cells = cut_lineage(perm.unionByName(m.groupBy("u", "k").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
     def net(level):
         mi = D.information(cells, level, "k", "n", ["replicate"])
@@ -299,7 +299,7 @@ def _(t):
     d = t.orders.select((COL("o_custkey") % 10).alias("place"), c.alias("c"), F.year("o_orderdate").alias("y"))
     comp = lambda y: d.filter(COL("y") == y).groupBy("place", "c").agg(F.count("*").alias("w"))
     time = D.tvd(comp(1996), comp(2000), "c", ["place"]).select("place", COL("tvd").alias("over_time"))
-    space = D.unit_distances(comp(2000).withColumn("all", F.lit(1)), ["all"], "place", "c", "w").select("place", COL("tvd").alias("against_region"))
+    space = D.unit_distances(comp(2000), [], "place", "c", "w").select("place", COL("tvd").alias("against_region"))
     return r(time.join(space, "place"), "over_time", "against_region")
 
 

@@ -68,14 +68,17 @@ def _(t):
     return r(P.scatter_in_unit(located(t), "c_nationkey", "x", "y", "c_custkey").select("c_custkey", "x", "y"), "x", "y")
 
 
-@query("pf7_filter_caveats", """
-SELECT a AS attribute, a || ' is known by ' || f || ': crossing it with c_nationkey adds no information' AS message
-FROM (VALUES ('c_acctbal', 'region'), ('c_mktsegment', 'country')) v(a, f) WHERE (SELECT count(*) FROM customer) > 0""")
+LINEAGE = """WITH d AS (SELECT count(DISTINCT c_custkey) AS c_custkey, count(DISTINCT c_acctbal) AS c_acctbal, count(DISTINCT c_mktsegment) AS c_mktsegment, count(DISTINCT c_nationkey) AS c_nationkey FROM customer),
+l AS (UNPIVOT d ON c_custkey, c_acctbal, c_mktsegment, c_nationkey INTO NAME attribute VALUE n)
+SELECT attribute, attribute || ' is known by region: crossing it with c_nationkey adds no information' AS message FROM l WHERE attribute <> 'c_nationkey' AND n < 25"""
+
+
+@query("pf7_filter_caveats", LINEAGE)
 def _(t):
-    n = t.customer.agg(F.countDistinct("c_custkey").alias("c_custkey"), F.countDistinct("c_nationkey").alias("c_nationkey"))
-    rows = [("c_nationkey", "zone", 0), ("c_custkey", "zone", 0), ("c_acctbal", "region", 1), ("c_mktsegment", "country", 2), ("c_name", "zone", 0)]
-    lin = n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.lit(f).alias("finest"), F.lit(k).alias("rank")) for a, f, k in rows])).alias("r")).select("r.*")
-    return P.filter_caveats(lin, ["c_acctbal", "c_mktsegment", "c_custkey"], "c_nationkey")
+    cols = ["c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"]
+    n = t.customer.agg(*[F.countDistinct(c).alias(c) for c in cols]).unpivot([], cols, "attribute", "n")
+    lineage = n.select("attribute", F.when(F.col("n") < 25, "region").otherwise("zone").alias("finest"), F.when(F.col("n") < 25, 1).otherwise(0).alias("rank"))
+    return P.filter_caveats(lineage, cols, "c_nationkey")
 
 
 @query("pf8_elementary_classes", """

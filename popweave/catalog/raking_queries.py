@@ -223,8 +223,7 @@ def _(t):
 SELECT geo, round(n, 4) AS n, round(sum(abs(m / n - gk / gn)) / 2, 5) AS tvd FROM g GROUP BY ALL"""))
 def _(t):
     from popweave.operators.distances import unit_distances
-    c = three(t).withColumn("all", F.lit(1))
-    return r(r(unit_distances(c, ["all"], "geo", "paese", "fitted"), "n", digits=4), "tvd", digits=5).select("geo", "n", "tvd")
+    return r(r(unit_distances(three(t), [], "geo", "paese", "fitted"), "n", digits=4), "tvd", digits=5).select("geo", "n", "tvd")
 
 
 @query("ds21_top_categories", rake_sql(SEED3, ["paese", "sesso"], ["geo"], 2, """, u AS (SELECT geo, paese, sum(m) AS m FROM {last} GROUP BY ALL) SELECT geo, paese, round(m, 4) AS n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY geo ORDER BY m DESC, paese) AS rank FROM u) WHERE rank <= 3"""))

@@ -169,10 +169,8 @@ def draw_with_fallback(people: DataFrame, steps: Sequence[tuple[str, DataFrame,
             r = table.select(*cell).distinct().withColumnsRenamed({c: f"__r_{c}" for c in cell})
             cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in cell])
             hit, rest = rest.join(r, cond, "left_semi"), rest.join(r, cond, "left_anti")
+        done.append(weighted_draw(hit, table, cell, value, key, channel, weight).withColumn("chain", F.lit(">".join(chain))))
         if not cell:
-            hit, table, cell = hit.withColumn("__all", F.lit(1)), table.withColumn("__all", F.lit(1)), ["__all"]
-        done.append(weighted_draw(hit, table, cell, value, key, channel, weight).withColumn("chain", F.lit(">".join(chain))).drop("__all"))
-        if cell == ["__all"]:
             break
     return reduce(lambda a, b: a.unionByName(b), done)
 
@@ -237,12 +235,12 @@ def model_sample(lattice: DataFrame, attrs: Sequence[str], p: str, n: int, prefi
 
     The lattice is one long cell, so its running total is taken over slices of a hash order.
     """
-    people = lattice.sparkSession.range(n).select(F.format_string(f"{prefix}-%07d", "id").alias("uid"), F.lit(1).alias("__all"))
-    cells = lattice.withColumn("__all", F.lit(1)).withColumn("__key", F.concat_ws("|", *attrs)).withColumn("__h", draw("cell", "__key"))
-    table = cumulative_table(cells, ["__all"], p, ["__h", "__key"], F.floor(F.col("__h") * salt_count(lattice.sparkSession)).cast("int"))
-    return pick(people, table, ["__all"], list(attrs), u=draw("model", "uid")).select("uid", *attrs)
+    people = lattice.sparkSession.range(n).select(F.format_string(f"{prefix}-%07d", "id").alias("uid"))
+    cells = lattice.withColumn("__key", F.concat_ws("|", *attrs)).withColumn("__h", draw("cell", "__key"))
+    table = cumulative_table(cells, [], p, ["__h", "__key"], F.floor(F.col("__h") * salt_count(lattice.sparkSession)).cast("int"))
+    return pick(people, table, [], list(attrs), u=draw("model", "uid")).select("uid", *attrs)
 
 
 def extend_columns(people: DataFrame, margin: DataFrame, value: str, weight: str, key: str) -> DataFrame:
     """Keep the old columns, draw a new one from its one-way margin."""
-    return weighted_draw(people.withColumn("__all", F.lit(1)), margin.withColumn("__all", F.lit(1)), ["__all"], value, key, f"extend-{value}", weight).drop("__all")
+    return weighted_draw(people, margin, [], value, key, f"extend-{value}", weight)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from popweave.functions import fixed_values as V
 from popweave.functions.draws import draw
-from popweave.plans.intervals import range_lookup
 
 
 def _values(v) -> list[str]:
@@ -87,9 +86,8 @@ def filter_caveats(lineage: DataFrame, asked: Sequence[str], geography: str) ->
 
     ``lineage(attribute, finest, rank)``: rank 0 is the finest level.
     """
-    geo = lineage.filter(F.col("attribute") == geography).select(F.col("rank").alias("geo_rank"), F.lit(1).alias("__one"))
-    att = lineage.filter(F.col("attribute").isin(list(asked)) & (F.col("attribute") != geography)).withColumn("__one", F.lit(1))
-    return (att.join(geo, "__one").filter("rank > geo_rank")
+    geo = lineage.filter(F.col("attribute") == geography).select(F.max("rank")).scalar()
+    return (lineage.filter(F.col("attribute").isin(list(asked)) & (F.col("attribute") != geography)).filter(F.col("rank") > geo)
             .select("attribute", F.concat(F.col("attribute"), F.lit(" is known by "), F.col("finest"),
                                           F.lit(f": crossing it with {geography} adds no information")).alias("message")))
 

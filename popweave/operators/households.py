@@ -120,8 +120,8 @@ def size_constraints(sections: DataFrame, sizes: Sequence[str], persons: str) ->
 def open_households(constraints: DataFrame, section: str, households: str, tail: DataFrame, largest: int = V.LARGEST_CENSUS_SIZE) -> DataFrame:
     """Open-class households widened from the tail until the ``widen`` places of the section are used up."""
     h = constraints.filter((F.col(households) > 0) & (F.col("widen") > 0)).select(section, "widen", F.explode(F.sequence(F.lit(1), F.col(households).cast("int"))).alias("no"))
-    h = h.withColumn("__id", F.concat_ws("|", F.col(section).cast("string"), F.col("no").cast("string"))).withColumn("__all", F.lit(1))
-    d = weighted_draw(h, tail.withColumn("__all", F.lit(1)), ["__all"], "size", "__id", "tail", "share")
+    h = h.withColumn("__id", F.concat_ws("|", F.col(section).cast("string"), F.col("no").cast("string")))
+    d = weighted_draw(h, tail, [], "size", "__id", "tail", "share")
     d = d.withColumn("__add", (F.col("size") - largest).cast("bigint")).withColumn("__u", draw("tail-order", "__id"))
     before = running_total(d, [section], [F.col("__u"), F.col("no")], F.floor(F.col("__u") * 16).cast("int"), F.col("__add"), "__b", inclusive=False)
     add = F.greatest(F.least(F.col("__add"), F.col("widen") - F.col("__b")), F.lit(0))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from popweave.plans.ranking import join_keys, running_total
+from popweave.session import cut_lineage
 
 
 def cumulative_table(table: DataFrame, cell: Sequence[str], weight: str, order: Sequence[str],
@@ -30,14 +31,21 @@ def pick(people: DataFrame, table: DataFrame, cell: Sequence[str], take: Sequenc
     ``table`` comes from ``cumulative_table``. The position is ``u * total`` for a
     draw, or a 0-based rank for an exact allocation. Each cell is cut into as many
     slots as it has entries (16 at least): the exploded table has at most twice its
-    rows plus 16 per cell, and a person meets two candidates on average.
+    rows plus 16 per cell, and a person meets two candidates on average. No ``cell`` means one table for all.
     """
+    if not cell:
+        table = cut_lineage(table)
     slots = table.groupBy(*cell).agg(F.greatest(F.count(F.lit(1)), F.lit(16)).alias("__n"),
                                      F.max("hi").alias("__t"))
     slot_of = lambda x: F.least(F.floor(x.cast("double") * F.col("__n") / F.col("__t")), F.col("__n") - 1)
-    wide = (join_keys(table, slots, cell)
+    if cell:
+        sized = lambda df, how: join_keys(df, slots, cell, how)
+    else:
+        one = slots.select(F.struct("__n", "__t")).scalar()
+        sized = lambda df, how: df.withColumns({"__n": one["__n"], "__t": one["__t"]})
+    wide = (sized(table, "inner")
             .select(*cell, *take, "lo", "hi", F.explode(F.sequence(slot_of(F.col("lo")), slot_of(F.col("hi")))).alias("__slot")))
-    who = join_keys(people, slots, cell, how)
+    who = sized(people, how)
     pos = u * F.col("__t") if position is None else position
     who = who.withColumn("__pos", pos).withColumn("__slot", slot_of(F.col("__pos")))
     keys = [*cell, "__slot"]
