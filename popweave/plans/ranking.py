@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from popweave.session import salt_count
 
 Key = Sequence[str]
+SLICE_BITS = 12
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Key, how: str = "inner") -> DataFrame:
@@ -31,14 +32,14 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Key, how: str = "inner")
 def magnitude_slice(value: Column) -> Column:
     """Monotone slice number of a numeric value, from integer bit arithmetic only.
 
-    About 32 slices per power of two, so it adapts to any scale without a pass
-    over the data for bounds.
+    2048 slices per power of two, so it adapts to any scale without a pass over the
+    data for bounds, and consecutive ids spread over thousands of slices.
     """
     v = value.cast("double")
     mag = F.least(F.abs(v) * F.lit(1e6), F.lit(9e18)).cast("bigint")
     width = F.length(F.bin(mag))
-    top = F.call_function("shiftright", mag, F.greatest(width - F.lit(6), F.lit(0)))
-    return (F.signum(v).cast("int") * (width * F.lit(64) + top).cast("int")).cast("int")
+    top = F.call_function("shiftright", mag, F.greatest(width - F.lit(SLICE_BITS), F.lit(0)))
+    return (F.signum(v).cast("int") * (width * F.lit(1 << SLICE_BITS) + top).cast("int")).cast("int")
 
 
 def _sliced(df: DataFrame, keys: Key, slice_: Column, value: Column) -> DataFrame:

@@ -88,3 +88,14 @@ def test_range_lookup(spark):
     bands = spark.createDataFrame([("a", 0, 4), ("b", 5, 9)], "band string, lo int, hi int")
     got = intervals.range_lookup(spark.range(12).withColumnRenamed("id", "age"), "age", bands, "lo", "hi")
     assert got.filter("band = 'b'").count() == 5 and got.count() == 10
+
+
+def test_a_hot_group_is_spread_over_slices(spark):
+    n = 20000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), F.lit(5.0).alias("v"))
+    hot = df.filter("g = 'hot'")
+    by_draw = hot.withColumn("u", draw("s", "id")).groupBy(ranking._draw_slice(hot, "u")).count().agg(F.max("count")).first()[0]
+    by_tie = hot.groupBy(ranking.magnitude_slice(F.col("id"))).count().agg(F.max("count")).first()[0]
+    assert by_draw < n / 3 / 4 and by_tie <= n / 3 / 500
+    ranks = ranking.rank_by_value(df, ["g"], "v", "id").filter("g = 'hot'").agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+    assert tuple(ranks) == (1, hot.count(), hot.count())
