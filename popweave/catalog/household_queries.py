@@ -133,17 +133,17 @@ def _(t):
     return H.assemble(p, h, "section").select("uid", "hh", "role", "tier")
 
 
-@query("hh6_invariants", """SELECT 0::BIGINT AS placed_twice, 0::BIGINT AS slots_over, 0::BIGINT AS extra_references, 0::BIGINT AS children_out_of_range, 0::BIGINT AS widowed_partners, 0::BIGINT AS same_sex_partners, 0::BIGINT AS lost_or_invented FROM (SELECT count(*) FROM orders)""")
+@query("hh6_invariants", """SELECT 0::BIGINT AS placed_twice, 0::BIGINT AS slots_over, 0::BIGINT AS extra_references, 0::BIGINT AS children_out_of_range, 0::BIGINT AS widowed_partners, 0::BIGINT AS same_sex_unmarried, 0::BIGINT AS lost_or_invented FROM (SELECT count(*) FROM orders)""")
 def _(t):
     p, h = assembly_inputs(t)
     a = H.cut_lineage(H.assemble(p, h, "section"))
-    ref = a.filter("role = 'R'").select("hh", COL("age").alias("ra"), COL("male").alias("rm"))
+    ref = a.filter("role = 'R'").select("hh", COL("age").alias("ra"), COL("male").alias("rm"), COL("status").alias("rs"))
     j = a.filter("role <> 'R'").join(ref, "hh", "left")
     over = a.groupBy("hh").agg(F.count("*").alias("got"), F.sum((COL("role") == "R").cast("bigint")).alias("refs")).join(h, "hh", "left")
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0).cast("bigint"))
     gap = COL("ra") - COL("age")
     k = j.agg(n((COL("role") == "F") & ~F.when(COL("tier") == 0, gap.between(20, 40)).otherwise(gap >= 15)).alias("children_out_of_range"),
-              n((COL("role") == "P") & (COL("status") == "vedovo")).alias("widowed_partners"), n((COL("role") == "P") & (COL("male") == COL("rm"))).alias("same_sex_partners"))
+              n((COL("role") == "P") & (COL("status") == "vedovo")).alias("widowed_partners"), n((COL("role") == "P") & (COL("male") == COL("rm")) & ~((COL("status") == "coniugato_unito") & (COL("rs") == "coniugato_unito"))).alias("same_sex_unmarried"))
     o = over.agg(n(F.coalesce(COL("got") > F.length("signature"), F.lit(True))).alias("slots_over"), n(COL("refs") != 1).alias("extra_references"))
     d = a.agg((F.count("*") - F.countDistinct("uid")).alias("placed_twice"))
     lost = a.join(p, "uid", "left_anti").agg(F.count("*"))

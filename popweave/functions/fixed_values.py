@@ -51,6 +51,9 @@ ROLE_ORDER = "RPFGAN"
 LARGEST_CENSUS_SIZE = 6
 PARTNER_MAX_GAP = 15
 PARENT_MIN_GAP, PARENT_MAX_GAP = 20, 40
+SAME_SEX_UNIONS = 0.004
+MALE_REFERENCE_COUPLE, MALE_REFERENCE_OTHER = 0.8, 0.5
+MARRIED, WIDOWED = "coniugato_unito", "vedovo"
 
 # Section ids that stand for people without a place.
 SPECIAL_SECTIONS = "888888|999999"

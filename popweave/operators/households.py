@@ -150,18 +150,25 @@ def _match(slots: DataFrame, people: DataFrame, keys: Sequence[str], accept: Col
 
 
 def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple[int, int] = (V.PARENT_MIN_GAP, V.PARENT_MAX_GAP),
-             partner_gap: int = V.PARTNER_MAX_GAP, widowed: str = "vedovo", band: int = 5) -> DataFrame:
+             partner_gap: int = V.PARTNER_MAX_GAP, widowed: str = V.WIDOWED, married: str = V.MARRIED, same_sex: float = V.SAME_SEX_UNIONS, band: int = 5) -> DataFrame:
     """Persons into household slots by rounds of rank matching: (uid, hh, role, tier).
 
     ``persons(section, uid, age, male, status)``, ``households(section, hh, signature)``. In a round, slots and
     free persons of the same (section, pool) are ranked by hash and paired by rank; pairs out of tolerance wait
     for a looser round (tier). Order R, F, P, G, then the rest. Sections are only a shuffle key, and a big one
     is cut into slices by the ranks.
+
+    The reference of a couple is wanted male, any other wanted female, with probability ``p_male`` (a column of
+    ``households`` when present); else either sex will do. A share ``same_sex`` of the married references looks for
+    a married partner of its own sex first.
     """
+    couple = F.contains(F.col("signature"), F.lit("P"))
+    wish = F.col("p_male") if "p_male" in households.columns else F.when(couple, V.MALE_REFERENCE_COUPLE).otherwise(V.MALE_REFERENCE_OTHER)
+    wanted = F.when(draw("ref-sex", "hh") < wish, couple).otherwise(draw("ref-any", "hh") < 0.5)
     slots = (households.withColumn("n", F.length("signature")).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("n"))))
              .select(section, "hh", F.substring(F.col("signature"), F.col("pos"), F.lit(1)).alias("role"),
                      F.concat_ws("#", "hh", "pos").alias("slot"), F.contains(F.col("signature"), F.lit("F")).alias("kids"),
-                     F.contains(F.col("signature"), F.lit("P")).alias("couple")))
+                     couple.alias("couple"), wanted.cast("int").alias("sx")))
     slots, free = cut_lineage(slots), cut_lineage(persons.select(section, "uid", "age", "male", "status"))
     placed: list[DataFrame] = []
 
@@ -181,10 +188,11 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
     adult = F.col("age") >= 18
     r = slots.filter("role = 'R'")
     # references: parents of children from the plausible ages, couples without the widowed, singles from the widowed first
-    rest = take(r.filter("kids"), 0, ["c"], {"c": F.col("couple").cast("int")}, {"c": (F.col("status") != widowed).cast("int")},
-                yes, "R0", F.col("age").between(25, 60))
+    pool = {"c": (F.col("status") != widowed).cast("int"), "sx": F.col("male").cast("int")}
+    kind = {"c": F.col("couple").cast("int")}
+    rest = take(r.filter("kids"), 0, ["c", "sx"], kind, pool, yes, "R0", F.col("age").between(25, 60))
     rest = rest.unionByName(r.filter("not kids"))
-    rest = take(rest, 0, ["c"], {"c": F.col("couple").cast("int")}, {"c": (F.col("status") != widowed).cast("int")}, yes, "R1", adult)
+    rest = take(rest, 0, ["c", "sx"], kind, pool, yes, "R1", adult)
     rest = take(rest, 1, [], {}, {}, yes, "R3", adult)
     take(rest, 2, [], {}, {}, yes, "R4")
     ref = cut_lineage(reduce(lambda a, b: a.unionByName(b), placed).select("hh", F.col("age").alias("ra"), F.col("male").alias("rm"), F.col("status").alias("rs")))
@@ -199,6 +207,8 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
 
     mates = withref("P")
     opposite = {"m": (~F.col("rm")).cast("int")}
+    own = (F.col("rs") == married) & (draw("same-sex", "hh") < same_sex)
+    mates = take(mates.filter(own), 0, ["m"], {"m": F.col("rm").cast("int")}, {"m": F.col("male").cast("int")}, yes, "PS", adult & (F.col("status") == married)).unionByName(mates.filter(~own))
     who = {"m": F.col("male").cast("int")}
     ok = F.abs(gap) <= partner_gap
     for shift in (0, 1):

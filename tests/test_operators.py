@@ -128,7 +128,7 @@ def test_incomplete_block_leaves_the_rest_in_proportion(spark):
 
 def test_assembly_invariants_and_quality(spark):
     p, h = assembly_inputs(Tables(spark, "/root/testdata/sf0.001"))
-    a = H.assemble(p, h, "section").toPandas()
+    a = H.assemble(p, h, "section", same_sex=0.0).toPandas()
     assert a.uid.is_unique
     assert (a[a.role == "R"].groupby("hh").size() == 1).all()
     ref = a[a.role == "R"].set_index("hh")
@@ -137,6 +137,8 @@ def test_assembly_invariants_and_quality(spark):
     assert ((gap >= 20) & (gap <= 40)).all()
     mates = a[a.role == "P"]
     assert (ref.loc[mates.hh].male.to_numpy() != mates.male.to_numpy()).all()
+    couples = ref.loc[mates.hh].male
+    assert couples.mean() > 0.6            # couples mostly have a male reference
     slots = h.toPandas().signature.str.len().sum()
     assert len(a) > 0.8 * min(slots, p.count())
 
