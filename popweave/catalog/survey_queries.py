@@ -32,7 +32,7 @@ def _(t):
     return r(S.choice_shares(answers(t), ["model"], "choice"), "share")
 
 
-@query("sv2_muteness", SH + "SELECT model, arg_max(choice, share) AS top, round(max(share), 6) AS share, max(share) > 0.95 AS mute FROM p GROUP BY 1")
+@query("sv2_muteness", SH + "SELECT model, choice AS top, round(share, 6) AS share, share > 0.95 AS mute FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY share DESC, choice DESC) AS rn FROM p) WHERE rn = 1")
 def _(t):
     return r(S.muteness(answers(t), ["model"], "choice"), "share")
 

@@ -115,8 +115,8 @@ def test_raking_reaches_all_blocks(spark):
     df = pd.DataFrame(lat, columns=list("abc")).assign(p=truth)
     frame = lambda keys, d: (keys, spark.createDataFrame(d.groupby(keys, as_index=False).p.sum().rename(columns={"p": "alpha"})))
     blocks = [frame(["a", "b"], df), frame(["b", "c"], df), frame(["a", "c"], df)]
-    fit = R.rake_blocks(spark.createDataFrame(df[list("abc")]), blocks, 40, tolerance=1e-6)
-    assert R.block_error(fit, "p", blocks).agg(F.max("rel_error")).first()[0] < 1e-3
+    fit = R.rake_blocks(spark.createDataFrame(df[list("abc")]), blocks, 40, tolerance=1e-4)
+    assert R.block_error(fit, "p", blocks).agg(F.max("rel_error")).first()[0] < 5e-3
     assert fit.agg(F.sum("p")).first()[0] == pytest.approx(1.0)
 
 
