@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may fall back to a temporary folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):

@@ -99,3 +99,10 @@ def test_a_hot_group_is_spread_over_slices(spark):
     assert by_draw < n / 3 / 4 and by_tie <= n / 3 / 500
     ranks = ranking.rank_by_value(df, ["g"], "v", "id").filter("g = 'hot'").agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
     assert tuple(ranks) == (1, hot.count(), hot.count())
+
+
+def test_cut_lineage_keeps_rows_and_schema(spark):
+    from popweave.session import cut_lineage
+    df = spark.range(10).select("id", F.struct("id").alias("s"), F.lit(None).cast("string").alias("n"))
+    got = cut_lineage(df)
+    assert got.schema.simpleString() == df.schema.simpleString() and sorted(r["id"] for r in got.collect()) == list(range(10))
