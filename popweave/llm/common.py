@@ -1,6 +1,7 @@
 """Helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -8,10 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from popweave.session import shared_dir
 
+# functions for tasks travel whole, so executors need no copy of this library
+cloudpickle.register_pickle_by_value(sys.modules["popweave.llm"])
+
 SLICE_BYTES = 4_000_000
 VOCABULARY = 400_000
 
