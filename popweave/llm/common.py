@@ -1,6 +1,7 @@
 """Helpers that the operators of this subpackage share."""
 from __future__ import annotations
 
+import pickle
 import sys
 import uuid
 import zlib
@@ -151,3 +152,15 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         if not moved:
             drop_folder(spark, kept)
             return labels
+
+
+class Shared:
+    """An object that every executor gets once; it is unpickled once per task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed, self.value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def get(self):
+        if self.value is None:
+            self.value = pickle.loads(self.packed.value)
+        return self.value
