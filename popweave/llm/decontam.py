@@ -280,3 +280,11 @@ i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FRO
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.s, '')) AS items_sha256,
        coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``, all columns, that are not contaminated by ``items``. Rows are told apart by id and text."""
+    key = F.xxhash64(F.col(doc_id), F.col(text))
+    found = contamination(docs.select(key.alias("__row"), F.col(text).alias("text")), items, doc_id="__row")
+    gone = found.where("contaminated").select(F.col("__row").alias("__gone")).distinct()
+    return docs.withColumn("__row", key).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -88,6 +88,12 @@ def mix(docs: DataFrame, channel: str = "mix", text: str = "text", source: str =
             .drop("mix_key", *key, "mix_draw", "mix_rank", "before", "rate", "start"))
 
 
+def mixed(docs: DataFrame, channel: str = "mix", text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: rows of ``docs`` with their own columns, each as often as it is taken."""
+    got = mix(docs, channel, text, source, doc_id).where("mix_copies > 0")
+    return got.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+
+
 def mix_sql(table: str = "documents", channel: str = "mix") -> str:
     """The same mix for the SQL side of a check."""
     level = "cap * 6.0::DOUBLE / weight, source IS NULL, source"
