@@ -162,7 +162,7 @@ def _blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = mixed.where("members > 2 and lo <> hi").select("band", "key", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("size") / (1000 * BLOCK))).cast("int").alias("parts"))
     rows = rows.join(mixed, ["band", "key"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("label", "id"), F.col("parts")).cast("int"))
-    return rows.select("band", "key", "block", "parts", "id", "n", "label", "keys")
+    return rows.select("band", "key", "block", "parts", "id", "n", "label")
 
 
 def _tile_links(percent: int):
@@ -208,12 +208,13 @@ def _tile_links(percent: int):
     return links
 
 
-def _exhaust(rows: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _exhaust(rows: DataFrame, labels: DataFrame, sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """All remaining links inside buckets, found in tasks that each hold two blocks of a bucket."""
     blocks = _blocks(rows, labels)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = blocks.select("*", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    dealt = dealt.join(sets, "id").select("band", "key", "x", "y", "id", "n", "label", "keys", "shingles")
+    content = sets.join(keys.dropDuplicates(["id"]), "id")
+    dealt = dealt.join(content, "id").select("band", "key", "x", "y", "id", "n", "label", "keys", "shingles")
     return dealt.groupBy("band", "key", "x", "y").applyInArrow(_tile_links(percent), "a bigint, b bigint")
 
 
@@ -242,12 +243,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, text: s
     usable = signed.where("digest is not null and id is not null")
     groups = written(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
     reps = usable.select("id", "n", "keys").join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    rows = reps.select("id", "n", "keys", F.posexplode("keys").alias("band", "key"))
+    rows = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("band", "key"))
     multiple = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key")
     rows = written(rows.join(multiple, ["band", "key"]), "rows")
     sets = _sets_of(base.where("id is not null"), rows.select("id").distinct(), k)
     links = written(_verified(_hub_pairs(rows), sets, percent), "links")
-    links = written(links.unionByName(_exhaust(rows, components(links, spark), sets, percent)), "links")
+    links = written(links.unionByName(_exhaust(rows, components(links, spark), sets, usable.select("id", "keys"), percent)), "links")
     # ids that stand for several different sets (repeated ids) join these sets' classes
     twice = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
     odd = usable.join(twice, "id", "left_semi").join(groups, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
