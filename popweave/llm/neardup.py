@@ -276,3 +276,18 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, label) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id WHERE r.label < e.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(label) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id"""
+
+
+def deduplicate(docs: DataFrame, k: int = 5, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``docs``, all columns: of each component the text with the smallest id, once.
+
+    Rows without an id stay. Where rows repeat an id that stays, the first of them by text stays.
+    """
+    found = written(near_duplicates(docs, k, threshold, text, doc_id).select(F.col(doc_id).alias("id"), "kept"), "kept")
+    stay = docs.join(found.where("not kept").select(F.col("id").alias("__gone")).distinct(), F.col(doc_id) == F.col("__gone"), "left_anti")
+    twice = found.where("kept and id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__twice"))
+    if not twice.limit(1).count():
+        return stay
+    first = F.row_number().over(W.partitionBy(doc_id).orderBy(text))
+    return (stay.join(twice, F.col(doc_id) == F.col("__twice"), "left_anti")
+            .unionByName(stay.join(twice, F.col(doc_id) == F.col("__twice"), "left_semi").withColumn("__first", first).where("__first = 1").drop("__first")))
