@@ -285,6 +285,6 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of ``docs``, all columns, that are not contaminated by ``items``. Rows are told apart by id and text."""
     key = F.xxhash64(F.col(doc_id), F.col(text))
-    found = contamination(docs.select(key.alias("__row"), F.col(text).alias("text")), items, doc_id="__row")
-    gone = found.where("contaminated").select(F.col("__row").alias("__gone")).distinct()
-    return docs.withColumn("__row", key).join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    found = contamination(docs.select(key.alias("row"), F.col(text).alias("text")), items, doc_id="row")
+    gone = found.where("contaminated").select(F.col("row").alias("__gone")).distinct()
+    return docs.join(gone, key == F.col("__gone"), "left_anti")

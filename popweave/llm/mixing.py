@@ -75,23 +75,25 @@ def mix(docs: DataFrame, channel: str = "mix", text: str = "text", source: str =
     parts = d.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words"))
     of_source = W.partitionBy("mix_key.mix_source").orderBy("mix_key.mix_class", "mix_key.mix_slice").rowsBetween(W.unboundedPreceding, -1)
     per = targets(parts.groupBy(F.col("mix_key.mix_source").alias("source")).agg(F.sum("words").alias("source_size")))
-    offsets = parts.select("mix_key", F.coalesce(F.sum("n").over(of_source), F.lit(0)).alias("before"))
+    offsets = parts.select("mix_key", F.coalesce(F.sum("n").over(of_source), F.lit(0)).alias("mix_before"))
     offsets = (offsets.join(per, offsets["mix_key.mix_source"].eqNullSafe(per["source"]))
-               .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-               .withColumn("start", draw(channel + "-offset", F.coalesce(F.col("source"), F.lit(""))))
-               .select("mix_key", "before", "rate", "start", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
+               .withColumn("mix_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+               .withColumn("mix_start", draw(channel + "-offset", F.coalesce(F.col("source"), F.lit(""))))
+               .select("mix_key", "mix_before", "mix_rate", "mix_start", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
     inside = F.row_number().over(W.partitionBy("mix_key").orderBy("mix_draw", doc_id, "mix_size"))
     ranked = d.withColumn("mix_rank", inside).join(offsets, "mix_key")
-    upto = lambda k: F.floor(F.col("rate") * k + F.col("start"))                                   # noqa: E731
-    at = F.col("before") + F.col("mix_rank")
+    upto = lambda k: F.floor(F.col("mix_rate") * k + F.col("mix_start"))                                   # noqa: E731
+    at = F.col("mix_before") + F.col("mix_rank")
     return (ranked.withColumn("mix_copies", (upto(at) - upto(at - 1)).cast("int"))
-            .drop("mix_key", *key, "mix_draw", "mix_rank", "before", "rate", "start"))
+            .drop("mix_key", *key, "mix_draw", "mix_rank", "mix_before", "mix_rate", "mix_start"))
 
 
 def mixed(docs: DataFrame, channel: str = "mix", text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: rows of ``docs`` with their own columns, each as often as it is taken."""
-    got = mix(docs, channel, text, source, doc_id).where("mix_copies > 0")
-    return got.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    own = {c: f"own_{c}" for c in docs.columns if c.startswith("mix_")}
+    got = mix(docs.withColumnsRenamed(own), channel, text, source, doc_id).where("mix_copies > 0")
+    copies = got.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return copies.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def mix_sql(table: str = "documents", channel: str = "mix") -> str:
