@@ -195,7 +195,7 @@ def _(t):
 
 
 @query("as11_detailed_title", """WITH RECURSIVE e AS (SELECT p_partkey AS code, CASE WHEN p_partkey < 7 THEN p_partkey ELSE p_partkey // 3 END AS up FROM part),
-w AS (SELECT code, up, 1 AS h FROM e UNION ALL SELECT w.code, e.up, h + 1 FROM w JOIN e ON w.up = e.code AND e.up <> e.code WHERE h < 16), rt AS (SELECT code, arg_max(up, h) AS root FROM w GROUP BY 1),
+w AS (SELECT code, up, 1 AS h FROM e UNION ALL SELECT w.code, e.up, h + 1 FROM w JOIN e ON w.up = e.code AND e.up <> e.code), rt AS (SELECT code, arg_max(up, h) AS root FROM w GROUP BY 1),
 lf AS (SELECT code, root FROM rt WHERE NOT EXISTS (SELECT 1 FROM e c WHERE c.up = rt.code AND c.code <> rt.code)),
 ta AS (SELECT root, l_returnflag AS sex, code, count(*) AS w FROM lineitem JOIN lf ON l_partkey = code GROUP BY ALL), pe AS (SELECT o_orderkey AS uid, o_custkey % 7 AS root, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'R' END AS sex FROM orders), """
        + pull("g", "pe", "ta", ["root", "sex"], "code", "uid", "title") + " SELECT uid, root, sex, code FROM g")

@@ -1,5 +1,5 @@
 """Distances, profiles, information measures and null models."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from popweave.catalog import query, r
 from popweave.catalog.aggregate_queries import COL, CUBE, constraint_cube, cust
@@ -237,7 +237,7 @@ def _(t):
 
 
 @query("ds14_section_ceiling", f"""
-WITH m AS (SELECT DISTINCT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS id, l_suppkey AS u, l_suppkey % 5 AS z, l_returnflag AS k FROM lineitem),
+WITH m AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || (row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_returnflag, l_quantity, l_extendedprice)) AS id, l_suppkey AS u, l_suppkey % 5 AS z, l_returnflag AS k FROM lineitem),
 w AS (SELECT k, count(*) AS w FROM m GROUP BY ALL), i AS (SELECT k, sum(w) OVER (ORDER BY k) AS hi, sum(w) OVER (ORDER BY k) - w AS lo FROM w),
 rp AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY x, id) - 1 AS pos FROM (SELECT m.*, r.r AS replicate, {draw_sql('perm', 'r.r', 'm.id')} AS x FROM m, range(1, 4) r(r))),
 c AS (SELECT replicate, u, z, i.k, count(*)::DOUBLE AS c FROM rp JOIN i ON pos >= lo AND pos < hi GROUP BY ALL UNION ALL SELECT 0, u, z, k, count(*)::DOUBLE FROM m GROUP BY ALL),
@@ -247,8 +247,9 @@ sz AS (SELECT replicate, sum(c / n * ln(c * n / (cg * ck))) AS mi FROM (SELECT *
 e AS (SELECT (SELECT mi FROM su WHERE replicate = 0) - (SELECT median(mi) FROM su WHERE replicate > 0) AS section_net, (SELECT mi FROM sz WHERE replicate = 0) - (SELECT median(mi) FROM sz WHERE replicate > 0) AS zone_net)
 SELECT round(section_net, 6) AS section_net, round(zone_net, 6) AS zone_net, round(zone_net / section_net, 3) AS kept FROM e""")
 def _(t):
-    m = (t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("id"), COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k"))
-         .distinct())
+    line = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    copy = F.row_number().over(W.partitionBy(*line).orderBy("l_returnflag", "l_quantity", "l_extendedprice"))
+    m = t.lineitem.select(F.concat_ws("-", *line, copy).alias("id"), COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k"))
     perm = D.permuted_units(m, [], "u", "k", "id", 3).select("replicate", "u", "k", "n")
     cells = cut_lineage(perm.unionByName(m.groupBy("u", "k").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
     def net(level):

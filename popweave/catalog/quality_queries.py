@@ -209,7 +209,7 @@ def _(t):
     return Q.exclusion_coverage(e.select(F.concat(F.lit("l_returnflag="), "f", F.lit("|l_linenumber="), "n").alias("key")), constraint_cube(t), "key")
 
 
-LOG = "WITH m AS (SELECT source, max(try_cast(nullif(regexp_extract(text, '([0-9]{3,})', 1), '') AS DOUBLE)) AS big, max(try_cast(nullif(regexp_extract(text, '\\b([0-9]{2})\\b', 1), '') AS DOUBLE)) AS two, max(n_chars)::DOUBLE AS chars FROM documents GROUP BY 1) "
+LOG = "WITH m AS (SELECT source, max(list_max(list_transform(regexp_extract_all(text, '([0-9]{3,})', 1), lambda x: try_cast(x AS DOUBLE)))) AS big, max(list_max(list_transform(regexp_extract_all(text, '\\b([0-9]{2})\\b', 1), lambda x: try_cast(x AS DOUBLE)))) AS two, max(n_chars)::DOUBLE AS chars FROM documents GROUP BY 1) "
 
 
 def logs(t):

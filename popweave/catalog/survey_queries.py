@@ -62,7 +62,7 @@ def _(t):
 
 @query("sv6_logit")
 def _(t):
-    d = t.documents.join(t.labels, "doc_id").withColumn("size", F.least(F.floor(COL("n_chars") / 1000), F.lit(10)))
+    d = t.documents.join(t.labels, "doc_id").withColumn("size", F.floor(COL("n_chars") / 1000))
     return r(S.logit(d, "quality", {"lang": ["en", "fr", "de", "es"]}, ["size"]), "beta", "se", digits=4)
 
 
@@ -175,7 +175,7 @@ def _(t):
     return S.wrong_guesses(d, "city", truth, "guess", unk, 2)
 
 
-@query("sv17_story_problems", """WITH w AS (SELECT doc_id, lower(text) AS lo, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '[0-9]'))[1:5] AS dg, len(w) AS n FROM w)
+@query("sv17_story_problems", """WITH w AS (SELECT doc_id, lower(text) AS lo, list_filter(string_split_regex(trim(text), '\\s+'), lambda x: x <> '') AS w FROM documents), d AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '[0-9]')) AS dg, len(w) AS n FROM w)
 SELECT doc_id, 'forbidden' AS problem, concat_ws(',', CASE WHEN contains(lo, 'que') THEN 'que' END, CASE WHEN contains(lo, 'the') THEN 'the' END) AS detail FROM d WHERE contains(lo, 'que') OR contains(lo, 'the')
 UNION ALL SELECT doc_id, 'digits', array_to_string(dg, ' ') FROM d WHERE len(dg) > 0 UNION ALL SELECT doc_id, 'short', CAST(n AS VARCHAR) FROM d WHERE n < 50 UNION ALL SELECT doc_id, 'long', CAST(n AS VARCHAR) FROM d WHERE n > 220
 UNION ALL SELECT doc_id, 'scene', 'ver' FROM d WHERE contains(lo, 'ver')""")

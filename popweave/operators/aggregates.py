@@ -158,17 +158,25 @@ def partition_check(df: DataFrame, keys: Sequence[str], code: str, total: str, l
 
 
 def candidate_leaf_sets(df: DataFrame, code: str, codes: Sequence[str], total: str, value: str, tol: float = 0.005) -> DataFrame:
-    """Subsets of at most 16 codes whose sum meets the total within ``tol``."""
-    if len(codes) > 16:
-        raise ValueError("at most 16 codes")
+    """Subsets of the codes, however many, whose sum meets the total within ``tol``.
+
+    Codes are decided one after the other. A partial choice is given up as soon as the codes that are left cannot
+    bring it to the total, so the rows are those choices that can still succeed; they are dealt out anew on the way.
+    """
     sums = df.agg(F.sum(F.when(F.col(code) == total, F.col(value))).alias("total"),
                   *[F.coalesce(F.sum(F.when(F.col(code) == c, F.col(value))), F.lit(0)).alias(f"s{i}") for i, c in enumerate(codes)])
-    m = sums.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(2 ** len(codes) - 1))))
-    bit = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
-    s = reduce(lambda a, b: a + b, [F.when(bit(i), F.col(f"s{i}")).otherwise(0) for i in range(len(codes))])
-    names = F.concat_ws(",", *[F.when(bit(i), F.lit(c)) for i, c in enumerate(codes)])
-    return (m.select(names.alias("codes"), s.alias("sum"), "total")
-            .filter(F.abs(F.col("sum") - F.col("total")) <= F.lit(tol) * F.abs(F.col("total"))))
+    slack = F.lit(tol) * F.abs(F.col("total"))
+    ends = lambda side, i: reduce(lambda a, b: a + b, [side(F.col(f"s{j}"), F.lit(0)) for j in range(i, len(codes))], F.lit(0))
+    d = sums.withColumns({"sum": F.lit(0).cast(sums.schema["s0"].dataType), "chosen": F.array().cast("array<string>")})
+    for i, c in enumerate(codes):
+        d = d.withColumn("__take", F.explode(F.array(F.lit(False), F.lit(True))))
+        d = d.withColumns({"sum": F.when(F.col("__take"), F.col("sum") + F.col(f"s{i}")).otherwise(F.col("sum")),
+                           "chosen": F.when(F.col("__take"), F.array_append("chosen", F.lit(c))).otherwise(F.col("chosen"))}).drop("__take")
+        d = d.filter((F.col("sum") + ends(F.least, i + 1) <= F.col("total") + slack) & (F.col("sum") + ends(F.greatest, i + 1) >= F.col("total") - slack))
+        if i % 8 == 7:
+            d = d.repartition("chosen")
+    return (d.filter(F.size("chosen") > 0).select(F.array_join("chosen", ",").alias("codes"), "sum", "total")
+            .filter(F.abs(F.col("sum") - F.col("total")) <= slack))
 
 
 def weighted_moments(df: DataFrame, variables: Sequence[str], weight: str, least: int = 100, design: float = 1.66) -> DataFrame:

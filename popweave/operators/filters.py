@@ -39,8 +39,7 @@ def unknown_values(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, channel: str = "sample") -> DataFrame:
-    """n rows without replacement by hash draw, shown in key order; n is at most 100."""
-    n = min(n, 100)
+    """n rows without replacement by hash draw, shown in key order (all rows, if there are fewer)."""
     return (df.withColumn("__u", draw(channel, key)).orderBy("__u", key).limit(n).drop("__u").orderBy(key))
 
 

@@ -52,7 +52,7 @@ def uncovered_target(sections: DataFrame, services: DataFrame, grid: float, exte
     ``sections(sid, x, y, n, old, low, target)``, ``services(fid, x, y)``; far = beyond ``radius`` or in the farthest share.
     A: municipal share times far people. B: product of the section margins. C: joint count.
     """
-    d = sections.join(nearest_facility(sections, services, "sid", "fid", grid, extent).select("sid", "distance"), "sid")
+    d = sections.join(nearest_facility(sections, services, "sid", "fid", grid).select("sid", "distance"), "sid")
     if farthest is not None:
         bound = quantiles(d, [], "distance", {"q": 1 - farthest}).scalar()
         d = d.withColumn("far", F.col("distance") >= bound)

@@ -12,15 +12,12 @@ from popweave.operators.aggregates import beside, with_totals
 from popweave.operators.allocation import weighted_draw
 from popweave.operators.windows import consecutive_gaps
 from popweave.plans.ranking import join_keys, quantiles, rank_by_draw, running_total
-from popweave.session import cut_lineage
-
-LONG_RUN = 64
+from popweave.session import cut_lineage, salt_count
 
 
 def signature_of(counts: dict[str, Column]) -> Column:
-    """``RPFF`` from role counts; a run over 64 is written ``F*<n>`` so that no huge string is built."""
-    part = lambda r, n: F.when(n > LONG_RUN, F.concat(F.lit(f"{r}*"), n.cast("string"))).otherwise(F.repeat(F.lit(r), n.cast("int")))
-    return F.concat(*[part(r, n) for r, n in counts.items()])
+    """``RPFF`` from role counts: one letter a member, so its length is the size of the household."""
+    return F.concat(*[F.repeat(F.lit(r), n.cast("int")) for r, n in counts.items()])
 
 
 def household_signatures(members: DataFrame, hh: Sequence[str], role: str, weight: str) -> DataFrame:
@@ -123,7 +120,7 @@ def open_households(constraints: DataFrame, section: str, households: str, tail:
     h = h.withColumn("__id", F.concat_ws("|", F.col(section).cast("string"), F.col("no").cast("string")))
     d = weighted_draw(h, tail, [], "size", "__id", "tail", "share")
     d = d.withColumn("__add", (F.col("size") - largest).cast("bigint")).withColumn("__u", draw("tail-order", "__id"))
-    before = running_total(d, [section], [F.col("__u"), F.col("no")], F.floor(F.col("__u") * 16).cast("int"), F.col("__add"), "__b", inclusive=False)
+    before = running_total(d, [section], [F.col("__u"), F.col("no")], F.floor(F.col("__u") * salt_count(d.sparkSession)).cast("int"), F.col("__add"), "__b", inclusive=False)
     add = F.greatest(F.least(F.col("__add"), F.col("widen") - F.col("__b")), F.lit(0))
     return before.select(section, "no", (F.lit(largest) + add).alias("size"))
 

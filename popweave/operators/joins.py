@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from popweave.plans.ranking import join_keys
 from popweave.session import cut_lineage
@@ -25,20 +25,24 @@ def parent_map(df: DataFrame, child: str, parent: str) -> DataFrame:
                                 (F.count("*") > 1).alias("violation"))
 
 
-def lattice(df: DataFrame, columns: Sequence[str], limit: int = 10_000_000) -> DataFrame:
-    """Every combination of the category domains.
+def lattice(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every combination of the category domains (nulls left out), of any size.
 
-    Domains are category dictionaries. They are collected to one array each after
-    de-duplication, and the product is refused above ``limit``.
+    The cells are born distributed: a range as long as the product of the domain sizes, decoded by mixed radix. Each
+    digit meets its category by a hash join with the numbered domain, a table of one row per category.
     """
-    parts = [df.select(F.lit(c).alias("v"), F.col(c).cast("string").alias("c")).distinct() for c in columns]
-    dom = (reduce(lambda a, b: a.unionByName(b), parts).filter("c is not null").groupBy().pivot("v", list(columns))
-           .agg(F.array_sort(F.collect_set("c"))))
-    size = reduce(lambda a, b: a * b, [F.size(c).cast("bigint") for c in columns])
-    out = dom.filter(F.when(size <= limit, F.lit(True)).otherwise(F.raise_error(F.lit("lattice above the limit"))))
-    for c in columns:
-        out = out.withColumn(c, F.explode(c))
-    return out
+    parts = [df.select(F.lit(c).alias("v"), F.col(c).cast("string").alias("c")) for c in columns]
+    dom = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts).filter("c is not null").distinct()
+                      .withColumn("digit", F.row_number().over(W.partitionBy("v").orderBy("c")).cast("bigint") - 1))
+    sizes = {r["v"]: r["n"] for r in dom.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    total = reduce(lambda a, b: a * b, [sizes.get(c, 0) for c in columns], 1)
+    out, stride = df.sparkSession.range(total).withColumnRenamed("id", "__cell"), 1
+    for c in reversed(columns):
+        out = out.withColumn("__d", F.expr(f"(__cell div {stride}L) % {max(1, sizes.get(c, 0))}L"))
+        own = dom.filter(F.col("v") == c).select(F.col("digit").alias("__d"), F.col("c").alias(c))
+        out = out.join(own, "__d").drop("__d")
+        stride *= max(1, sizes.get(c, 0))
+    return out.select(*columns)
 
 
 def completed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -75,18 +79,20 @@ def chained_lookup(df: DataFrame, tables: Sequence[tuple[str, DataFrame, Sequenc
             .drop(*[f"__v{i}" for i in range(len(tables))]))
 
 
-def tree(edges: DataFrame, code: str, parent: str, hops: int = 12) -> DataFrame:
+def tree(edges: DataFrame, code: str, parent: str) -> DataFrame:
     """(code, root, leaf, is_root) from parent pointers; a root points to itself.
 
-    Pointer doubling: each step joins the table with itself, so ``hops`` needs only
-    log2(hops) joins. Codes on a cycle get a null root.
+    Pointer doubling: each step joins the table with itself and doubles the reach, until no pointer moves. What still
+    moves once the reach passes the number of codes is on a cycle or leads into one; such codes get a null root.
     """
-    jump = edges.select(F.col(code).alias("code"), F.coalesce(F.col(parent), F.col(code)).alias("up"))
-    reach = 1
-    while reach < hops:
+    jump = cut_lineage(edges.select(F.col(code).alias("code"), F.coalesce(F.col(parent), F.col(code)).alias("up")))
+    reach, codes = 1, jump.count()
+    while reach <= codes:
         nxt = jump.select(F.col("code").alias("up"), F.col("up").alias("up2"))
-        jump = cut_lineage(jump.join(nxt, "up", "left").select("code", F.coalesce("up2", "up").alias("up")))
-        reach *= 2
+        step = cut_lineage(jump.join(nxt, "up", "left").select("code", F.coalesce("up2", "up").alias("up"), (F.coalesce("up2", "up") != F.col("up")).alias("moved")))
+        jump, reach = step.select("code", "up"), 2 * reach
+        if step.filter("moved").isEmpty():
+            break
     roots = edges.filter((F.col(parent) == F.col(code)) | F.col(parent).isNull()).select(F.col(code).alias("up"), F.lit(True).alias("ok"))
     inner = edges.filter(F.col(parent) != F.col(code)).select(F.col(parent).alias("code")).distinct().withColumn("has", F.lit(True))
     return (jump.join(roots, "up", "left").join(inner, "code", "left")
@@ -177,30 +183,30 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, pid: str, poly: str
                     F.when(F.col("__b").isNull(), "unmatched").when(F.col("__b.o"), "nearest").otherwise("within").alias("method")))
 
 
-def nearest_facility(points: DataFrame, facilities: DataFrame, pid: str, fid: str, grid: float, extent: float) -> DataFrame:
+def nearest_facility(points: DataFrame, facilities: DataFrame, pid: str, fid: str, grid: float) -> DataFrame:
     """Exact nearest facility by planar distance: (pid, fid, distance).
 
-    Level k looks into the 3 x 3 cells of side grid * 3^k; an answer no farther than one side
-    is final, the other points go to the next level. The last level spans ``extent``.
-    Facilities at the same place are one candidate.
+    Level k looks into the 3 x 3 cells of side grid * 3^k; an answer no farther than one side is final, the other points
+    go to the next level until every point has a final answer, however far it lies. Facilities at the same place are
+    one candidate. Points without coordinates, and all points when there is no facility, give no row.
     """
     places = facilities.groupBy("x", "y").agg(F.min(fid).alias(fid)).withColumnsRenamed({"x": "fx", "y": "fy"})
-    left, done, side = points.select(pid, "x", "y"), [], grid
+    left, done, side = points.select(pid, "x", "y").filter("x is not null and y is not null"), [], grid
+    places = cut_lineage(places.filter("fx is not null and fy is not null"))
+    if places.isEmpty():
+        return left.select(pid).join(facilities.select(fid).limit(0), F.lit(False)).withColumn("distance", F.lit(0.0))
     while True:
-        last = side >= extent
         spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1))
         f = (places.withColumn("__cx", spread("fx")).withColumn("__cy", spread("fy")))
         p = left.withColumn("__cx", F.floor(F.col("x") / side)).withColumn("__cy", F.floor(F.col("y") / side))
         d = F.sqrt(F.pow(F.col("x") - F.col("fx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("fy"), F.lit(2.0)))
         best = (p.join(f, ["__cx", "__cy"]).groupBy(pid).agg(F.min(F.struct(d.alias("d"), F.col(fid).alias("f"))).alias("b"))
                 .select(pid, F.col("b.f").alias(fid), F.col("b.d").alias("distance")))
-        best = cut_lineage(best)
-        if last:
-            done.append(best)
-            break
-        got = best.filter(F.col("distance") <= side)
+        got = cut_lineage(best.filter(F.col("distance") <= side))
         done.append(got)
-        left = left.join(got.select(pid), pid, "left_anti")
+        left = cut_lineage(left.join(got.select(pid), pid, "left_anti"))
+        if left.isEmpty():
+            break
         side *= 3
     return reduce(lambda a, b: a.unionByName(b), done)
 

@@ -244,8 +244,9 @@ def exclusion_coverage(exclusions: DataFrame, cube: DataFrame, key: str) -> Data
 
 
 def log_metrics(lines: DataFrame, run: str, line: str, patterns: dict[str, str]) -> DataFrame:
-    """One row per run: the largest number each pattern's first group captures in its lines."""
-    return lines.groupBy(run).agg(*[F.max(F.regexp_extract(line, p, 1).try_cast("double")).alias(n) for n, p in patterns.items()])
+    """One row per run: the largest number each pattern's first group captures anywhere in its lines."""
+    most = lambda p: F.array_max(F.transform(F.regexp_extract_all(line, F.lit(p), 1), lambda x: x.try_cast("double")))
+    return lines.groupBy(run).agg(*[F.max(most(p)).alias(n) for n, p in patterns.items()])
 
 
 def size_bands(runs: DataFrame, size: str, bounds: Sequence[float], metric: str) -> DataFrame:

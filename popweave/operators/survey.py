@@ -209,7 +209,7 @@ def story_problems(df: DataFrame, key: str, text: str, forbidden: Sequence[str],
     low = F.lower(text)
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
     n = F.size(words)
-    digits = F.slice(F.filter(words, lambda w: w.rlike("[0-9]")), 1, 5)
+    digits = F.filter(words, lambda w: w.rlike("[0-9]"))
     hits = lambda lst: F.concat_ws(",", *[F.when(low.contains(s), F.lit(s)) for s in lst])
     items = [(hits(forbidden) != "", "forbidden", hits(forbidden)), (F.size(digits) > 0, "digits", F.array_join(digits, " ")), (n < shortest, "short", n.cast("string")),
              (n > longest, "long", n.cast("string")), (hits(worn) != "", "scene", hits(worn))]

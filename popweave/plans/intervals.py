@@ -13,15 +13,19 @@ def cumulative_table(table: DataFrame, cell: Sequence[str], weight: str, order:
                      slice_: Column | None = None) -> DataFrame:
     """Add ``lo``/``hi`` (running weight) to a weight table, zero weights dropped.
 
-    Pass ``slice_`` when a cell can hold many entries.
+    Pass ``slice_`` when a cell can hold many entries. Real weights are added as decimals, which is exact, so ``lo`` is
+    always the ``hi`` of the entry before: no gaps, no overlaps.
     """
     kept = table.filter(F.col(weight) > 0)
+    real = dict(kept.dtypes)[weight] in ("double", "float")
+    value = F.col(weight).cast("decimal(38,18)") if real else F.col(weight)
     if slice_ is not None:
-        got = running_total(kept, cell, [F.col(o) for o in order], slice_, F.col(weight), "hi")
+        got = running_total(kept, cell, [F.col(o) for o in order], slice_, value, "hi")
     else:
         w = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        got = kept.withColumn("hi", F.sum(weight).over(w))
-    return got.withColumn("lo", F.col("hi") - F.col(weight))
+        got = kept.withColumn("hi", F.sum(value).over(w))
+    got = got.withColumn("lo", F.col("hi") - value)
+    return got.withColumns({c: F.col(c).cast("double") for c in ("lo", "hi")}) if real else got
 
 
 def pick(people: DataFrame, table: DataFrame, cell: Sequence[str], take: Sequence[str],
@@ -57,9 +61,9 @@ def pick(people: DataFrame, table: DataFrame, cell: Sequence[str], take: Sequenc
 
 
 def range_lookup(df: DataFrame, value: str, bands: DataFrame, lo: str, hi: str, how: str = "inner") -> DataFrame:
-    """Attach every band with lo <= value <= hi for integer values.
+    """Attach every band with lo <= value <= hi for whole values; a fraction lies in no band.
 
     Bands are opened to one row per integer, so the join is a hash join.
     """
     wide = bands.withColumn("__x", F.explode(F.sequence(F.col(lo), F.col(hi))))
-    return df.join(wide, df[value].cast("bigint") == wide["__x"].cast("bigint"), how).drop("__x")
+    return df.join(wide, (df[value].cast("bigint") == wide["__x"].cast("bigint")) & (df[value] == wide["__x"]), how).drop("__x")

@@ -33,13 +33,16 @@ def magnitude_slice(value: Column) -> Column:
     """Monotone slice number of a numeric value, from integer bit arithmetic only.
 
     2048 slices per power of two, so it adapts to any scale without a pass over the
-    data for bounds, and consecutive ids spread over thousands of slices.
+    data for bounds, and consecutive ids spread over thousands of slices. Below 9e12 millionths count; above, whole
+    numbers do, and their slices follow on.
     """
     v = value.cast("double")
-    mag = F.least(F.abs(v) * F.lit(1e6), F.lit(9e18)).cast("bigint")
+    large = F.abs(v) >= F.lit(9e12)
+    mag = F.when(large, F.least(F.abs(v), F.lit(9e18))).otherwise(F.abs(v) * F.lit(1e6)).cast("bigint")
     width = F.length(F.bin(mag))
     top = F.call_function("shiftright", mag, F.greatest(width - F.lit(SLICE_BITS), F.lit(0)))
-    return (F.signum(v).cast("int") * (width * F.lit(1 << SLICE_BITS) + top).cast("int")).cast("int")
+    level = width + F.when(large, F.lit(64)).otherwise(F.lit(0))
+    return (F.signum(v).cast("int") * (level * F.lit(1 << SLICE_BITS) + top).cast("int")).cast("int")
 
 
 def _sliced(df: DataFrame, keys: Key, slice_: Column, value: Column) -> DataFrame:

@@ -51,7 +51,7 @@ def test_one_to_one_equals_greedy_by_distance(spark):
 def test_nearest_facility_far_from_everything(spark):
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 99.0, 99.0), (3, 50.0, 1.0)], "pid long, x double, y double")
     f = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.0, 0.0), (9, 40.0, 0.0)], "fid long, x double, y double")
-    got = {r["pid"]: r["fid"] for r in J.nearest_facility(p, f, "pid", "fid", 1.0, 200.0).collect()}
+    got = {r["pid"]: r["fid"] for r in J.nearest_facility(p, f, "pid", "fid", 1.0).collect()}
     assert got == {1: 7, 2: 9, 3: 9}
 
 
