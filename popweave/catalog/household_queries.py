@@ -133,6 +133,13 @@ def _(t):
     return H.assemble(p, h, "section").select("uid", "hh", "role", "tier")
 
 
+@query("hh6_open_slots", f"""WITH h AS (SELECT list_extract(['R', 'R', 'R', 'RP', 'RPF', 'RPFF', 'RF', 'RP', 'RPG', 'RPFA'], (floor({draw_sql('sig', 'c_custkey', 'n.no')} * 10) + 1)::INT) AS signature FROM customer, range(1, 5) n(no))
+SELECT role, count(*) AS slots, 0::BIGINT AS fillable FROM (SELECT unnest(string_split(signature, '')) AS role FROM h) GROUP BY 1""")
+def _(t):
+    p, h = assembly_inputs(t)
+    return H.open_slots(H.cut_lineage(H.assemble(p, h, "section")), p, h, "section").select("role", "slots", "fillable")
+
+
 @query("hh6_invariants", """SELECT 0::BIGINT AS placed_twice, 0::BIGINT AS slots_over, 0::BIGINT AS extra_references, 0::BIGINT AS children_out_of_range, 0::BIGINT AS widowed_partners, 0::BIGINT AS same_sex_unmarried, 0::BIGINT AS lost_or_invented FROM (SELECT count(*) FROM orders)""")
 def _(t):
     p, h = assembly_inputs(t)

@@ -138,6 +138,8 @@ def draw_signature(households: DataFrame, rep: DataFrame, size: str, key: str) -
 
 # ------------------------------------------------------------------ assembly
 
+COMPACT = 5                    # rounds after which the free persons are written anew
+
 def _match(slots: DataFrame, people: DataFrame, keys: Sequence[str], accept: Column, channel: str) -> DataFrame:
     """Pair the i-th slot with the i-th person of every key group (both in hash order), keep accepted pairs."""
     s = rank_by_draw(slots.withColumn("__u", draw(channel + "-s", "slot")), keys, "__u", ["slot"], "__rk").drop("__u")
@@ -146,14 +148,36 @@ def _match(slots: DataFrame, people: DataFrame, keys: Sequence[str], accept: Col
     return j.filter(accept).select("slot", "hh", "role", "uid", "age", "male", "status")
 
 
+def _match_below(slots: DataFrame, people: DataFrame, section: str, limit: Column, value: Column, channel: str) -> DataFrame:
+    """As many pairs as can be: a slot takes a person of its section whose ``value`` (a whole number) is at most ``limit``.
+
+    What a slot accepts, every slot with a higher limit accepts too. So with S(v) slots of a limit up to v and C(v)
+    persons up to v, M(v) = S(v) + min(0, min over u <= v of C(u) - S(u)) slots up to v can be filled, by the M(v)
+    persons that come first. The window runs over counts by (section, value); slots and persons meet by rank.
+    """
+    s = slots.withColumn("__at", limit.cast("bigint")).withColumn("__draw", draw(channel + "-s", "slot"))
+    p = people.withColumn("__at", value.cast("bigint")).withColumn("__draw", draw(channel + "-p", "uid"))
+    count = lambda d, ns, np: d.groupBy(section, "__at").agg(F.count("*").alias("n")).select(section, "__at", (F.col("n") * ns).alias("s"), (F.col("n") * np).alias("p"))
+    cells = count(s, 1, 0).unionByName(count(p, 0, 1)).groupBy(section, "__at").agg(F.sum("s").alias("s"), F.sum("p").alias("p"))
+    upto = W.partitionBy(section).orderBy("__at")
+    run = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumn("S", F.sum("s").over(run)).withColumn("C", F.sum("p").over(run))
+    cells = cells.withColumn("M", F.col("S") + F.least(F.lit(0), F.min(F.col("C") - F.col("S")).over(run)))
+    cells = cut_lineage(cells.withColumn("m0", F.lag("M", 1, 0).over(upto)).select(section, "__at", "m0", (F.col("M") - F.col("m0")).alias("k"), (F.col("C") - F.col("p")).alias("c0")))
+    s = rank_by_draw(s, [section, "__at"], "__draw", ["slot"], "__nth").join(cells, [section, "__at"]).filter("__nth <= k").withColumn("__rk", F.col("m0") + F.col("__nth"))
+    p = rank_by_draw(p, [section, "__at"], "__draw", ["uid"], "__nth").join(cells, [section, "__at"]).withColumn("__rk", F.col("c0") + F.col("__nth"))
+    return s.join(p.select(section, "__rk", "uid", "age", "male", "status"), [section, "__rk"]).select("slot", "hh", "role", "uid", "age", "male", "status")
+
+
 def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple[int, int] = (V.PARENT_MIN_GAP, V.PARENT_MAX_GAP),
              partner_gap: int = V.PARTNER_MAX_GAP, widowed: str = V.WIDOWED, married: str = V.MARRIED, same_sex: float = V.SAME_SEX_UNIONS, band: int = 5) -> DataFrame:
     """Persons into household slots by rounds of rank matching: (uid, hh, role, tier).
 
     ``persons(section, uid, age, male, status)``, ``households(section, hh, signature)``. In a round, slots and
     free persons of the same (section, pool) are ranked by hash and paired by rank; pairs out of tolerance wait
-    for a looser round (tier). Order R, F, P, G, then the rest. Sections are only a shuffle key, and a big one
-    is cut into slices by the ranks.
+    for a looser round (tier). Order R, F, P, G, then the rest. The last round of every role fills as many slots as
+    can be, so a slot stays open only when nobody left in the section fits it. Sections are only a shuffle key, and a
+    big one is cut into slices by the ranks.
 
     The reference of a couple is wanted male, any other wanted female, with probability ``p_male`` (a column of
     ``households`` when present); else either sex will do. A share ``same_sex`` of the married references looks for
@@ -166,20 +190,33 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
              .select(section, "hh", F.substring(F.col("signature"), F.col("pos"), F.lit(1)).alias("role"),
                      F.concat_ws("#", "hh", "pos").alias("slot"), F.contains(F.col("signature"), F.lit("F")).alias("kids"),
                      couple.alias("couple"), wanted.cast("int").alias("sx")))
-    slots, free = cut_lineage(slots), cut_lineage(persons.select(section, "uid", "age", "male", "status"))
+    slots, everyone = cut_lineage(slots), cut_lineage(persons.select(section, "uid", "age", "male", "status"))
     placed: list[DataFrame] = []
+    compact = 0                                    # rounds whose persons ``everyone`` no longer holds
+
+    def free():
+        """Persons not placed yet: an anti-join with the small tables of pairs; written anew only every few rounds."""
+        nonlocal everyone, compact
+        if not placed[compact:]:
+            return everyone
+        left = everyone.join(reduce(lambda a, b: a.unionByName(b), placed[compact:]).select("uid"), "uid", "left_anti")
+        if len(placed) - compact >= COMPACT:
+            everyone, compact = cut_lineage(left), len(placed)
+            return everyone
+        return left
+
+    def keep(got, open_slots, tier):
+        got = cut_lineage(got.withColumn("tier", F.lit(tier)))
+        placed.append(got)
+        return open_slots.join(got.select("slot"), "slot", "left_anti")
 
     def take(open_slots, tier, keys, s_cols, p_cols, accept, channel, pool=F.lit(True)):
-        nonlocal free
-        s, p = open_slots, free.filter(pool)
+        s, p = open_slots, free().filter(pool)
         for n, c in s_cols.items():
             s = s.withColumn(n, c)
         for n, c in p_cols.items():
             p = p.withColumn(n, c)
-        got = cut_lineage(_match(s, p, [section, *keys], accept, channel).withColumn("tier", F.lit(tier)))
-        placed.append(got)
-        free = cut_lineage(free.join(got.select("uid"), "uid", "left_anti"))
-        return open_slots.join(got.select("slot"), "slot", "left_anti")
+        return keep(_match(s, p, [section, *keys], accept, channel), open_slots, tier)
 
     yes = F.lit(True)
     adult = F.col("age") >= 18
@@ -200,7 +237,7 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
     for tier, width in ((0, band), (0, 2 * band), (1, 4 * band)):
         aim = F.col("ra") - (F.lit(gen[0]) + F.floor(draw(f"kid{tier}{width}", "slot") * (gen[1] - gen[0] + 1)))
         kids = take(kids, tier, ["b"], {"b": F.floor(aim / width)}, {"b": F.floor(F.col("age") / width)}, gap.between(*gen) if tier == 0 else gap >= 15, f"F{width}")
-    take(kids, 2, [], {}, {}, gap >= 15, "F9")
+    keep(_match_below(kids, free(), section, F.col("ra") - 15, F.col("age"), "F9"), kids, 2)
 
     mates = withref("P")
     opposite = {"m": (~F.col("rm")).cast("int")}
@@ -216,11 +253,26 @@ def assemble(persons: DataFrame, households: DataFrame, section: str, gen: tuple
     take(mates, 2, ["m"], opposite, who, yes, "P9", (F.col("status") != widowed) & adult)
 
     olds = take(withref("G"), 0, ["b"], {"b": F.floor((F.col("ra") + 28) / (4 * band))}, {"b": F.floor(F.col("age") / (4 * band))}, (-gap).between(*gen), "G0")
-    take(olds, 1, [], {}, {}, gap < 0, "G1")
+    keep(_match_below(olds, free(), section, -F.col("ra") - 1, -F.col("age"), "G1"), olds, 1)
     take(slots.filter("role in ('A', 'N')"), 0, [], {}, {}, yes, "A0")
     return reduce(lambda a, b: a.unionByName(b), placed).select("uid", "hh", "role", "tier", "age", "male", "status")
 
 
+def open_slots(placed: DataFrame, persons: DataFrame, households: DataFrame, section: str) -> DataFrame:
+    """Per role: slots, filled slots, and open ones for which a free person of the section would do even by the loosest test."""
+    slots = households.select(section, "hh", F.explode(F.split("signature", "")).alias("role")).filter("role <> ''").groupBy(section, "hh", "role").agg(F.count("*").alias("slots"))
+    got = placed.groupBy("hh", "role").agg(F.count("*").alias("filled"))
+    ref = placed.filter("role = 'R'").groupBy("hh").agg(F.max("age").alias("ra"), F.bool_or("male").alias("rm"))
+    fits = (F.col("age") >= 18) & (F.col("status") != V.WIDOWED)
+    free = persons.join(placed.select("uid"), "uid", "left_anti").groupBy(section).agg(
+        F.min("age").alias("youngest"), F.max("age").alias("oldest"), F.bool_or(fits & F.col("male")).alias("men"), F.bool_or(fits & ~F.col("male")).alias("women"))
+    d = slots.join(got, ["hh", "role"], "left").join(ref, "hh", "left").join(free, section, "left").withColumn("filled", F.coalesce("filled", F.lit(0).cast("bigint")))
+    would = (F.when(F.col("role") == "F", F.col("youngest") <= F.col("ra") - 15).when(F.col("role") == "G", F.col("oldest") > F.col("ra"))
+             .when(F.col("role") == "P", F.when(F.col("rm"), F.col("women")).otherwise(F.col("men"))).otherwise(F.col("youngest").isNotNull()))
+    open_ = F.when(F.coalesce(would, F.lit(False)), F.col("slots") - F.col("filled")).otherwise(0)
+    return d.groupBy("role").agg(F.sum("slots").alias("slots"), F.sum("filled").alias("filled"), F.sum(open_).cast("bigint").alias("fillable"))
+
+
 def assembly_summary(placed: DataFrame, persons: DataFrame, households: DataFrame) -> DataFrame:
     """Households, share assembled without a loose tier and in full, unplaced share, gap percentiles."""
     size = households.select("hh", F.length("signature").alias("n"))
