@@ -200,9 +200,10 @@ def _(t):
 
 @query("ag18_crosstab", """
 SELECT l_linenumber, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS "A", sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS "N",
+ sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS "R",
  sum(CASE WHEN l_returnflag = 'X' THEN l_quantity ELSE 0 END) AS "X" FROM lineitem GROUP BY 1""")
 def _(t):
-    return A.crosstab(t.lineitem, "l_linenumber", "l_returnflag", ["A", "N", "X"], COL("l_quantity"))
+    return A.crosstab(t.lineitem, "l_linenumber", "l_returnflag", ["A", "N", "R", "X"], COL("l_quantity"))
 
 
 @query("ag19_partition_check", """
@@ -259,10 +260,10 @@ def _(t):
 
 
 @query("ag25_correlation_gap", " UNION ALL ".join(f"""SELECT '{x}~{y}' AS pair, round(corr({x}, {y}) FILTER (l_returnflag = 'A'), 6) AS r_a, count(*) FILTER (l_returnflag = 'A') AS n_a,
- round(corr({x}, {y}) FILTER (l_returnflag = 'N'), 6) AS r_b, count(*) FILTER (l_returnflag = 'N') AS n_b, round(abs(corr({x}, {y}) FILTER (l_returnflag = 'A') - corr({x}, {y}) FILTER (l_returnflag = 'N')), 6) AS gap FROM lineitem"""
+ round(corr({x}, {y}) FILTER (l_returnflag <> 'A'), 6) AS r_b, count(*) FILTER (l_returnflag <> 'A') AS n_b, round(abs(corr({x}, {y}) FILTER (l_returnflag = 'A') - corr({x}, {y}) FILTER (l_returnflag <> 'A')), 6) AS gap FROM lineitem"""
                                                 for x, y in [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]))
 def _(t):
-    g = A.correlation_gap(t.lineitem.filter("l_returnflag = 'A'"), t.lineitem.filter("l_returnflag = 'N'"), ["l_quantity", "l_extendedprice", "l_discount"])
+    g = A.correlation_gap(t.lineitem.filter("l_returnflag = 'A'"), t.lineitem.filter("l_returnflag <> 'A'"), ["l_quantity", "l_extendedprice", "l_discount"])
     return r(g, "r_a", "r_b", "gap")
 
 
@@ -329,7 +330,7 @@ def _(t):
 
 
 @query("ag31_design_cells", """
-SELECT c_mktsegment, count(*) FILTER (n_regionkey = 0) AS "0", count(*) FILTER (n_regionkey = 1) AS "1", count(*) FILTER (n_regionkey = 2) AS "2", count(*) FILTER (n_regionkey IN (0, 1, 2)) AS pooled,
- least(count(*) FILTER (n_regionkey IN (0, 1, 2)), 180) AS take FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+SELECT c_mktsegment, count(*) FILTER (n_regionkey = 0) AS "0", count(*) FILTER (n_regionkey = 1) AS "1", count(*) FILTER (n_regionkey = 2) AS "2", count(*) FILTER (n_regionkey = 3) AS "3", count(*) FILTER (n_regionkey = 4) AS "4", count(*) AS pooled,
+ least(count(*), 180) AS take FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def _(t):
-    return A.design_cells(cust(t), "n_regionkey", [0, 1, 2], "c_mktsegment", 180).withColumn("take", COL("take").cast("bigint"))
+    return A.design_cells(cust(t), "n_regionkey", [0, 1, 2, 3, 4], "c_mktsegment", 180).withColumn("take", COL("take").cast("bigint"))

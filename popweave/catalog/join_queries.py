@@ -126,10 +126,10 @@ def _(t):
 @query("jn11_lattice", """
 SELECT a.s AS c_mktsegment, p.p AS o_orderpriority, f.f AS o_orderstatus, count(o_orderkey) AS n FROM (SELECT DISTINCT c_mktsegment AS s FROM customer) a,
  (SELECT DISTINCT o_orderpriority AS p FROM orders) p, (SELECT DISTINCT o_orderstatus AS f FROM orders) f
-LEFT JOIN (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 480000) o ON c_mktsegment = s AND o_orderpriority = p AND o_orderstatus = f GROUP BY ALL""")
+LEFT JOIN (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) o ON c_mktsegment = s AND o_orderpriority = p AND o_orderstatus = f GROUP BY ALL""")
 def _(t):
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    got = o.filter("o_totalprice > 480000").groupBy("c_mktsegment", "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    got = o.groupBy("c_mktsegment", "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
     return (J.lattice(o, ["c_mktsegment", "o_orderpriority", "o_orderstatus"]).join(got, ["c_mktsegment", "o_orderpriority", "o_orderstatus"], "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))
 

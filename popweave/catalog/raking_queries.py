@@ -29,14 +29,14 @@ def rake_sql(head, rows, cols, n, select):
     return f"WITH {head}{chain} {select.format(last=last)}"
 
 
-BASE = f"""d AS (SELECT o_orderstatus AS s, c_mktsegment AS a, o_orderpriority AS b, year(o_orderdate) AS y, c_nationkey FROM {OC}), cells AS (SELECT s, a, b, count(*) + 1e-9::DOUBLE AS m FROM d WHERE y < 1997 GROUP BY ALL),
+BASE = f"""d AS (SELECT o_orderstatus AS s, c_mktsegment AS a, o_orderpriority AS b, year(o_orderdate) AS y, c_nationkey FROM {OC}), cells AS (SELECT s, a, b, count(*) + 1e-9::DOUBLE AS m FROM d WHERE y < 1998 GROUP BY ALL),
 rt AS (SELECT s, a, count(*)::DOUBLE AS target FROM d WHERE y >= 1998 GROUP BY ALL), ct AS (SELECT s, b, count(*)::DOUBLE AS target FROM d WHERE y >= 1998 GROUP BY ALL)"""
 
 
 def base(t):
     d = oc(t)
     late = d.filter("y >= 1998")
-    cells = d.filter("y < 1997").groupBy("s", "a", "b").agg((F.count("*") + R.SUPPORT).alias("m"))
+    cells = d.filter("y < 1998").groupBy("s", "a", "b").agg((F.count("*") + R.SUPPORT).alias("m"))
     return d, cells, late.groupBy("s", "a").agg(F.count("*").alias("target")), late.groupBy("s", "b").agg(F.count("*").alias("target"))
 
 

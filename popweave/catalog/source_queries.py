@@ -1,4 +1,6 @@
 """Ingestion builders over the given tables."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from popweave.catalog import query, r
@@ -261,7 +263,7 @@ def _(t):
     return N.points_of_interest(t.customer, lon, k % 7 + 0.5, "c_mktsegment", "c_custkey")
 
 
-@query("src22_sink_round_trip")
+@query("src22_sink_round_trip", " UNION ALL ".join(f"SELECT count(*) AS rows, count(DISTINCT c_custkey) AS keys, '{k}' AS sink FROM customer" for k in ("parquet", "csv", "json")))
 def _(t):
     from popweave.session import shared_dir
     import uuid
@@ -283,9 +285,12 @@ def _(t):
     return r(parts[0].unionByName(parts[1]), "peso", digits=2)
 
 
-@query("src24_instances", "SELECT * FROM (VALUES " + ", ".join(f"('{x}')" for x in TABLES) + ") v(instance)")
+@query("src24_instances", " UNION ALL ".join(f"SELECT '{x}' AS instance, count(*) AS rows FROM {x}" for x in TABLES))
 def _(t):
-    return N.list_instances(t.spark, t.sf_dir, "*.parquet", r"([a-z]+)\.parquet$").select("instance")
+    """The tables that the folder holds, each with its rows."""
+    found = N.list_instances(t.spark, t.sf_dir, "*.parquet", r"([a-z]+)\.parquet$").select("instance")
+    rows = reduce(lambda a, b: a.unionByName(b), [getattr(t, x).agg(F.count("*").alias("rows")).withColumn("instance", F.lit(x)) for x in TABLES])
+    return found.distinct().join(rows, "instance")
 
 
 @query("src25_sparse_cube", "SELECT user_id, count(*) AS n, round(sum(value), 2) AS mass FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k') IN ('1', '2', '3') GROUP BY 1")
@@ -294,9 +299,9 @@ def _(t):
     return r(d.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("mass")), "mass", digits=2)
 
 
-@query("ud1_pluggable_normaliser")
+@query("ud1_pluggable_normaliser", "SELECT unnest(string_split(p_name, ' ')) AS chiave, count(*) AS peso FROM part GROUP BY 1")
 def _(t):
-    """A user-added builder by name, and the same idea as a Python table function over one row."""
+    """A user-added builder by name."""
     def head_words(df, text):
         return df.select(F.explode(F.split(text, " ")).alias("chiave")).groupBy("chiave").agg(F.count("*").alias("peso"))
     N.register_builder("words", head_words)

@@ -21,11 +21,9 @@ from popweave.session import cut_lineage
 def with_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
     """Add one column per aggregate of ``totals`` taken over ``keys`` (whole table when empty).
 
-    For frames that are already reduced to cells. Without keys the cells are written once, so that
-    the total and the cells do not both go back to the raw rows.
+    For frames that are already reduced to cells. Without keys the totals are one scalar subquery over the same cells,
+    which shares their exchange; nothing runs before the action.
     """
-    if not keys:
-        df = cut_lineage(df)
     agg = df.groupBy(*keys).agg(*[e.alias(n) for n, e in totals.items()])
     return join_keys(df, agg, list(keys)) if keys else beside(df, agg)
 

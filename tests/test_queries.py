@@ -6,8 +6,8 @@ from popweave.catalog import QUERIES, SQL, load_all
 
 load_all()
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"jn9_one_to_one_match", "ge4_match_rates", "hh6_assembly", "hh8_assembly_summary", "dq5_file_hashes", "src22_sink_round_trip",
-             "ud1_pluggable_normaliser", "sv6_logit", "sv11_chi_square_p"}
+ROWS_ONLY = {"jn9_one_to_one_match", "ge4_match_rates", "hh6_assembly", "hh8_assembly_summary",
+             "sv6_logit", "sv11_chi_square_p"}
 
 
 @pytest.fixture(scope="module")
