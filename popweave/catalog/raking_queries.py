@@ -190,6 +190,22 @@ def _(t):
     return r(R.rake_blocks(lat, blocks, 2), "p", digits=9)
 
 
+def part_fit(t):
+    """A lattice of brands, types and sizes and two overlapping margins of it."""
+    d = t.part.select("p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
+    n = d.agg(F.count("*").cast("double")).scalar()
+    blk = lambda *k: (list(k), d.groupBy(*k).agg((F.count("*") / n).alias("alpha")))
+    return J.lattice(d, ["p_brand", "p_type", "p_size"]), [blk("p_brand", "p_type"), blk("p_type", "p_size"), blk("p_brand")]
+
+
+@query("ip7_converged", "SELECT p_brand, p_type, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 8) AS mass FROM part GROUP BY 1, 2")
+def _(t):
+    """Fit to convergence; the fitted margin is the wanted one, and nothing is left elsewhere."""
+    lat, blocks = part_fit(t)
+    f = R.rake_blocks(lat, blocks, 100, tolerance=1e-9)
+    return r(f.groupBy("p_brand", "p_type").agg(F.sum("p").alias("mass")).filter("mass > 1e-12"), "mass", digits=8)
+
+
 @query("ip8_constraint_filter", CUBE + "SELECT block, key, round(alpha, 8) AS alpha FROM cube WHERE alpha > 0 AND alpha >= 0.04 AND block <> 'Z'")
 def _(t):
     return r(C.filter_constraints(constraint_cube(t), 0.04, skip=["Z"]).select("block", "key", "alpha"), "alpha", digits=8)

@@ -119,39 +119,26 @@ def rake_blocks(lattice: DataFrame, blocks: Sequence[tuple[Sequence[str], DataFr
 
     A block is ``(attributes, frame(attributes..., alpha))`` with one row per constrained cell. One pass per
     block scales its cells to alpha; cells the block does not list share the rest, 1 - sum(alpha). The start
-    is uniform on the allowed lattice. Factors are written after every pass.
+    is uniform on the allowed lattice. ``p`` stays on the rows: a pass adds it up by block, writes the factors (a small
+    table) and multiplies by one join; the rows are written anew after each sweep. With ``tolerance`` the sweeps end
+    once the mean relative error of all constraints is below it.
     """
     lattice = cut_lineage(lattice)
-    blocks = [(attrs, cut_lineage(alpha)) for attrs, alpha in blocks]
-    size = lattice.count()
-    base = 1.0 / size
-    factors: list[DataFrame | None] = [None] * len(blocks)
-
-    def current(skip: int | None = None) -> tuple[DataFrame, Column]:
-        d, p = lattice, F.lit(base)
-        for i, f in enumerate(factors):
-            if f is not None:
-                attrs = list(blocks[i][0])
-                d = join_keys(d, f.withColumnRenamed("__f", f"__f{i}"), attrs)
-                p = p * F.col(f"__f{i}")
-        return d, p
-
+    blocks = [(list(attrs), cut_lineage(alpha.select(*attrs, "alpha"))) for attrs, alpha in blocks]
+    d = lattice.withColumn("__p", F.lit(1.0 / max(1, lattice.count())))
     for s in range(1, sweeps + 1):
-        for i, (attrs, alpha) in enumerate(blocks):
-            d, p = current()
-            q = d.groupBy(*attrs).agg(F.sum(p).alias("__q"), *([F.max(f"__f{i}").alias("__old")] if factors[i] is not None else [F.lit(1.0).alias("__old")]))
-            j = join_keys(q, alpha.select(*attrs, F.col("alpha").alias("__a")), list(attrs), "left")
+        for attrs, alpha in blocks:
+            q = d.groupBy(*attrs).agg(F.sum("__p").alias("__q"))
+            j = cut_lineage(join_keys(q, alpha.withColumnRenamed("alpha", "__a"), attrs, "left"))
             t = with_totals(j, [], {"__sa": F.sum("__a"), "__sq": F.sum(F.when(F.col("__a").isNotNull(), F.col("__q")))})
             outside = F.try_divide(F.greatest(1 - F.col("__sa"), F.lit(0.0)), F.when(1 - F.col("__sq") > 1e-15, 1 - F.col("__sq")))
             scale = F.when(F.col("__a").isNotNull(), F.coalesce(F.try_divide(F.col("__a"), F.col("__q")), F.lit(0.0))).otherwise(F.coalesce(outside, F.lit(1.0)))
-            factors[i] = cut_lineage(t.select(*attrs, (F.col("__old") * scale).alias("__f")))
-        if tolerance is not None and s % 10 == 0:
-            d, p = current()
-            if (block_error(d.withColumn("__p", p), "__p", blocks).agg(F.avg("rel_error")).first()[0] or 0.0) < tolerance:
-                break
-    d, p = current()
-    d = d.withColumn("__p", p).select(*lattice.columns, "__p")
-    return with_totals(d, [], {"__t": F.sum("__p")}).withColumn(out, F.col("__p") / F.col("__t")).drop("__p", "__t")
+            d = join_keys(d, t.select(*attrs, scale.alias("__f")), attrs).withColumn("__p", F.col("__p") * F.col("__f")).drop("__f")
+        if s < sweeps or tolerance is not None:
+            d = cut_lineage(d)
+        if tolerance is not None and (block_error(d, "__p", blocks).agg(F.avg("rel_error")).first()[0] or 0.0) < tolerance:
+            break
+    return with_totals(d.select(*lattice.columns, "__p"), [], {"__t": F.sum("__p")}).withColumn(out, F.col("__p") / F.col("__t")).drop("__p", "__t")
 
 
 def block_error(fitted: DataFrame, p: str, blocks: Sequence[tuple[Sequence[str], DataFrame]]) -> DataFrame:
