@@ -11,7 +11,7 @@ from popweave.llm.registry import table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of their language; the classifier learns from the labelled ones."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    return toxicity.keep_clean(docs, toxicity.fit(docs.select("doc_id", "text", "lang").join(labels, "doc_id")))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 import pickle
 import sys
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -111,24 +110,33 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(mod)
 
 
-def bounded_sample(df: DataFrame, keys: list[str], bound: int, id_col: str) -> DataFrame:
-    """About ``bound`` rows of each group, by a hash of the id: the documented bound on what a model is fitted on.
+BROADCAST_ROWS = 500_000       # narrow rows (ids, counts) up to here go to all executors; beyond, joins shuffle
 
-    All rows stay where a group has fewer. The counts are one small aggregate.
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are few; else as it is. For rows of a few numbers only."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def picked(df: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, dict]:
+    """About ``bound`` rows of each group (all, where there are fewer) by a hash of ``id``, and the size of each group.
+
+    This is the documented bound on what a model is fitted on. The counts of the groups are joined by broadcast, so
+    rows are not shuffled.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.lit(float(bound)) / F.col("__n")
-    unit = (F.pmod(F.xxhash64(F.col(id_col), F.lit(20_23)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    cond = None
-    right = counts.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    for k in keys:
-        c = df[k].eqNullSafe(right[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return df.join(right, cond).where(unit < share).drop("__n", *[f"__r_{k}" for k in keys])
+    counts = written(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "counts")
+    unit = F.pmod(F.xxhash64("id", F.lit(20_23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = {tuple(r[k] for k in keys): r["__n"] for r in counts.collect()}
+    return df.join(small(counts), keys).where(unit < F.lit(float(bound)) / F.col("__n")).drop("__n"), sizes
+
 
+def bounded_sample(docs: DataFrame, ids: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, dict]:
+    """Rows of ``docs`` (by ``id``) for about ``bound`` of the ``ids`` of each group, with the columns ``keys``.
 
-def small_crc(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
+    Only ids are counted and picked; texts are met by a broadcast of the picked ids, so no text is shuffled.
+    """
+    chosen, sizes = picked(ids, keys, bound)
+    return docs.join(small(written(chosen, "picked")), "id"), sizes
 
 
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
@@ -164,3 +172,18 @@ class Shared:
         if self.value is None:
             self.value = pickle.loads(self.packed.value)
         return self.value
+
+
+def fitted(sample: DataFrame, columns: list[str], fn: Callable):
+    """``fn`` of the columns (lists) of a bounded sample, run in one task on an executor; None for an empty sample.
+
+    Rows stand in the order of the columns, nulls first, so that a rerun fits the same model.
+    """
+    def run(batches):
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+        if rows:
+            rows.sort(key=lambda r: [(v is not None, v) if v is not None else (False, 0) for v in r])
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fn(*map(list, zip(*rows, strict=True))))])], ["model"])
+
+    got = sample.select(*columns).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0]["model"])) if got else None

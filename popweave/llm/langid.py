@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from popweave.llm.common import Shared, bounded_sample, map_slices, mix
+from popweave.llm.common import Shared, map_slices, mix, picked
 
 SAMPLE = 1500                  # texts of each language that its profile is learned from, at most (documented bound)
 PROFILE = 400                  # most frequent n-grams that a profile and a document keep
@@ -103,6 +103,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     null language or text teach nothing.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows, _ = picked(rows, ["lang"], sample)
 
     def count(part: pa.RecordBatch) -> dict:
         langs = np.array(part.column("lang").to_pylist(), object)
@@ -115,7 +116,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             out["n"].append(n.astype(np.int64))
         return out | {k: np.concatenate(out[k]) for k in ("gram", "n")}
 
-    sums = map_slices(bounded_sample(rows, ["lang"], sample, "id"), count, "lang string, gram bigint, n bigint", limit=_SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = map_slices(rows, count, "lang string, gram bigint, n bigint", limit=_SLICE).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranks: dict[str, list] = {}
     for r in sorted(sums.withColumn("place", place).where(F.col("place") <= PROFILE).select("lang", "place", "gram").collect()):

@@ -8,9 +8,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from popweave.llm.common import Shared, bounded_sample, map_slices
+from popweave.llm.common import Shared, bounded_sample, fitted, map_slices
 
-SAMPLE = 2000                  # labelled rows of each label that the model is fitted on, at most (documented bound)
+SAMPLE = 2000                  # labelled rows of each label that the model is fitted on, in one task, at most (documented bound)
 CHUNK = 256                    # a text is compressed in pieces of so many bytes, each against the whole dictionary
 DICTIONARY = 112_640           # bytes of a dictionary, at most
 LEVEL = 3
@@ -98,18 +98,18 @@ def train(texts: list, labels: np.ndarray) -> Model:
     return Model(good, bad, mean, scale, logistic((x - mean) / scale, labels[check], even=True))
 
 
-def fit(labelled: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` labelled rows of each label (all, where there are fewer), picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """Fit on about ``sample`` labelled rows of each label (all, where there are fewer), picked by a hash of the id;
+    ``labels`` has ids and labels.
 
     The score is calibrated at even odds of the two labels, however rare one is. Rows without a label are left out;
     without any, the model is a constant.
     """
-    rows = labelled.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label is not null")
-    got = sorted(bounded_sample(rows, ["label"], sample, "id").collect(), key=lambda r: (r["label"], r["id"] is None, r["id"] or 0, r["text"] or ""))
-    if not got:
-        return Model(b"", b"", np.zeros(9), np.ones(9), np.zeros(10))
-    y = np.array([r["label"] for r in got], float)
-    return train([r["text"] for r in got], y)
+    base = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    known = base.select("id").join(labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("label is not null"), "id")
+    sample_rows, _ = bounded_sample(base, known, ["label"], sample)
+    got = fitted(sample_rows, ["label", "id", "text"], lambda label, id_, text: train(text, np.array(label, float)))
+    return got or Model(b"", b"", np.zeros(9), np.ones(9), np.zeros(10))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

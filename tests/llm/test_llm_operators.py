@@ -86,14 +86,14 @@ def test_quality_learns_and_stands_odd_rows(spark, odd, none):
     rng = random.Random(1)
     labelled = spark.createDataFrame([(i, prose(80, rng) if i % 2 else " ".join([rng.choice(WORDS)] * 60), i % 2) for i in range(200)] + [(900, None, 1), (901, "x", None)],
                                      "doc_id bigint, text string, quality int")
-    model = quality.fit(labelled)
+    model = quality.fit(labelled, labelled)
     got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame([(1, prose(80)), (2, "w5x " * 60)], "doc_id bigint, text string"), model).collect()}
     assert got[1] > 0.7 > 0.3 > got[2]
     seen = quality.score(odd, model).collect()
     assert len(seen) == len(ODD) and all(0 <= r["score"] <= 1 for r in seen)
     assert len({r["score"] for r in seen if r["doc_id"] in (1, 2)}) == 1
     assert quality.score(none, model).count() == 0
-    assert all(0 <= r["score"] <= 1 for r in quality.score(odd, quality.fit(labelled.where("false"))).collect())
+    assert all(0 <= r["score"] <= 1 for r in quality.score(odd, quality.fit(labelled, labelled.where("false"))).collect())
 
 
 def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
@@ -101,14 +101,14 @@ def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
     text = lambda bad: prose(40, rng) + (" vileword" + rng.choice("abc") if bad else "") + " " + prose(40, rng)             # noqa: E731
     labelled = spark.createDataFrame([(i, text(i % 2), "en" if i % 3 else "fr", i % 2) for i in range(300)] + [(900, None, None, 0), (901, "x", "en", None)],
                                      "doc_id bigint, text string, lang string, toxic int")
-    model = toxicity.fit(labelled)
+    model = toxicity.fit(labelled, labelled)
     got = {r["doc_id"]: r for r in toxicity.classify(spark.createDataFrame([(1, text(0), "en"), (2, LONG + " vilewordb", "xx"), (3, LONG, None)], "doc_id bigint, text string, lang string"), model).collect()}
     assert got[2]["score"] > 0.5 > got[1]["score"] and got[3]["score"] < 0.5 and got[2]["rejected"] and not got[3]["rejected"]
     assert {"", "en"} <= set(model.thresholds)
     seen = toxicity.classify(odd, model).collect()
     assert len(seen) == len(ODD) and all(0 <= r["score"] <= 1 for r in seen)
     assert rows(toxicity.keep_clean(odd, model)) == rows(odd) and toxicity.keep_clean(none, model).count() == 0
-    assert rows(toxicity.keep_clean(odd, toxicity.fit(labelled.where("false")))) == rows(odd)
+    assert rows(toxicity.keep_clean(odd, toxicity.fit(labelled, labelled.where("false")))) == rows(odd)
 
 
 def test_languages(spark, odd, none):
