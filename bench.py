@@ -10,7 +10,7 @@ from popweave.catalog import QUERIES, load_all  # noqa: E402
 from popweave.session import local_session  # noqa: E402
 
 HEADLINE = ["ds3_conditioner_ranking", "ag16_multi_margin_counts", "ds5_all_margins", "as3_section_allocation", "as8_hot_deck", "as9_weighted_draw",
-            "ip1_two_margins", "ip7_block_raking", "jn6_point_in_polygon", "hh6_assembly"]
+            "ip1_two_margins", "ip7_block_raking", "ip7_converged", "jn6_point_in_polygon", "hh6_assembly"]
 
 
 def main() -> None:
