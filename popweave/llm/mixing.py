@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from popweave.functions.draws import draw, draw_sql
+from popweave.llm.common import written
 from popweave.session import salt_count
 
 REPEATS = 3                    # no document is taken more often
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, channel: str = "mix", text: str = "text", source: str =
          .withColumn("mix_class", size_class(F.col("mix_size")))
          .withColumn("mix_slice", F.floor(F.col("mix_draw") * slices).cast("int"))
          .withColumn("mix_key", F.struct(*key)))
-    parts = d.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words"))
+    parts = written(d.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")), "parts")
     of_source = W.partitionBy("mix_key.mix_source").orderBy("mix_key.mix_class", "mix_key.mix_slice").rowsBetween(W.unboundedPreceding, -1)
     per = targets(parts.groupBy(F.col("mix_key.mix_source").alias("source")).agg(F.sum("words").alias("source_size")))
     offsets = parts.select("mix_key", F.coalesce(F.sum("n").over(of_source), F.lit(0)).alias("mix_before"))
