@@ -39,9 +39,9 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     lengths = np.fromiter(map(len, sets), np.int64, n)
     order = np.argsort(lengths, kind="stable")
     start = 0
-    while start < n:                                   # groups of sets of similar length, about 200,000 elements each
-        ends = np.cumsum(lengths[order[start:]])
-        take = max(1, int(np.searchsorted(ends, 200_000, side="right")))
+    while start < n:                                   # groups of sets of similar length; permutations take 512 bytes an element
+        ends = np.cumsum(lengths[order[start:start + 4000]])
+        take = max(1, int(np.searchsorted(ends, 50_000, side="right")))
         group = order[start:start + take]
         out[group] = _signatures([sets[i] for i in group], slots)
         start += take
@@ -154,8 +154,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that still hold several labels, cut into blocks, and the pairs of blocks to compare.
 
-    Members of a bucket stand by label, so blocks that lie in one label are never compared with each other. Every pair
-    of members with different labels meets in exactly one pair of blocks per shared bucket.
+    A block holds some ``BLOCK`` members or 200,000 shingles, picked by hash. Every pair of members meets in exactly one
+    pair of blocks per shared bucket; a bucket whose members all have one label is left out.
     """
     rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size"))
