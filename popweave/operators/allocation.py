@@ -15,7 +15,7 @@ from popweave.functions.draws import draw
 from popweave.operators.aggregates import with_totals
 from popweave.operators.joins import fallback_level
 from popweave.plans.intervals import cumulative_table, pick
-from popweave.plans.ranking import join_keys, magnitude_slice, rank_by_draw, running_total, sizes_by_draw
+from popweave.plans.ranking import join_keys, key_slice, rank_by_draw, running_total, sizes_by_draw
 from popweave.session import cut_lineage, salt_count
 
 
@@ -113,7 +113,7 @@ def uniform_pick(people: DataFrame, pool: DataFrame, unit: Sequence[str], pool_i
 
     A numbered pool turns the draw into an equi-join on (unit, number).
     """
-    numbered = running_total(pool, unit, [F.col(pool_id)], magnitude_slice(F.col(pool_id)), F.lit(1).cast("bigint"), "__no")
+    numbered = running_total(pool, unit, [F.col(pool_id)], key_slice(pool, pool_id), F.lit(1).cast("bigint"), "__no")
     n = pool.groupBy(*unit).agg(F.count("*").alias("__n"))
     p = join_keys(people, n, list(unit), "left").withColumn("__no", (F.floor(draw(channel, key) * F.col("__n")) + 1).cast("bigint"))
     return join_keys(p, numbered.select(*unit, "__no", *take), [*unit, "__no"], "left").drop("__n", "__no")
@@ -153,7 +153,7 @@ def hot_deck(people: DataFrame, donors: DataFrame, levels: Sequence[Sequence[str
     for c in keys:
         used = [i for i, u in enumerate(every) if c in u]
         who = who.withColumn(f"__{c}", F.when(F.col("level").isin(used), F.coalesce(F.col(c).cast("string"), F.lit(V.UNDEFINED_CELL))))
-    table = cumulative_table(pools, cell, "__w", [donor], magnitude_slice(F.col(donor)))
+    table = cumulative_table(pools, cell, "__w", [donor], key_slice(pools, donor))
     got = pick(who, table, cell, [donor], u=draw("donor", key)).drop(*[f"__{c}" for c in keys])
     filled = [F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(token)).alias(f"d_{c}") for c in vector]
     return got.join(donors.select(donor, *filled), donor)

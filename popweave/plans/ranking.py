@@ -45,6 +45,14 @@ def magnitude_slice(value: Column) -> Column:
     return (F.signum(v).cast("int") * (level * F.lit(1 << SLICE_BITS) + top).cast("int")).cast("int")
 
 
+def key_slice(df: DataFrame, column: str) -> Column:
+    """Monotone slice number of an ordering key: the magnitude of a number, the first seven bytes of a text."""
+    if dict(df.dtypes)[column] != "string":
+        return magnitude_slice(F.col(column))
+    head = F.hex(F.substring(F.col(column).cast("binary"), 1, 7))
+    return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("bigint")
+
+
 def _sliced(df: DataFrame, keys: Key, slice_: Column, value: Column) -> DataFrame:
     return df.withColumn("__v", value).withColumn("__g", F.struct(*keys, slice_.alias("__s")))
 

@@ -79,3 +79,12 @@ def test_all_numbers_of_a_text_are_read(spark):
     text = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(9)))], "id int, text string")
     found = {r["problem"]: r["detail"] for r in S.story_problems(text, "id", "text", [], []).collect()}
     assert found["digits"].split() == [f"w{i}" for i in range(9)]
+
+
+def test_text_keys_are_sliced_in_order(spark):
+    ids = sorted(f"{w}:{i}" for w in (1995, 1996) for i in range(300)) + ["é", "z"]
+    df = spark.createDataFrame([("a", i, 0.1) for i in ids], "c string, id string, w double")
+    by = [r[0] for r in df.orderBy("id").select(ranking.key_slice(df, "id")).collect()]
+    assert by == sorted(by) and len(set(by)) > 100
+    cum = sorted(intervals.cumulative_table(df, ["c"], "w", ["id"], ranking.key_slice(df, "id")).collect(), key=lambda r: r["lo"])
+    assert all(a["hi"] == b["lo"] for a, b in zip(cum, cum[1:], strict=False)) and len(cum) == len(ids)
