@@ -275,6 +275,14 @@ def test_passages(spark, odd, none):
     assert {r["doc_id"] for r in found} == {1, 2, 4, 5} and {r["doc_id"] for r in found if r["whole_copy"]} == {4, 5}
 
 
+def test_text_of_fifty_words_inside_a_longer_one(spark):
+    rng = random.Random(11)
+    short = prose(50, rng)
+    docs = spark.createDataFrame([(1, prose(200, rng) + " " + short + " " + prose(200, rng)), (2, short)], "doc_id bigint, text string")
+    got = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got} == {(1, 200, 250, 1), (2, 0, 50, 1)}
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def test_neighbours_on_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
