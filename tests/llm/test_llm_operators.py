@@ -283,6 +283,30 @@ def test_text_of_fifty_words_inside_a_longer_one(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got} == {(1, 200, 250, 1), (2, 0, 50, 1)}
 
 
+def test_verification_matches_all_places_and_splits_runs():
+    new = lambda n, at=[0]: np.arange(at.__setitem__(0, at[0] + n) or at[0] - n, at[0], dtype=np.uint64)                    # noqa: E731
+    run = new(60)
+    # every token of the run stands four times earlier in y, in other orders
+    rng = np.random.default_rng(5)
+    y = np.concatenate([*(np.concatenate([rng.permutation(run), new(30)]) for _ in range(4)), run])
+    assert (0, 59, len(y) - 60, len(y) - 1) in passages.matching_passages(run, y, 46, 0.8)
+    # a passage with one changed word, then on the same diagonal a template with a changed word in every ten
+    x = new(300)
+    y = x.copy()
+    y[38:43] = new(5)
+    for i in range(81, 300, 10):
+        y[i:i + 5] = new(5)
+    got = passages.matching_passages(x, y, 46, 0.8)
+    assert got and min(g[0] for g in got) == 0 and max(g[1] for g in got) >= 75 and all(g[0] == g[2] and g[1] == g[3] for g in got)
+    for a, b, _, _ in got:
+        same = len(np.intersect1d(x[a:b + 1], y[a:b + 1]))
+        assert b - a >= 45 and same >= 0.8 * (2 * (b - a + 1) - same)
+    # chunks of matches give the same runs
+    z = rng.integers(0, 9, 400).astype(np.uint64)
+    w = rng.integers(0, 9, 300).astype(np.uint64)
+    assert all((p == q).all() for p, q in zip(passages._equal_runs(z, w), passages._equal_runs(z, w, 100), strict=True))
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def test_neighbours_on_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
