@@ -307,6 +307,27 @@ def test_verification_matches_all_places_and_splits_runs():
     assert all((p == q).all() for p, q in zip(passages._equal_runs(z, w), passages._equal_runs(z, w, 100), strict=True))
 
 
+def test_passages_that_the_smallest_texts_of_their_keys_lack(spark):
+    """Texts 10 and 11 share a passage; under each hash function an unrelated smaller text has the minimum's token."""
+    rng = random.Random(12)
+    shared = prose(80, rng)
+    long_ = " ".join([prose(60, rng), shared, prose(60, rng)])
+    words = shared.split()
+    # smaller texts hold every token of the passage, three tokens in a row at most
+    docs = [(i, " ".join(prose(50, rng) + " " + " ".join(words[j:j + 7]) + " " + prose(50, rng) for j in range(i % 3, 76, 3))) for i in range(1, 4)]
+    docs += [(10, long_), (11, " ".join([prose(90, rng), shared, prose(20, rng)]))]
+    for parts in (1, 5):
+        got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)).collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got} == {(10, 60, 140, 10), (11, 90, 170, 10)}
+
+
+def test_poorest_stretch():
+    rng = np.random.default_rng(6)
+    for n in (10, 40):
+        t = rng.integers(0, 12, n)
+        assert passages._poorest(t, 10) == min(len(set(t[i:i + 10])) for i in range(n - 9))
+
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 def test_neighbours_on_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
