@@ -18,4 +18,4 @@ def op3_salvage(spark, sf_dir):
     """Every page written as a WARC record and read back from the archives."""
     folder = warc.write_archives(table(spark, sf_dir, "pages"))
     got = warc.read_archives(spark, folder, with_payload=False).where("error is null")
-    return got.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+    return got.select(F.nullif("record_id", F.lit("null")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))

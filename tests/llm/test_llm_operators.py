@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from popweave.llm import ann, decontam, langid, mixing, neardup, passages, quality, sharding, toxicity, warc
+from popweave.llm import ann, decontam, langid, mixing, neardup, passages, quality, sharding, toxicity, warc, warc_query
 from popweave.llm.common import components
 
 random.seed(3)
@@ -157,6 +157,13 @@ def test_salvage_recovers_later_records(packed):
     assert list(warc.salvage(b"")) == [] and len(list(warc.salvage(b"\x1f\x8b\x08\x00 WARC/1.0\r\n"))) == 1
 
 
+def test_salvage_query_with_a_null_page_id(spark, tmp_path):
+    pages = [(1, "u1", "<p>a</p>"), (None, "u2", "<p>b</p>"), (3, "u3", "<p>a</p>")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in warc_query.op3_salvage(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, None, 3} and got[3]["refers_to"] == 1 and got[None]["record_type"] == "response"
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 def test_mix_keeps_targets_and_bounds(spark, odd, none):
     rng = random.Random(5)
