@@ -111,6 +111,16 @@ def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
     assert rows(toxicity.keep_clean(odd, toxicity.fit(labelled, labelled.where("false")))) == rows(odd)
 
 
+def test_threshold_weighs_rows_by_their_label():
+    rng = np.random.default_rng(7)
+    y = np.repeat([1.0, 0.0], 200)
+    s = np.clip(rng.normal(0.4 + 0.2 * y, 0.15), 0.01, 0.99)
+    many = np.where(y == 1, 1, 20)
+    got = toxicity.best_threshold(s, y, many.astype(float))
+    assert got == toxicity.best_threshold(np.repeat(s, many), np.repeat(y, many), np.ones(many.sum()))
+    assert got > toxicity.best_threshold(s, y, np.ones(400))
+
+
 def test_languages(spark, odd, none):
     rng = random.Random(4)
     words = {"aa": ["baba", "lala", "tata"], "bb": ["zozo", "kiki", "rere"]}
