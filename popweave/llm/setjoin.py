@@ -72,15 +72,19 @@ def _indexed(docs: DataFrame, rarity: Shared, k: int, percent: int) -> DataFrame
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Whole sets of ``nodes(id, digest, node)``, computed again from the texts and met by digest."""
+    """Whole sets of ``nodes(id, digest, node, rows)``, computed again from the texts that carry them.
+
+    Only the narrow table of nodes meets the texts; sets are shuffled here for the few nodes whose row is repeated.
+    """
     words = WordHash()
 
     def build(part: pa.RecordBatch) -> dict:
         sets = [_set_of(t, words, k) for t in part.column("text").to_pylist()]
-        return {"digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+        same = [len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
+        return {"node": [v for v, ok in zip(part.column("node").to_pylist(), same, strict=True) if ok], "shingles": [v.view(np.int64) for v, ok in zip(sets, same, strict=True) if ok]}
 
-    texts = docs.join(nodes.select("id").distinct(), "id", "left_semi")
-    return map_slices(texts, build, "digest binary, shingles array<bigint>").join(nodes.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles")
+    of = lambda few: map_slices(docs.join(nodes.where(few).drop("rows"), "id"), build, "node bigint, shingles array<bigint>")      # noqa: E731
+    return written(of("rows = 1").unionByName(of("rows > 1").dropDuplicates(["node"])), "sets")
 
 
 def _lists(reps: DataFrame) -> DataFrame:
@@ -96,17 +100,20 @@ def _lists(reps: DataFrame) -> DataFrame:
     return rows.join(lists, "token")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Each set with the hub of every list it is in: as many pairs as rows. The hub is in most and longest lists."""
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Each set with the hub of every list it is in, where sizes and positions allow a link: at most as many pairs as rows.
+
+    The hub is the set that is in most and longest lists.
+    """
     score = lists.groupBy("node").agg(F.sum("members").alias("score"))
     scored = lists.join(score, "node")
-    hub = scored.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    return lists.join(hub, "token").where("node <> hub").select("hub", "hub_n", "node", "n").distinct()
+    hub = scored.groupBy("token").agg(F.max(F.struct("score", "node", "n", "pos")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
+    able = f"node <> hub and {100 + percent} * least(n - pos, hub_n - hub_pos) >= {percent} * (n + hub_n)"
+    return lists.join(hub, "token").where(able).select("hub", "hub_n", "node", "n").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    near = pairs.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").join(sets, "node")
-    both = near.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
     common = F.size(F.array_intersect("shingles", "of_hub"))
     return both.where(F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("hub_n") - common)).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
@@ -132,7 +139,26 @@ def _tiles(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         f"and {100 + percent} * least(n1 - p0, o_n1 - o_p0) >= {percent} * (n0 + o_n0)")
     pairs = written(pairs.select("token", F.col("block").alias("x"), F.col("o_block").alias("y")), "pairs")
     ends = pairs.select("token", F.col("x").alias("block"), "x", "y").unionByName(pairs.where("x <> y").select("token", F.col("y").alias("block"), "x", "y"))
-    return rows.join(ends, ["token", "block"]).select("token", "x", "y", "block", "node", "n", "pos", "label")
+    dealt = rows.join(ends, ["token", "block"]).select("token", "x", "y", "block", "node", "n", "pos", "label")
+    return dealt.groupBy("token", "x", "y").applyInArrow(_open_rows(percent), dealt.schema)
+
+
+def _able(group: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs of a tile (above the diagonal) may be links that join two labels, by sizes and positions."""
+    n, pos, label, block = (group.column(c).to_numpy() for c in ("n", "pos", "label", "block"))
+    rest = n - pos
+    able = (label[:, None] != label[None, :]) & ((100 + percent) * np.minimum(rest[:, None], rest[None, :]) >= percent * (n[:, None] + n[None, :]))
+    if group.column("x")[0].as_py() != group.column("y")[0].as_py():
+        able &= block[:, None] != block[None, :]                           # pairs inside a block have a tile of their own
+    return np.triu(able, 1)
+
+
+def _open_rows(percent: int):
+    def keep(group: pa.Table) -> pa.Table:
+        """Rows of a tile that have a partner, before any whole set is sent to it."""
+        able = _able(group, percent)
+        return group.filter(pa.array(able.any(axis=0) | able.any(axis=1)))
+    return keep
 
 
 def _answers(percent: int):
@@ -147,16 +173,8 @@ def _answers(percent: int):
         lists of these few shingles.
         """
         group = group.sort_by([("label", "ascending"), ("node", "ascending")])
-        n, pos, label, block = (group.column(c).to_numpy() for c in ("n", "pos", "label", "block"))
-        sets = group.column("shingles").to_numpy()
-        size = len(n)
-        total = n[:, None] + n[None, :]
-        able = (label[:, None] != label[None, :]) & ((100 + percent) * np.minimum((n - pos)[:, None], (n - pos)[None, :]) >= percent * total)
-        if group.column("x")[0].as_py() != group.column("y")[0].as_py():
-            able &= block[:, None] != block[None, :]
-        able = np.triu(able, 1)
-        if not able.any():
-            return schema.empty_table()
+        n, label, sets = (group.column(c).to_numpy() for c in ("n", "label", "shingles"))
+        size, able = len(n), _able(group, percent)
         _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(size), n)
         shared = (times > 1)[code]
@@ -178,7 +196,7 @@ def _answers(percent: int):
                 v = up[v] = up.get(up[v], up[v])
             return v
 
-        need = -(-percent * total // (100 + percent))
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
         first = counts = None
         for i in range(size):
             open_ = [j for j in np.flatnonzero(able[i]) if root(label[i]) != root(label[j])]
@@ -228,20 +246,24 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = written(_indexed(base, _rarity(base, k), k, percent).withColumn("row", F.monotonically_increasing_id()), "signed")
     usable = signed.where("digest is not null and id is not null").select("id", "row", "digest", "n")
-    groups = written(usable.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"))
-                     .select("digest", F.col("rep.id").alias("id"), F.col("rep.row").alias("node"), "copies"), "groups")
+    groups = usable.groupBy("digest", "id").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"))
+    groups = written(groups.groupBy("digest").agg(F.min(F.struct("id", "row", "rows")).alias("rep"), F.sum("rows").alias("copies"))
+                     .select("digest", F.col("rep.id").alias("id"), F.col("rep.row").alias("node"), "rep.rows", "copies"), "groups")
     surplus = usable.join(groups.where("copies > 1"), "digest").where("row <> node").select("row")
     reps = signed.where("digest is not null and id is not null").join(surplus, "row", "left_anti").select(F.col("row").alias("node"), "n", "prefix")
     lists = written(_lists(reps), "lists")
-    wanted = groups.join(lists.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets(base.where("id is not null"), wanted, k), "sets")
+    named = base.where("id is not null")
+    sets_of = lambda nodes: _sets(named, groups.join(nodes, "node", "left_semi").select("id", "digest", "node", "rows"), k)      # noqa: E731
+    stars = written(_stars(lists, percent), "stars")
+    sets = sets_of(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct())
     # texts of one id are one document
     twice = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     same = usable.join(twice.select("id", F.col("lo").alias("of")), "id").select("digest", "of").where("digest <> of").distinct()
     node = lambda name, out: groups.select(F.col("digest").alias(name), F.col("node").alias(out))          # noqa: E731
     same = same.join(node("digest", "a"), "digest").join(node("of", "b"), "of").select("a", "b")
-    labels = written(components(written(_verified(_stars(lists), sets, percent).unionByName(same), "links"), spark).withColumnRenamed("id", "node"), "labels")
-    dealt = _tiles(lists, labels, percent).join(sets, "node")
+    labels = written(components(written(_verified(stars, sets, percent).unionByName(same), "links"), spark).withColumnRenamed("id", "node"), "labels")
+    tiles = written(_tiles(lists, labels, percent), "tiles")
+    dealt = tiles.join(sets_of(tiles.select("node").distinct()), "node")
     more = written(dealt.groupBy("token", "x", "y").applyInArrow(_answers(percent), "a bigint, b bigint").distinct(), "more")
     joined = components(more, spark).select(F.col("id").alias("label"), F.col("label").alias("joined"))
     # labels of single nodes that a tile joined stand for themselves
