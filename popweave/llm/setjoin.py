@@ -53,22 +53,43 @@ def _rarity(docs: DataFrame, k: int) -> Shared:
     return Shared(docs.sparkSession, power)
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """A bit per residue of the shingles, turned over by each of them; as many bits as the next power of two (256 at least).
+
+    Two such maps differ in at most as many bits as their sets differ in shingles, so they rule links out, never in.
+    """
+    width = max(256, 1 << int(len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For pairs of maps, a lower bound of the number of shingles that one set has and the other has not."""
+    out = np.zeros(len(x), np.int64)
+    lengths = np.array([[len(u), len(v)] for u, v in zip(x, y, strict=True)]).reshape(-1, 2)
+    for a, b in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == (a, b)).all(axis=1))
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(z[i] for i in at), np.uint8).reshape(len(at), -1, min(a, b)), axis=1) for z in (x, y)]
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(axis=1)
+    return out
+
+
 def _indexed(docs: DataFrame, rarity: Shared, k: int, percent: int) -> DataFrame:
-    """``id``, set size, digest of the set and its prefix: the shingles, rarest first, of which similar sets share one."""
+    """``id``, set size, digest and parity map of the set, and its prefix: the shingles, rarest first, of which similar sets share one."""
     words = WordHash()
 
     def index(part: pa.RecordBatch) -> dict:
-        power, size, digest, prefix = rarity.get(), [], [], []
+        power, size, digest, prefix, bits = rarity.get(), [], [], [], []
         for t in part.column("text").to_pylist():
             s = _set_of(t, words, k)
             size.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            bits.append(_parity(s) if len(s) else None)
             order = power[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(57) | mix(s) >> np.uint64(7)
             upto = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
             prefix.append(np.sort(np.partition(order, upto - 1)[:upto] if upto else order).view(np.int64))
-        return {"id": part.column("id"), "n": size, "digest": digest, "prefix": prefix}
+        return {"id": part.column("id"), "n": size, "digest": digest, "prefix": prefix, "bits": bits}
 
-    return map_slices(docs, index, "id bigint, n bigint, digest binary, prefix array<bigint>")
+    return map_slices(docs, index, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -112,6 +133,20 @@ def _stars(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(hub, "token").where(able).select("hub", "hub_n", "node", "n").distinct()
 
 
+def _near_stars(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their parity maps do not rule out."""
+    columns = pairs.columns
+
+    def keep(batches):
+        for batch in batches:
+            total = batch.column("n").to_numpy() + batch.column("hub_n").to_numpy()
+            ok = (100 + percent) * _apart(batch.column("bits").to_pylist(), batch.column("hub_bits").to_pylist()) <= (100 - percent) * total
+            yield batch.filter(pa.array(ok)).select(columns)
+
+    both = pairs.join(bits, "node").join(bits.select(F.col("node").alias("hub"), F.col("bits").alias("hub_bits")), "hub").select(*pairs.columns, "bits", "hub_bits")
+    return both.mapInArrow(keep, pairs.schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
     common = F.size(F.array_intersect("shingles", "of_hub"))
@@ -161,6 +196,21 @@ def _open_rows(percent: int):
     return keep
 
 
+def _near_rows(tiles: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Rows of tiles that still have a partner when parity maps are compared."""
+    columns = tiles.columns
+
+    def keep(group: pa.Table) -> pa.Table:
+        able, n, maps = _able(group, percent), group.column("n").to_numpy(), group.column("bits").to_pylist()
+        i, j = np.nonzero(able)
+        ok = (100 + percent) * _apart([maps[v] for v in i], [maps[v] for v in j]) <= (100 - percent) * (n[i] + n[j])
+        hit = np.zeros(len(n), bool)
+        hit[i[ok]] = hit[j[ok]] = True
+        return group.filter(pa.array(hit)).select(columns)
+
+    return tiles.join(bits, "node").select(*tiles.columns, "bits").groupBy("token", "x", "y").applyInArrow(keep, tiles.schema)
+
+
 def _answers(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -234,7 +284,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     2. A second pass gives each text its set's digest and prefix. Equal sets become one node; texts are not shuffled.
     3. Prefixes make inverted lists. The hub of each list is verified against its members on whole sets; union-find.
     4. Lists that still hold several components are cut into blocks by size and position; pairs of blocks are skipped
-       by their bounds. What remains is compared inside tasks, where answers of a set are derived from those of the
+       by their bounds, then rows by parity maps of their sets (a bit or two per shingle). What remains is compared inside tasks, where answers of a set are derived from those of the
        first set of its component. Only joined components come out; union-find over them.
 
     No link is missed: every two linked sets share a prefix shingle, and in each list either their components are equal
@@ -250,12 +300,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     groups = written(groups.groupBy("digest").agg(F.min(F.struct("id", "row", "rows")).alias("rep"), F.sum("rows").alias("copies"))
                      .select("digest", F.col("rep.id").alias("id"), F.col("rep.row").alias("node"), "rep.rows", "copies"), "groups")
     surplus = usable.join(groups.where("copies > 1"), "digest").where("row <> node").select("row")
-    reps = signed.where("digest is not null and id is not null").join(surplus, "row", "left_anti").select(F.col("row").alias("node"), "n", "prefix")
+    reps = signed.where("digest is not null and id is not null").join(surplus, "row", "left_anti").select(F.col("row").alias("node"), "n", "prefix", "bits")
     lists = written(_lists(reps), "lists")
     named = base.where("id is not null")
     sets_of = lambda nodes: _sets(named, groups.join(nodes, "node", "left_semi").select("id", "digest", "node", "rows"), k)      # noqa: E731
+    maps = lambda nodes: written(reps.select("node", "bits").join(nodes.select("node").distinct(), "node", "left_semi"), "maps")      # noqa: E731
     stars = written(_stars(lists, percent), "stars")
-    sets = sets_of(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct())
+    ends = lambda pairs: pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node")))           # noqa: E731
+    stars = written(_near_stars(stars, maps(ends(stars)), percent), "stars")
+    sets = sets_of(ends(stars).distinct())
     # texts of one id are one document
     twice = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
     same = usable.join(twice.select("id", F.col("lo").alias("of")), "id").select("digest", "of").where("digest <> of").distinct()
@@ -263,6 +316,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80, text: str =
     same = same.join(node("digest", "a"), "digest").join(node("of", "b"), "of").select("a", "b")
     labels = written(components(written(_verified(stars, sets, percent).unionByName(same), "links"), spark).withColumnRenamed("id", "node"), "labels")
     tiles = written(_tiles(lists, labels, percent), "tiles")
+    tiles = written(_near_rows(tiles, maps(tiles), percent), "tiles")
     dealt = tiles.join(sets_of(tiles.select("node").distinct()), "node")
     more = written(dealt.groupBy("token", "x", "y").applyInArrow(_answers(percent), "a bigint, b bigint").distinct(), "more")
     joined = components(more, spark).select(F.col("id").alias("label"), F.col("label").alias("joined"))
