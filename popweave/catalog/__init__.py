@@ -48,3 +48,13 @@ def located(t: Tables, name: str = "customer", key: str = "c_custkey") -> DataFr
 def located_sql(name: str = "customer", key: str = "c_custkey") -> str:
     from popweave.functions.draws import draw_sql
     return f"(SELECT *, {key} % 97 + {draw_sql('x', key)} AS x, {key} % 89 + {draw_sql('y', key)} AS y FROM {name})"
+
+
+def match_sql(threshold: float) -> str:
+    """Greedy pairs of customers and suppliers, taken one after the other: ``m(a, b, d)``."""
+    return f"""WITH RECURSIVE l AS (SELECT c_custkey AS a, x, y FROM {located_sql()}), r AS (SELECT s_suppkey AS b, x AS bx, y AS bz FROM {located_sql('supplier', 's_suppkey')}),
+p AS (SELECT sqrt((x - bx) ** 2 + (y - bz) ** 2) AS d, a, b FROM l, r WHERE sqrt((x - bx) ** 2 + (y - bz) ** 2) <= {threshold}),
+g AS (SELECT 0 AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, (SELECT min({{'d': d, 'a': a, 'b': b}}) FROM p) AS e
+      UNION ALL SELECT k + 1, list_append(ua, e.a), list_append(ub, e.b), (SELECT min({{'d': p.d, 'a': p.a, 'b': p.b}}) FROM p WHERE NOT list_contains(list_append(ua, e.a), p.a) AND NOT list_contains(list_append(ub, e.b), p.b))
+      FROM g WHERE e IS NOT NULL),
+m AS (SELECT e.a AS a, e.b AS b, e.d AS d FROM g WHERE e IS NOT NULL) """

@@ -1,7 +1,7 @@
 """Geography and accessibility on stand-in coordinates."""
 from pyspark.sql import functions as F
 
-from popweave.catalog import located, located_sql, query, r
+from popweave.catalog import match_sql, located, located_sql, query, r
 from popweave.catalog.aggregate_queries import COL
 from popweave.operators import geography as G
 
@@ -34,10 +34,12 @@ def _(t):
     n = COL("c_custkey") % 90 + 10
     s = located(t).select(COL("c_custkey").alias("sid"), "x", "y", n.alias("n"), F.floor(n / 3).alias("old"), F.floor(n / 4).alias("low"), F.floor(n / 9).alias("target"))
     f = located(t, "supplier", "s_suppkey").select(COL("s_suppkey").alias("fid"), "x", "y")
-    return r(r(G.uncovered_target(s, f, 4.0, 100.0, farthest=0.1).withColumn("far_sections", COL("far_sections").cast("bigint")), "a", "b", digits=5), "gap_a", "gap_b")
+    return r(r(G.uncovered_target(s, f, farthest=0.1).withColumn("far_sections", COL("far_sections").cast("bigint")), "a", "b", digits=5), "gap_a", "gap_b")
 
 
-@query("ge4_match_rates")
+@query("ge4_match_rates", match_sql(4.0) + """, t AS (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS threshold), n AS (SELECT (SELECT count(*) FROM customer) AS na, (SELECT count(*) FROM supplier) AS nb)
+SELECT threshold, count(*) AS matched, round(count(*) / any_value(na), 6) AS share, any_value(na) - count(*) AS orphans_a, any_value(nb) - count(*) AS orphans_b, round(median(d), 6) AS median_distance, round(max(d), 6) AS max_distance
+FROM t JOIN m ON m.d <= threshold, n GROUP BY threshold""")
 def _(t):
     a = located(t).select(COL("c_custkey").alias("a_id"), "x", "y")
     b = located(t, "supplier", "s_suppkey").select(COL("s_suppkey").alias("b_id"), "x", "y")

@@ -1,9 +1,9 @@
 """Joins: reconciliation, fallback, hierarchies and spatial matches."""
 from pyspark.sql import functions as F
 
-from popweave.catalog import located, located_sql, query, r
+from popweave.catalog import located, located_sql, match_sql, query, r
 from popweave.functions.draws import draw, draw_sql
-from popweave.operators import joins as J
+from popweave.operators import joins as J, spatial as S
 from popweave.plans.intervals import range_lookup
 
 
@@ -79,6 +79,27 @@ def _(t):
     return _pip(t).select("c_custkey", F.coalesce("n_nationkey", F.lit(-1)).alias("section"), F.round(F.coalesce("distance", F.lit(-1.0)), 6).alias("distance"), "method")
 
 
+# corners of a nation's rings, from the lower left corner of its box: an outline, a slanted hole, an island in it, a second part
+RINGS = [[(0, 0), (17, 0), (17, 17), (0, 17)], [(4, 8.5), (8.5, 3), (13, 8.5), (8.5, 14)], [(7, 7), (10, 8), (8, 10)], [(17.4, 4), (19.4, 9), (17.4, 12)]]
+CORNERS = [(i, j, float(x), float(y)) for i, ring in enumerate(RINGS) for j, (x, y) in enumerate(ring)]
+SIDES = [(*map(float, a), *map(float, b)) for ring in RINGS for a, b in zip(ring, ring[1:] + ring[:1])]
+RINGED = f"""WITH p AS (SELECT c_custkey, x, y FROM {located_sql()}), s(ax, ay, bx, bz) AS (VALUES {', '.join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in SIDES)}),
+e AS (SELECT n_nationkey AS k, ax + x0 AS ax, ay + y0 AS ay, bx + x0 AS bx, bz + y0 AS bz FROM s, (SELECT n_nationkey, n_nationkey % 5 * 20 + 1.0 AS x0, n_nationkey // 5 * 20 + 1.0 AS y0 FROM nation)),
+t AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / ((bx - ax) ** 2 + (bz - ay) ** 2))) AS t FROM p, e),
+g AS (SELECT c_custkey, k, min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (bz - ay)) ** 2)) AS d,
+             count(*) FILTER ((ay > y) <> (bz > y) AND x > ax + (bx - ax) * (y - ay) / nullif(bz - ay, 0)) % 2 = 1 AS inside FROM t GROUP BY ALL),
+m AS (SELECT c_custkey, min({{'o': NOT inside, 'd': CASE WHEN inside THEN 0 ELSE d END, 'k': k}}) AS b FROM g WHERE inside OR d <= 1.2 GROUP BY 1) """
+
+
+@query("jn6_rings", RINGED + """SELECT c_custkey, coalesce(b.k, -1) AS section, round(coalesce(b.d, -1), 6) AS distance, CASE WHEN b IS NULL THEN 'unmatched' WHEN b.o THEN 'nearest' ELSE 'within' END AS method FROM p LEFT JOIN m USING (c_custkey)""")
+def _(t):
+    corners = F.inline(F.array(*[F.struct(F.lit(i).alias("ring"), F.lit(j).alias("seq"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for i, j, x, y in CORNERS]))
+    x0, y0 = (F.col("n_nationkey") % 5) * 20 + 1.0, F.floor(F.col("n_nationkey") / 5) * 20 + 1.0
+    vertices = t.nation.select("n_nationkey", x0.alias("x0"), y0.alias("y0"), corners).select("n_nationkey", "ring", "seq", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"))
+    got = S.point_in_rings(located(t).select("c_custkey", "x", "y"), S.ring_edges(vertices, "n_nationkey"), "c_custkey", "n_nationkey", 5.0, 1.2)
+    return got.select("c_custkey", F.coalesce("n_nationkey", F.lit(-1)).alias("section"), F.round(F.coalesce("distance", F.lit(-1.0)), 6).alias("distance"), "method")
+
+
 @query("jn7_match_counters", PIP + """
 SELECT c_nationkey % 5 AS province, count(*) AS input, count(*) FILTER (x BETWEEN 2 AND 95 AND y BETWEEN 2 AND 85) AS in_box,
  count(*) FILTER (method = 'within') AS within, count(*) FILTER (method = 'nearest') AS nearest, count(*) FILTER (method = 'unmatched') AS unmatched,
@@ -97,10 +118,22 @@ d AS (SELECT c_custkey, s_suppkey, sqrt((x - fx) ** 2 + (y - fy) ** 2) AS d FROM
 
 @query("jn8_nearest_facility", NEAR + "SELECT c_custkey, arg_min(s_suppkey, d) AS s_suppkey, round(min(d), 6) AS distance FROM d GROUP BY 1")
 def _(t):
-    return r(J.nearest_facility(located(t), located(t, "supplier", "s_suppkey"), "c_custkey", "s_suppkey", 4.0), "distance")
+    return r(S.nearest_place(located(t), located(t, "supplier", "s_suppkey"), "c_custkey", "s_suppkey"), "distance")
+
+
+# degrees: 0 to 97 and 0 to 90 spread over the whole globe, poles and date line too
+GLOBE = f"""WITH p AS (SELECT c_custkey, radians(x * 3.7 - 180) AS lon, radians(y * 2 - 90) AS lat FROM {located_sql()}), f AS (SELECT s_suppkey, radians(x * 3.7 - 180) AS flon, radians(y * 2 - 90) AS flat FROM {located_sql('supplier', 's_suppkey')}),
+d AS (SELECT c_custkey, s_suppkey, 2 * 6371000.0 * asin(sqrt(least(1.0, sin((flat - lat) / 2) ** 2 + cos(lat) * cos(flat) * sin((flon - lon) / 2) ** 2))) AS d FROM p, f) """
+
+
+@query("jn8_lonlat", GLOBE + "SELECT c_custkey, arg_min(s_suppkey, d) AS s_suppkey, round(min(d), 3) AS metres FROM d GROUP BY 1")
+def _(t):
+    place = lambda d: d.withColumn("x", F.col("x") * 3.7 - 180).withColumn("y", F.col("y") * 2 - 90)         # noqa: E731
+    got = S.nearest_place(place(located(t)), place(located(t, "supplier", "s_suppkey")), "c_custkey", "s_suppkey", globe=True)
+    return got.select("c_custkey", "s_suppkey", F.round("distance", 3).alias("metres"))
 
 
-@query("jn9_one_to_one_match")
+@query("jn9_one_to_one_match", match_sql(3.0) + "SELECT a AS a_id, b AS b_id, round(d, 6) AS distance FROM m")
 def _(t):
     a = located(t).select(F.col("c_custkey").alias("a_id"), "x", "y")
     b = located(t, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("b_id"), "x", "y")

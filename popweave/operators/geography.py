@@ -3,22 +3,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from popweave.functions.scalars import toponym_core
 from popweave.operators.aggregates import with_totals
-from popweave.operators.joins import nearest_facility, one_to_one
+from popweave.operators.joins import one_to_one
+from popweave.operators.spatial import nearest_place
 from popweave.plans.ranking import quantiles
 
 # Kilometres per degree of longitude at the equator and of latitude.
 KM_LON, KM_LAT = 111.320, 110.574
-EARTH_M = 6371000.0
-
-
-def planar(lon: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:
-    """Equirectangular metres around a reference latitude."""
-    k = F.lit(EARTH_M) * F.radians(F.lit(1.0))
-    return lon * k * F.cos(F.radians(lat0)), lat * k
 
 
 def zone_geometry(points: DataFrame, zone: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -41,18 +35,19 @@ def zone_geometry(points: DataFrame, zone: str, lon: str = "lon", lat: str = "la
 def concentrated_names(df: DataFrame, name: str, zone: str, generic: Sequence[str], least: int, share: float) -> DataFrame:
     """Names whose core mostly occurs in one zone: cells first, then the best zone per core."""
     c = df.select(toponym_core(name, generic).alias("core"), zone).filter("core <> ''").groupBy("core", zone).agg(F.count("*").alias("n"))
-    g = c.groupBy("core").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col(zone)).alias("z"))).alias("b"))
-    return (g.select("core", (-F.col("b.z")).alias(zone), "total", (F.col("b.n") / F.col("total")).alias("concentration"))
+    g = c.groupBy("core").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("less"), F.col(zone).alias("z"))).alias("b"))
+    return (g.select("core", F.col("b.z").alias(zone), "total", (-F.col("b.less") / F.col("total")).alias("concentration"))
             .filter((F.col("total") >= least) & (F.col("concentration") >= share)))
 
 
-def uncovered_target(sections: DataFrame, services: DataFrame, grid: float, extent: float, radius: float | None = None, farthest: float | None = None) -> DataFrame:
+def uncovered_target(sections: DataFrame, services: DataFrame, radius: float | None = None, farthest: float | None = None, globe: bool = False) -> DataFrame:
     """Three estimates of the target people far from any service, and the gaps of the first two against the joint count.
 
     ``sections(sid, x, y, n, old, low, target)``, ``services(fid, x, y)``; far = beyond ``radius`` or in the farthest share.
-    A: municipal share times far people. B: product of the section margins. C: joint count.
+    A: municipal share times far people. B: product of the section margins. C: joint count. Sections without coordinates
+    count among sections and people, never as far.
     """
-    d = sections.join(nearest_facility(sections, services, "sid", "fid", grid).select("sid", "distance"), "sid")
+    d = sections.join(nearest_place(sections, services, "sid", "fid", globe).select("sid", "distance"), "sid", "left")
     if farthest is not None:
         bound = quantiles(d, [], "distance", {"q": 1 - farthest}).scalar()
         d = d.withColumn("far", F.col("distance") >= bound)

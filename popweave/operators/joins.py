@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from popweave.operators.spatial import finite
 from popweave.plans.ranking import join_keys
 from popweave.session import cut_lineage
 
@@ -183,52 +184,52 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, pid: str, poly: str
                     F.when(F.col("__b").isNull(), "unmatched").when(F.col("__b.o"), "nearest").otherwise("within").alias("method")))
 
 
-def nearest_facility(points: DataFrame, facilities: DataFrame, pid: str, fid: str, grid: float) -> DataFrame:
-    """Exact nearest facility by planar distance: (pid, fid, distance).
-
-    Level k looks into the 3 x 3 cells of side grid * 3^k; an answer no farther than one side is final, the other points
-    go to the next level until every point has a final answer, however far it lies. Facilities at the same place are
-    one candidate. Points without coordinates, and all points when there is no facility, give no row.
-    """
-    places = facilities.groupBy("x", "y").agg(F.min(fid).alias(fid)).withColumnsRenamed({"x": "fx", "y": "fy"})
-    left, done, side = points.select(pid, "x", "y").filter("x is not null and y is not null"), [], grid
-    places = cut_lineage(places.filter("fx is not null and fy is not null"))
-    if places.isEmpty():
-        return left.select(pid).join(facilities.select(fid).limit(0), F.lit(False)).withColumn("distance", F.lit(0.0))
-    while True:
-        spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side) - 1, F.floor(F.col(c) / side) + 1))
-        f = (places.withColumn("__cx", spread("fx")).withColumn("__cy", spread("fy")))
-        p = left.withColumn("__cx", F.floor(F.col("x") / side)).withColumn("__cy", F.floor(F.col("y") / side))
-        d = F.sqrt(F.pow(F.col("x") - F.col("fx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("fy"), F.lit(2.0)))
-        best = (p.join(f, ["__cx", "__cy"]).groupBy(pid).agg(F.min(F.struct(d.alias("d"), F.col(fid).alias("f"))).alias("b"))
-                .select(pid, F.col("b.f").alias(fid), F.col("b.d").alias("distance")))
-        got = cut_lineage(best.filter(F.col("distance") <= side))
-        done.append(got)
-        left = cut_lineage(left.join(got.select(pid), pid, "left_anti"))
-        if left.isEmpty():
-            break
-        side *= 3
-    return reduce(lambda a, b: a.unionByName(b), done)
+CANDIDATES = 4                 # nearest free points that each point is shown at a time
 
 
 def one_to_one(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Greedy one-to-one match by distance: (a_id, b_id, distance), ties by the two ids.
+    """Greedy one-to-one match by distance: (a_id, b_id, distance), as if all pairs within ``threshold`` were taken in the order (distance, a_id, b_id).
 
-    ``a(a_id, x, y)``, ``b(b_id, x, y)``. A pair is final when each is the other's nearest free
-    point; rounds go on until no pair is left, which gives the same pairs as taking all pairs in
-    (distance, a_id, b_id) order. Candidates are only the points within the threshold.
+    ``a(a_id, x, y)``, ``b(b_id, x, y)``. Pairs are looked for ring by ring among points that are still free: the first
+    radius follows the density of the points, later ones double up to the threshold. In a ring each point is shown its
+    ``CANDIDATES`` nearest free ones. A pair is final when each is first on the other's list, which then is the
+    other's nearest free point; lists that run out are drawn again. So what is written stays a few rows per point
+    however large the threshold is. Points without finite coordinates match nothing.
     """
-    spread = lambda c: F.explode(F.sequence(F.floor(F.col(c) / threshold) - 1, F.floor(F.col(c) / threshold) + 1))
-    ga = a.withColumn("__cx", F.floor(F.col("x") / threshold)).withColumn("__cy", F.floor(F.col("y") / threshold))
-    gb = (b.withColumnsRenamed({"x": "bx", "y": "by"}).withColumn("__cx", spread("bx")).withColumn("__cy", spread("by")))
-    d = F.sqrt(F.pow(F.col("x") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("by"), F.lit(2.0)))
-    pairs = cut_lineage(ga.join(gb, ["__cx", "__cy"]).select("a_id", "b_id", d.alias("distance")).filter(F.col("distance") <= threshold))
+    free_a, free_b = cut_lineage(a.select("a_id", "x", "y").where(finite("x", "y"))), cut_lineage(b.select("b_id", "x", "y").where(finite("x", "y")))
+    size = lambda d: d.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()       # noqa: E731
+    na, nb = size(free_a), size(free_b)
+    if not (na["n"] and nb["n"]):
+        return free_a.select(F.lit(0.0).alias("distance"), "a_id").where(F.lit(False)).join(free_b.select("b_id"), F.lit(False))
+    area = max((nb["hix"] - nb["lox"]) * (nb["hiy"] - nb["loy"]), (na["hix"] - na["lox"]) * (na["hiy"] - na["loy"]))
+    radius = min(threshold, (CANDIDATES * area / (3 * max(na["n"], nb["n"]))) ** 0.5 or threshold)
     out = []
-    while not pairs.isEmpty():
-        k = F.struct("distance", "a_id", "b_id")
-        ba = pairs.groupBy("a_id").agg(F.min(k).alias("k"))
-        bb = pairs.groupBy("b_id").agg(F.min(k).alias("k")).select("k")
-        final = cut_lineage(ba.join(bb, "k", "left_semi").select("k.*"))
-        out.append(final)
-        pairs = cut_lineage(pairs.join(final.select("a_id"), "a_id", "left_anti").join(final.select("b_id"), "b_id", "left_anti"))
-    return reduce(lambda x, y: x.unionByName(y), out) if out else pairs.select("distance", "a_id", "b_id")
+    while True:
+        shown = _shown(free_a, free_b, radius)
+        if shown.isEmpty():
+            if radius >= threshold:
+                return reduce(lambda x, y: x.unionByName(y), out) if out else shown.select("distance", "a_id", "b_id")
+            radius = min(2 * radius, threshold)
+            continue
+        # a point's first is known to be its nearest free one as long as its own list is not empty
+        while True:
+            own = lambda flag, by: shown.where(flag).groupBy(by).agg(F.min(F.struct("distance", "a_id", "b_id")).alias("k")).select("k")     # noqa: E731
+            final = cut_lineage(own("of_a", "a_id").join(own("of_b", "b_id"), "k", "left_semi").select("k.*"))
+            if final.isEmpty():
+                break
+            out.append(final)
+            rest = lambda d, *c: reduce(lambda x, y: x.join(final.select(y), y, "left_anti"), c, d)        # noqa: E731
+            shown = cut_lineage(rest(shown, "a_id", "b_id"))
+            free_a, free_b = rest(free_a, "a_id"), rest(free_b, "b_id")
+        free_a, free_b = cut_lineage(free_a), cut_lineage(free_b)
+
+
+def _shown(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """Pairs within ``radius`` that are among the nearest of their left (``of_a``) or right point (``of_b``)."""
+    at = lambda c: F.floor(F.col(c) / radius)                              # noqa: E731
+    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))         # noqa: E731
+    cells = b.withColumnsRenamed({"x": "bx", "y": "by"}).withColumn("__cx", around("bx")).withColumn("__cy", around("by"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("by"), F.lit(2.0)))
+    pairs = a.withColumn("__cx", at("x")).withColumn("__cy", at("y")).join(cells, ["__cx", "__cy"]).select("a_id", "b_id", d.alias("distance")).where(F.col("distance") <= radius)
+    first = lambda by, other: F.row_number().over(W.partitionBy(by).orderBy("distance", other)) <= CANDIDATES       # noqa: E731
+    return cut_lineage(pairs.withColumn("of_a", first("a_id", "b_id")).withColumn("of_b", first("b_id", "a_id")).where("of_a or of_b"))

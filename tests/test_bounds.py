@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from popweave.operators import aggregates as A, filters as P, households as H, joins as J, quality as Q, survey as S
+from popweave.operators.spatial import nearest_place
 from popweave.plans import intervals, ranking
 
 
@@ -25,9 +26,9 @@ def test_tree_on_a_long_chain_and_on_cycles(spark):
 def test_far_facility(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, -1e6), (3, None, 1.0)], "pid int, x double, y double")
     f = spark.createDataFrame([(7, 995.0, 0.0)], "fid int, x double, y double")
-    got = {r["pid"]: (r["fid"], r["distance"]) for r in J.nearest_facility(p, f, "pid", "fid", 1.0).collect()}
+    got = {r["pid"]: (r["fid"], r["distance"]) for r in nearest_place(p, f, "pid", "fid").collect()}
     assert got[1] == (7, 995.0) and got[2][0] == 7 and set(got) == {1, 2}
-    assert J.nearest_facility(p, f.limit(0), "pid", "fid", 1.0).count() == 0
+    assert nearest_place(p, f.limit(0), "pid", "fid").count() == 0
 
 
 def test_lattice_is_born_in_many_tasks(spark):

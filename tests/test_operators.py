@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from popweave.catalog.household_queries import assembly_inputs
 from popweave.functions import scalars as S
 from popweave.operators import aggregates as A, allocation as L, filters as P, geography as G, households as H, joins as J, raking as R, survey as V, windows as X
+from popweave.operators.spatial import nearest_place
 from popweave.session import Tables
 from popweave.sources import normalisers as N
 
@@ -51,7 +52,7 @@ def test_one_to_one_equals_greedy_by_distance(spark):
 def test_nearest_facility_far_from_everything(spark):
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 99.0, 99.0), (3, 50.0, 1.0)], "pid long, x double, y double")
     f = spark.createDataFrame([(7, 0.0, 0.0), (8, 0.0, 0.0), (9, 40.0, 0.0)], "fid long, x double, y double")
-    got = {r["pid"]: r["fid"] for r in J.nearest_facility(p, f, "pid", "fid", 1.0).collect()}
+    got = {r["pid"]: r["fid"] for r in nearest_place(p, f, "pid", "fid").collect()}
     assert got == {1: 7, 2: 9, 3: 9}
 
 
@@ -214,7 +215,7 @@ def test_file_readers_and_sinks(spark, tmp_path):
 def test_uncovered_target_by_radius(spark):
     s = spark.createDataFrame([(1, 0.0, 0.0, 100, 50, 40, 30), (2, 50.0, 0.0, 10, 5, 4, 4)], "sid long, x double, y double, n long, old long, low long, target long")
     f = spark.createDataFrame([(1, 1.0, 0.0)], "fid long, x double, y double")
-    r = G.uncovered_target(s, f, 2.0, 100.0, radius=5.0).first()
+    r = G.uncovered_target(s, f, radius=5.0).first()
     assert (r["far_people"], r["c"]) == (10, 4) and r["a"] == pytest.approx(34 / 110 * 10) and r["b"] == pytest.approx(2.0)
 
 

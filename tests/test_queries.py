@@ -6,7 +6,7 @@ from popweave.catalog import QUERIES, SQL, load_all
 
 load_all()
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"jn9_one_to_one_match", "ge4_match_rates", "hh6_assembly", "hh8_assembly_summary",
+ROWS_ONLY = {"hh6_assembly", "hh8_assembly_summary",
              "sv6_logit", "sv11_chi_square_p"}
 
 
