@@ -56,7 +56,8 @@ def _(t):
     return Q.declared_vs_measured(reg, m, ["licence"])
 
 
-@query("dq5_content_hash", """SELECT c_nationkey, count(*) AS rows, sum(CAST('0x' || substr(h, 1, 7) AS BIGINT))::BIGINT AS hash_a, sum(CAST('0x' || substr(h, 8, 7) AS BIGINT))::BIGINT AS hash_b FROM (SELECT *, md5(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)) AS h FROM customer) GROUP BY 1""")
+@query("dq5_content_hash", """WITH h AS (SELECT c_nationkey, md5(concat(length(c_custkey::VARCHAR), ':', c_custkey, octet_length(encode(c_name)), ':', c_name, octet_length(encode(c_mktsegment)), ':', c_mktsegment)) AS h FROM customer)
+SELECT c_nationkey, count(*) AS rows, """ + ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::BIGINT AS hash_{'abcd'[i]}" for i in range(4)) + " FROM h GROUP BY 1")
 def _(t):
     return Q.content_hash(t.customer, ["c_nationkey"], ["c_custkey", "c_name", "c_mktsegment"])
 

@@ -113,8 +113,8 @@ def family_roles(persons: DataFrame) -> DataFrame:
     links = [ok.filter(F.col(c).isNotNull()).select("hh", F.col(c).alias("pid")) for c in ("father", "mother", "partner")]
     n = reduce(lambda a, b: a.unionByName(b), links).groupBy("hh", "pid").agg(F.count("*").alias("links"))
     d = ok.join(n, ["hh", "pid"], "left").withColumn("links", F.coalesce("links", F.lit(0).cast("bigint")))
-    best = F.max(F.struct("links", "age", (-F.col("pid")).alias("m"), "father", "mother", "partner"))
-    ref = d.groupBy("hh").agg(best.alias("r")).select("hh", (-F.col("r.m")).alias("ref"), F.col("r.age").alias("ref_age"),
+    best = F.min(F.struct((-F.col("links")).alias("l"), F.col("age").isNull().alias("u"), (-F.col("age")).alias("a"), "pid", "age", "father", "mother", "partner"))
+    ref = d.groupBy("hh").agg(best.alias("r")).select("hh", F.col("r.pid").alias("ref"), F.col("r.age").alias("ref_age"),
                                                       F.col("r.father").alias("rf"), F.col("r.mother").alias("rm"),
                                                       F.col("r.partner").alias("rp"))
     j = d.join(ref, "hh")

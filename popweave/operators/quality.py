@@ -72,10 +72,14 @@ def declared_vs_measured(registry: DataFrame, measured: DataFrame, required: Seq
 
 
 def content_hash(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free content hash per key: sums of two 28-bit parts of the row hash, reduced inside each task, plus the row count."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]))
-    part = lambda at: F.sum(F.conv(F.substring(row, at, 7), 16, 10).cast("bigint"))
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), part(1).alias("hash_a"), part(8).alias("hash_b"))
+    """Order-free content hash per key: sums of the four 32-bit parts of the row hash, reduced inside each task, plus the row count.
+
+    Each field goes into the row hash with its length before it (a null as a dash), so no two different rows read alike.
+    """
+    field = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))       # noqa: E731
+    row = F.md5(F.concat(*map(field, columns)))
+    part = lambda i: F.sum(F.conv(F.substring(row, 8 * i + 1, 8), 16, 10).cast("bigint")).alias(f"hash_{'abcd'[i]}")       # noqa: E731
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), *map(part, range(4)))
 
 
 def file_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -53,21 +53,42 @@ def by_axis(df: DataFrame, axes: Sequence[str], choice: str, wanted: str, prob:
     return g.select("axis", "level", "n", F.try_divide(F.col("k"), F.col("nc")).alias("share"), F.try_divide(F.col("sp"), F.col("np")).alias("prob"))
 
 
-def logit(df: DataFrame, y: str, categorical: dict[str, Sequence[str]], numeric: Sequence[str], ridge: float = 1e-6, far: float = 8.0) -> DataFrame:
-    """Logistic regression on a dummy-coded design: coefficient, SE and a separation flag.
-
-    ``categorical`` lists the levels per factor, the reference first. Rows are reduced to weighted design
-    points before the fit.
+def logit(df: DataFrame, y: str, categorical: dict[str, Sequence[str]], numeric: Sequence[str], ridge: float = 1e-6, far: float = 8.0, steps: int = 60) -> DataFrame:
+    """Logistic regression on a dummy-coded design by Newton steps: coefficient, SE and a separation flag.
+
+    ``categorical`` lists the levels per factor, the reference first. Rows are reduced to weighted design points once;
+    each step adds up the gradient and the upper half of the information matrix over them in one aggregate, whose single
+    row is all that leaves the cluster. Half of ``ridge`` times the squared coefficients is taken off the likelihood, so
+    coefficients stay finite where a term separates the outcomes; a term beyond ``far`` is flagged. Rows with a null
+    outcome or term are left out; without rows, or where terms depend on each other and ``ridge`` is 0, there are none.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    terms = [(f"{c}={l}", (F.col(c) == l).cast("double")) for c, levels in categorical.items() for l in levels[1:]] + [(n, F.col(n).cast("double")) for n in numeric]
-    names = [n for n, _ in terms]
-    pts = df.select(F.col(y).cast("double").alias("y"), *[e.alias(f"t{i}") for i, (_, e) in enumerate(terms)]).groupBy("y", *[f"t{i}" for i in range(len(terms))]).agg(F.count("*").cast("double").alias("w"))
-    x = VectorAssembler(inputCols=[f"t{i}" for i in range(len(terms))], outputCol="x").transform(pts)
-    m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="y", weightCol="w", regParam=0.0, maxIter=40, tol=1e-9).fit(x)
-    se = m.summary.coefficientStandardErrors
-    rows = [(n, float(b), float(s), abs(float(b)) > far) for n, b, s in zip(names + ["intercept"], list(m.coefficients) + [m.intercept], se)]
+    import numpy as np
+    terms = [(f"{c}={l}", (F.col(c) == l).cast("double")) for c, levels in categorical.items() for l in levels[1:]] + [(n, F.col(n).cast("double")) for n in numeric] + [("intercept", F.lit(1.0))]
+    k = len(terms)
+    x = [F.col(f"t{i}") for i in range(k)]
+    pts = cut_lineage(df.select(F.col(y).cast("double").alias("y"), *[e.alias(f"t{i}") for i, (_, e) in enumerate(terms)]).dropna()
+                      .groupBy("y", *[f"t{i}" for i in range(k)]).agg(F.count("*").cast("double").alias("w")))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    beta = np.zeros(k)
+    for _ in range(steps):
+        eta = reduce(lambda a, b: a + b, [c * F.lit(float(v)) for c, v in zip(x, beta)])
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        row = pts.select("*", (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("v")).agg(*[F.sum(F.col("g") * c) for c in x], *[F.sum(F.col("v") * x[i] * x[j]) for i, j in pairs]).first()
+        if row[0] is None:
+            return df.sparkSession.createDataFrame([], "term string, beta double, se double, separated boolean")
+        info = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[k:]):
+            info[i, j] = info[j, i] = v
+        info += ridge * np.eye(k)
+        if np.linalg.matrix_rank(info) < k:
+            return df.sparkSession.createDataFrame([], "term string, beta double, se double, separated boolean")
+        step = np.linalg.solve(info, np.array(row[:k]) - ridge * beta)
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))         # far steps overshoot where the likelihood is flat
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    se = np.sqrt(np.diag(np.linalg.inv(info)))
+    rows = [(n, float(b), float(s), bool(abs(b) > far)) for (n, _), b, s in zip(terms, beta, se)]
     return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, separated boolean")
 
 

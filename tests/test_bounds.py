@@ -89,3 +89,38 @@ def test_text_keys_are_sliced_in_order(spark):
     assert by == sorted(by) and len(set(by)) > 100
     cum = sorted(intervals.cumulative_table(df, ["c"], "w", ["id"], ranking.key_slice(df, "id")).collect(), key=lambda r: r["lo"])
     assert all(a["hi"] == b["lo"] for a, b in zip(cum, cum[1:], strict=False)) and len(cum) == len(ids)
+
+
+def test_fields_that_run_together_hash_apart(spark):
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, None, "-"), (4, "-", None), (5, "ab", "c"), (6, "a", "bc")]
+    got = Q.content_hash(spark.createDataFrame(rows, "k int, x string, y string"), ["k"], ["x", "y"]).collect()
+    assert len({(r["hash_a"], r["hash_b"], r["hash_c"], r["hash_d"]) for r in got}) == len(rows)
+
+
+def test_ridge_holds_separated_terms(spark):
+    import numpy as np
+    rows = [("b", 1)] * 30 + [("a", 0)] * 20 + [("a", 1)] * 10 + [(None, 1), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    x = np.array([[g == "b", 1] for g, _ in rows[:60]], float)
+    y = np.array([v for _, v in rows[:60]], float)
+    for ridge in (0.01, 1.0):
+        b = np.zeros(2)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-x @ b))
+            b += 0.5 * np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(2), x.T @ (y - p) - ridge * b)
+        got = {r["term"]: r for r in S.logit(df, "y", {"g": ["a", "b"]}, [], ridge=ridge, far=3.0).collect()}
+        assert np.allclose([got["g=b"]["beta"], got["intercept"]["beta"]], b, atol=1e-6)
+        assert got["g=b"]["separated"] == (b[0] > 3)
+    assert S.logit(df.limit(0), "y", {"g": ["a", "b"]}, []).collect() == []
+
+
+def test_roles_of_people_with_text_ids(spark):
+    rows = [("h", "p1", 40, None, None, "p2"), ("h", "p2", 38, None, None, "p1"), ("h", "p3", 9, "p1", "p2", None), ("h", "p4", None, None, None, None)]
+    df = spark.createDataFrame(rows, "hh string, pid string, age int, father string, mother string, partner string")
+    assert {r["pid"]: r["role"] for r in J.family_roles(df).collect()} == {"p1": "R", "p2": "P", "p3": "F", "p4": "A"}
+
+
+def test_names_of_text_zones(spark):
+    from popweave.operators import geography as G
+    df = spark.createDataFrame([("Rossi road", "east")] * 5 + [("Rossi road", "west")] * 2 + [("Alpha lane", "b")] * 3 + [("Alpha lane", "a")] * 3, "name string, zone string")
+    assert {r["zone"] for r in G.concentrated_names(df, "name", "zone", [], 3, 0.4).collect()} == {"east", "a"}
