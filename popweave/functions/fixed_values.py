@@ -71,7 +71,7 @@ NOT_APPLICABLE = "non_applicabile"
 UNDEFINED_CELL = "__nd__"
 
 # Entries a source record must not leave open.
-PLACEHOLDERS = ["DA_VERIFICARE", "?", ""]
+PLACEHOLDERS = ["DA_VERIFICARE", "DA_COMPILARE", "DA_CALCOLARE", "DA_REGISTRARE", "?", ""]
 
 # Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñçÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÑÇāēīōūšžčćńśźżłđğşăęąėťďňřěů"

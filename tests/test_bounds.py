@@ -124,3 +124,9 @@ def test_names_of_text_zones(spark):
     from popweave.operators import geography as G
     df = spark.createDataFrame([("Rossi road", "east")] * 5 + [("Rossi road", "west")] * 2 + [("Alpha lane", "b")] * 3 + [("Alpha lane", "a")] * 3, "name string, zone string")
     assert {r["zone"] for r in G.concentrated_names(df, "name", "zone", [], 3, 0.4).collect()} == {"east", "a"}
+
+
+def test_placeholders_count_as_missing(spark):
+    df = spark.createDataFrame([(1, "DA_COMPILARE", " DA_CALCOLARE"), (2, "DA_REGISTRARE", "x"), (3, "x", None)], "id int, a string, b string")
+    got = {r["id"]: r["all"] for r in Q.missing_fields(df, "id", {"all": ["a", "b"]}).collect()}
+    assert got == {1: "a,b", 2: "a", 3: "b"}
