@@ -238,11 +238,14 @@ def _(t):
     return N.title_list(t.part.select("p_partkey", ti.alias("ti")), "ti", "p_partkey")
 
 
-@query("src19_stack_waves", """WITH s AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS wave, o_orderkey, o_totalprice, o_orderstatus, CASE WHEN year(o_orderdate) = 1996 THEN o_orderpriority END AS pr FROM orders WHERE year(o_orderdate) IN (1995, 1996))
+@query("src19_stack_waves", """WITH s AS (SELECT CASE WHEN year(o_orderdate) <= 1994 THEN 'to 1994' WHEN year(o_orderdate) >= 1998 THEN 'from 1998' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS wave, o_orderkey, o_totalprice, o_orderstatus,
+ CASE WHEN year(o_orderdate) <> 1995 THEN o_orderpriority END AS pr FROM orders WHERE year(o_orderdate) <> 1997)
 SELECT wave, wave || ':' || o_orderkey AS donor_id, o_orderstatus, coalesce(pr, '-') AS o_orderpriority, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY wave), 10) AS w FROM s""")
 def _(t):
-    w = lambda y: t.orders.filter(F.year("o_orderdate") == y)
-    waves = {"1995": w(1995).drop("o_orderpriority"), "1996": w(1996), "1997": w(1997).drop("o_orderstatus")}
+    # every order belongs to a wave; that of 1995 lacks an optional column, that of 1997 a required one, so it cannot be stacked
+    year = F.year("o_orderdate")
+    w = lambda cond: t.orders.filter(cond)                                 # noqa: E731
+    waves = {"to 1994": w(year <= 1994), "1995": w(year == 1995).drop("o_orderpriority"), "1996": w(year == 1996), "1997": w(year == 1997).drop("o_orderstatus"), "from 1998": w(year >= 1998)}
     s = N.stack_waves(waves, ["o_orderstatus"], ["o_orderpriority"], "o_totalprice", "o_orderkey")
     return r(s.select("wave", "donor_id", "o_orderstatus", F.coalesce("o_orderpriority", F.lit("-")).alias("o_orderpriority"), "w"), "w", digits=10)
 
