@@ -41,10 +41,9 @@ def _(t):
 @query("jn4_membership", """
 SELECT known, count(*) AS n, round(sum(l_quantity), 2) AS mass FROM (SELECT l_quantity, l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AS known FROM lineitem) GROUP BY 1""")
 def _(t):
-    ref = t.part.filter("p_size > 25")
-    on = F.col("l_partkey") == F.col("p_partkey")
-    side = lambda how, k: t.lineitem.join(ref, on, how).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("mass")).withColumn("known", F.lit(k))
-    return side("left_semi", True).unionByName(side("left_anti", False))
+    ref = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey")).distinct().withColumn("known", F.lit(True))
+    known = t.lineitem.join(ref, "l_partkey", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return known.groupBy("known").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("mass"))
 
 
 @query("jn5_parent_map", """
