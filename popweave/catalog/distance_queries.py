@@ -1,10 +1,11 @@
 """Distances, profiles, information measures and null models."""
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from popweave.catalog import query, r
 from popweave.catalog.aggregate_queries import COL, CUBE, constraint_cube, cust
+from popweave.functions.counts import binomial_sql, hypergeometric_sql
 from popweave.functions.draws import draw_sql
-from popweave.operators import aggregates as A, cube as C, distances as D, windows as X
+from popweave.operators import aggregates as A, cube as C, distances as D, nulls as N, windows as X
 from popweave.session import cut_lineage
 
 LP = "lineitem JOIN part ON l_partkey = p_partkey"
@@ -162,27 +163,52 @@ def _(t):
     return r(D.weighted_distance(D.unit_distances(unit_cells(t), ["b"], "u", "k", "c"), ["b"]), "mean_tvd")
 
 
-B = 5
-DRAWN = f"""WITH m AS (SELECT c_custkey AS id, n_regionkey AS b, c_nationkey AS u, c_mktsegment AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
-w AS (SELECT b, k, count(*) AS w FROM m GROUP BY ALL), i AS (SELECT b, k, sum(w) OVER (PARTITION BY b ORDER BY k) AS hi, sum(w) OVER (PARTITION BY b ORDER BY k) - w AS lo, sum(w) OVER (PARTITION BY b) AS t FROM w),
-rp AS (SELECT m.*, r.r AS replicate, {draw_sql('floor', 'r.r', 'm.id')} AS x FROM m, range(1, {B + 1}) r(r)),
-c AS (SELECT replicate, rp.b, u, i.k, count(*)::DOUBLE AS c FROM rp JOIN i ON rp.b = i.b AND x * t >= lo AND x * t < hi GROUP BY ALL), """
-PERM = f"""WITH m AS (SELECT c_custkey AS id, n_regionkey AS b, c_nationkey AS u, c_mktsegment AS k FROM customer JOIN nation ON c_nationkey = n_nationkey),
-w AS (SELECT b, k, count(*) AS w FROM m GROUP BY ALL), i AS (SELECT b, k, sum(w) OVER (PARTITION BY b ORDER BY k) AS hi, sum(w) OVER (PARTITION BY b ORDER BY k) - w AS lo FROM w),
-rp AS (SELECT *, row_number() OVER (PARTITION BY replicate, b ORDER BY x, id) - 1 AS pos FROM (SELECT m.*, r.r AS replicate, {draw_sql('perm', 'r.r', 'm.id')} AS x FROM m, range(1, {B + 1}) r(r))),
-c AS (SELECT replicate, rp.b, u, i.k, count(*)::DOUBLE AS c FROM rp JOIN i ON rp.b = i.b AND pos >= lo AND pos < hi GROUP BY ALL), """
+B = 20
+MEMBERS = "m AS (SELECT n_regionkey AS b, c_nationkey AS u, c_mktsegment AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+CATS = """w AS MATERIALIZED (SELECT b, k, count(*) AS w FROM m GROUP BY ALL), cat AS MATERIALIZED (SELECT b, k, w, row_number() OVER (PARTITION BY b ORDER BY k) AS i FROM w),
+un AS MATERIALIZED (SELECT b, u, count(*) AS n FROM m GROUP BY ALL)"""
+
+
+def drawn_cells_sql(channel: str, categories: int) -> str:
+    """``c(replicate, b, u, k, c)``: each unit's total drawn category by category from its base; needs ``m``."""
+    parts = [CATS, f"s0 AS MATERIALIZED (SELECT r.r AS replicate, un.b, u, n AS rest, (SELECT sum(w) FROM w WHERE w.b = un.b)::BIGINT AS whole FROM un, range(1, {B + 1}) r(r))"]
+    for i in range(1, categories + 1):
+        parts.append(f"d{i} AS MATERIALIZED (SELECT replicate, s.b, u, rest AS n, w, whole AS t0, {draw_sql(channel, 'replicate', 's.b', 'u', 'k')} AS u0 FROM s{i - 1} s JOIN cat ON cat.b = s.b AND i = {i})")
+        parts.append(f"x{i} AS MATERIALIZED ({binomial_sql(f'(SELECT replicate, b, u AS unit, n, w, t0, u0 AS u FROM d{i})', 'replicate, b, unit')})")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT s.replicate, s.b, s.u, rest - x AS rest, whole - w AS whole FROM s{i - 1} s JOIN x{i} x ON x.replicate = s.replicate AND x.b = s.b AND x.unit = s.u JOIN cat ON cat.b = s.b AND i = {i})")
+    cells = " UNION ALL ".join(f"SELECT replicate, x.b, unit AS u, k, x::DOUBLE AS c FROM x{i} x JOIN cat ON cat.b = x.b AND i = {i} WHERE x > 0" for i in range(1, categories + 1))
+    return ", ".join([*parts, f"c AS ({cells})"])
+
+
+def permuted_cells_sql(channel: str, categories: int, height: int) -> str:
+    """``c(replicate, b, u, k, c)``: labels dealt down a binary tree of units; needs ``m``."""
+    parts = [CATS, f"rk AS MATERIALIZED (SELECT b, u, n, row_number() OVER (PARTITION BY b ORDER BY {draw_sql(channel + ' order', 'u')}, u) - 1 AS rank FROM un)",
+             f"bl{height} AS MATERIALIZED (SELECT r.r AS replicate, b, 0 AS node, k, w AS n FROM w, range(1, {B + 1}) r(r))"]
+    on = "{0}.replicate = s.replicate AND {0}.b = s.b AND {0}.node = s.node".format
+    for h in range(height, 0, -1):
+        parts.append(f"t{h}_0 AS MATERIALIZED (SELECT replicate, s.b, s.node, size, lft AS taken FROM (SELECT replicate, b, node, sum(n)::BIGINT AS size FROM bl{h} GROUP BY ALL) s "
+                     f"JOIN (SELECT b, rank >> {h - 1} AS half, sum(n)::BIGINT AS lft FROM rk GROUP BY ALL) l ON l.b = s.b AND half = 2 * s.node)")
+        kids = []
+        for i in range(1, categories + 1):
+            src = f"(SELECT s.replicate, s.b, s.node, size AS n, coalesce(e.n, 0) AS k, taken AS m, {draw_sql(channel, 's.replicate', 's.b', str(h), 's.node', 'cat.k')} AS u FROM t{h}_{i - 1} s JOIN cat ON cat.b = s.b AND i = {i} LEFT JOIN bl{h} e ON {on('e')} AND e.k = cat.k)"
+            parts.append(f"y{h}_{i} AS MATERIALIZED ({hypergeometric_sql(src, 'replicate, b, node')})")
+            parts.append(f"t{h}_{i} AS MATERIALIZED (SELECT s.replicate, s.b, s.node, size - coalesce(e.n, 0) AS size, taken - x AS taken FROM t{h}_{i - 1} s JOIN y{h}_{i} y ON {on('y')} JOIN cat ON cat.b = s.b AND i = {i} LEFT JOIN bl{h} e ON {on('e')} AND e.k = cat.k)")
+            kids.append(f"SELECT s.replicate, s.b, unnest([2 * s.node, 2 * s.node + 1]) AS node, s.k, unnest([x, s.n - x]) AS n FROM bl{h} s JOIN cat ON cat.b = s.b AND cat.k = s.k AND i = {i} JOIN y{h}_{i} y ON {on('y')}")
+        parts.append(f"bl{h - 1} AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(kids)}) WHERE n > 0)")
+    return ", ".join([*parts, "c AS (SELECT replicate, e.b, u, k, e.n::DOUBLE AS c FROM bl0 e JOIN rk ON rk.b = e.b AND rank = node)"])
+
+
+SEGMENTS = 5
+DRAWN = f"WITH {MEMBERS}, {drawn_cells_sql('floor', SEGMENTS)}, "
+PERM = f"WITH {MEMBERS}, {permuted_cells_sql('perm', SEGMENTS, 3)}, "
 TAIL = """kk AS (SELECT DISTINCT k FROM m), uu AS (SELECT DISTINCT replicate, b, u FROM c), f AS (SELECT uu.replicate, uu.b, uu.u, kk.k, coalesce(c, 0) AS c FROM uu CROSS JOIN kk LEFT JOIN c ON c.replicate = uu.replicate AND c.b = uu.b AND c.u = uu.u AND c.k = kk.k),
 q AS (SELECT b, k, w / sum(w) OVER (PARTITION BY b) AS q FROM w), g AS (SELECT f.*, q, sum(c) OVER (PARTITION BY replicate, f.b, u) AS n FROM f JOIN q ON q.b = f.b AND q.k = f.k),
 s AS (SELECT replicate, sum(n * tvd) / sum(n) AS mean_tvd FROM (SELECT replicate, b, u, n, sum(abs(c / n - q)) / 2 AS tvd FROM g GROUP BY ALL) GROUP BY 1) """
 
 
-def member(t):
-    return cust(t).select(COL("c_custkey").alias("id"), COL("n_regionkey").alias("b"), COL("c_nationkey").alias("u"), COL("c_mktsegment").alias("k"))
-
-
-def against_base(m, cells):
+def against_base(observed, cells):
     """Mean distance per replicate, each unit against the real base composition."""
-    comp = A.with_totals(m.groupBy("b", "k").agg(F.count("*").alias("w")), ["b"], {"t": F.sum("w")})
+    comp = A.with_totals(observed.groupBy("b", "k").agg(F.sum("c").alias("w")), ["b"], {"t": F.sum("w")})
     c = A.with_totals(cells, ["replicate", "b", "u"], {"nn": F.sum("n")}).join(comp, ["b", "k"])
     q = COL("w") / COL("t")
     u = c.groupBy("replicate", "b", "u").agg(F.max("nn").alias("n"), ((F.sum(F.abs(COL("n") / COL("nn") - q)) + F.greatest(1 - F.sum(q), F.lit(0.0))) / 2).alias("tvd"))
@@ -191,8 +217,8 @@ def against_base(m, cells):
 
 @query("ds10_multinomial_floor", DRAWN + TAIL + "SELECT round(avg(mean_tvd), 6) AS mean, round(quantile_cont(mean_tvd, 0.95), 6) AS p95 FROM s")
 def _(t):
-    m = member(t)
-    s = against_base(m, D.drawn_units(m, ["b"], "u", "k", "id", B))
+    c = unit_cells(t)
+    s = against_base(c, N.drawn_cells(c, ["b"], "u", "k", "c", B))
     return r(D.against_null(F.lit(0.0), s, "mean_tvd").select("mean", "p95"), "mean", "p95")
 
 
@@ -201,9 +227,9 @@ OBS = "(SELECT sum(n * tvd) / sum(n) FROM (SELECT b, u, sum(c) AS n, sum(abs(c /
 
 @query("ds11_permutation_null", PERM + TAIL + f", o AS (SELECT {OBS} AS o) SELECT round(max(o), 6) AS observed, round(avg(mean_tvd), 6) AS mean, round(stddev_samp(mean_tvd), 6) AS sd, count(*) AS replicates, round(median(mean_tvd), 6) AS median, round(quantile_cont(mean_tvd, 0.95), 6) AS p95, round(max(o) - median(mean_tvd), 6) AS excess, round((max(o) - avg(mean_tvd)) / stddev_samp(mean_tvd), 3) AS z, (1 + count(*) FILTER (mean_tvd >= o)) / (1 + count(*))::DOUBLE AS p FROM s, o")
 def _(t):
-    m = member(t)
-    s = against_base(m, D.permuted_units(m, ["b"], "u", "k", "id", B))
-    obs = D.weighted_distance(D.unit_distances(unit_cells(t), ["b"], "u", "k", "c")).select("mean_tvd").scalar()
+    c = unit_cells(t)
+    s = against_base(c, N.permuted_cells(c, ["b"], "u", "k", "c", B))
+    obs = D.weighted_distance(D.unit_distances(c, ["b"], "u", "k", "c")).select("mean_tvd").scalar()
     return r(r(D.against_null(obs, s, "mean_tvd"), "z", digits=3), "observed", "mean", "sd", "median", "p95", "excess")
 
 
@@ -212,6 +238,19 @@ def _(t):
     return r(D.unit_distances(unit_cells(t), ["b"], "u", "k", "c", leave_out=True), "tvd")
 
 
+LOO = "(SELECT {0} sum(n * tvd) / sum(n) AS d FROM (SELECT {0} b, u, n, sum(abs(c / n - (gk - c) / (gn - n))) / 2 AS tvd FROM (SELECT *, sum(c) OVER (PARTITION BY {0} b, u) AS n, sum(c) OVER (PARTITION BY {0} b, k) AS gk, sum(c) OVER (PARTITION BY {0} b) AS gn FROM (SELECT {1}.*, cat.k, coalesce(e.c, 0) AS c FROM {1} JOIN cat ON cat.b = {1}.b LEFT JOIN {2} e ON {3} e.b = {1}.b AND e.u = {1}.u AND e.k = cat.k)) GROUP BY ALL) {4})".format
+
+
+@query("ds12_floor", f"WITH {MEMBERS}, {drawn_cells_sql('loo', SEGMENTS)}, uu AS (SELECT DISTINCT replicate, b, u FROM c), ou AS (SELECT b, u FROM un), oc AS (SELECT b, u, k, count(*)::DOUBLE AS c FROM m GROUP BY ALL), "
+       f"f AS {LOO('replicate,', 'uu', 'c', 'e.replicate = uu.replicate AND', 'GROUP BY replicate')}, o AS {LOO('', 'ou', 'oc', '', '')} "
+       "SELECT round(max(o.d), 6) AS observed, round(avg(f.d), 6) AS mean, round(quantile_cont(f.d, 0.95), 6) AS p95, count(*) AS replicates, round(greatest(max(o.d) - quantile_cont(f.d, 0.95), 0), 6) AS net FROM f, o")
+def _(t):
+    c = cut_lineage(unit_cells(t))
+    obs = D.weighted_distance(D.unit_distances(c, ["b"], "u", "k", "c", leave_out=True)).select("mean_tvd").scalar()
+    s = D.against_null(obs, N.leave_one_out_floor(c, ["b"], "u", "k", "c", B), "mean_tvd").select("observed", "mean", "p95", "replicates")
+    return r(s.withColumn("net", F.greatest(COL("observed") - COL("p95"), F.lit(0.0))), "observed", "mean", "p95", "net")
+
+
 PLACEBO = f"""WITH u AS (SELECT l_suppkey AS u, l_suppkey % 2 AS z, count(*) AS n, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*)::DOUBLE AS share, {draw_sql('placebo', 'l_suppkey')} AS x FROM lineitem GROUP BY 1),
 s AS (SELECT u, z, 'real' AS kind, row_number() OVER (PARTITION BY z ORDER BY share, u) AS r, count(*) OVER (PARTITION BY z) AS m FROM u UNION ALL SELECT u, z, 'size', row_number() OVER (PARTITION BY z ORDER BY n, u), count(*) OVER (PARTITION BY z) FROM u
  UNION ALL SELECT u, z, 'random', row_number() OVER (PARTITION BY z ORDER BY x, u), count(*) OVER (PARTITION BY z) FROM u),
@@ -237,21 +276,17 @@ def _(t):
 
 
 @query("ds14_section_ceiling", f"""
-WITH m AS (SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || (row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY l_returnflag, l_quantity, l_extendedprice)) AS id, l_suppkey AS u, l_suppkey % 5 AS z, l_returnflag AS k FROM lineitem),
-w AS (SELECT k, count(*) AS w FROM m GROUP BY ALL), i AS (SELECT k, sum(w) OVER (ORDER BY k) AS hi, sum(w) OVER (ORDER BY k) - w AS lo FROM w),
-rp AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY x, id) - 1 AS pos FROM (SELECT m.*, r.r AS replicate, {draw_sql('perm', 'r.r', 'm.id')} AS x FROM m, range(1, 4) r(r))),
-c AS (SELECT replicate, u, z, i.k, count(*)::DOUBLE AS c FROM rp JOIN i ON pos >= lo AND pos < hi GROUP BY ALL UNION ALL SELECT 0, u, z, k, count(*)::DOUBLE FROM m GROUP BY ALL),
+WITH m AS (SELECT 0 AS b, l_suppkey AS u, l_returnflag AS k FROM lineitem), {permuted_cells_sql('perm', 3, 10).replace(", c AS (", ", pc AS (")},
+c AS (SELECT replicate, u, u % 5 AS z, k, c FROM pc UNION ALL SELECT 0, u, u % 5, k, count(*)::DOUBLE FROM m GROUP BY ALL),
 su AS (SELECT replicate, sum(c / n * ln(c * n / (cg * ck))) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY replicate, u) AS cg, sum(c) OVER (PARTITION BY replicate, k) AS ck, sum(c) OVER (PARTITION BY replicate) AS n FROM c) GROUP BY 1),
 cz AS (SELECT replicate, z, k, sum(c) AS c FROM c GROUP BY ALL),
 sz AS (SELECT replicate, sum(c / n * ln(c * n / (cg * ck))) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY replicate, z) AS cg, sum(c) OVER (PARTITION BY replicate, k) AS ck, sum(c) OVER (PARTITION BY replicate) AS n FROM cz) GROUP BY 1),
 e AS (SELECT (SELECT mi FROM su WHERE replicate = 0) - (SELECT median(mi) FROM su WHERE replicate > 0) AS section_net, (SELECT mi FROM sz WHERE replicate = 0) - (SELECT median(mi) FROM sz WHERE replicate > 0) AS zone_net)
 SELECT round(section_net, 6) AS section_net, round(zone_net, 6) AS zone_net, round(zone_net / section_net, 3) AS kept FROM e""")
 def _(t):
-    line = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    copy = F.row_number().over(W.partitionBy(*line).orderBy("l_returnflag", "l_quantity", "l_extendedprice"))
-    m = t.lineitem.select(F.concat_ws("-", *line, copy).alias("id"), COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k"))
-    perm = D.permuted_units(m, [], "u", "k", "id", 3).select("replicate", "u", "k", "n")
-    cells = cut_lineage(perm.unionByName(m.groupBy("u", "k").agg(F.count("*").alias("n")).withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
+    m = cut_lineage(t.lineitem.groupBy(COL("l_suppkey").alias("u"), COL("l_returnflag").alias("k")).agg(F.count("*").alias("n")))
+    perm = N.permuted_cells(m, [], "u", "k", "n", B)
+    cells = cut_lineage(perm.unionByName(m.withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
     def net(level):
         mi = D.information(cells, level, "k", "n", ["replicate"])
         med = X.quantiles(mi.filter("replicate > 0"), [], "mi", {"m": 0.5})
