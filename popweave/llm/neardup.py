@@ -109,16 +109,35 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return map_slices(docs, sign, "id bigint, n bigint, digest binary, keys array<bigint>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Shingle sets of the texts with these ids, computed again from the whole texts."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int, several: bool = False) -> DataFrame:
+    """Shingle sets of the texts with these ids, computed again from the whole texts.
+
+    One set an id; with ``several`` every different set of the ids, with its digest instead of the id.
+    """
     words = WordHash()
 
     def build(part: pa.RecordBatch) -> dict:
-        return {"id": part.column("id"), "shingles": [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), words, k)]}
+        sets = shingle_sets(part.column("text").to_pylist(), words, k)
+        first = {"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]} if several else {"id": part.column("id")}
+        return {**first, "shingles": [s.view(np.int64) for s in sets]}
 
     few = ids.count() <= BROADCAST_IDS
     wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return written(map_slices(wanted, build, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "sets")
+    name, kind = ("digest", "binary") if several else ("id", "bigint")
+    return written(map_slices(wanted, build, f"{name} {kind}, shingles array<bigint>").dropDuplicates([name]), "sets")
+
+
+def _classes(usable: DataFrame, twice: DataFrame) -> DataFrame:
+    """Classes of equal sets (digest, rep, copies, apart) where some ids stand for several sets.
+
+    A class is named by its smallest id. Where that id stands for other sets too, the class is ``apart``: it gets a
+    number of its own above all ids, so that its set is not mixed up with the id's other sets.
+    """
+    above = usable.agg(F.max("id")).scalar() + 1
+    classes = usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    marked = classes.join(twice.select(F.col("id").alias("rep"), F.lit(True).alias("apart")), "rep", "left").withColumn("own", F.monotonically_increasing_id())
+    return marked.select("digest", F.when(F.col("apart"), above + F.col("own")).otherwise(F.col("rep")).alias("rep"), "copies",
+                         F.coalesce("apart", F.lit(False)).alias("apart"))
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
@@ -225,7 +244,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, text: s
     more; ``component_id`` is the smallest id reachable by links.
 
     1. One pass signs every text: SuperMinHash of 256 slots, keys of ``bands(threshold)``, a 128-bit digest of the set.
-       Texts themselves are never shuffled here. Texts with equal sets are one class, reduced to its smallest id.
+       Texts themselves are never shuffled here. Texts with equal sets are one class, reduced to its smallest id, or
+       to a number of its own where that id stands for other sets too (ids may reach 2^62).
     2. Classes that share a band key are candidates. Each bucket's hub is compared with all its members on full sets.
     3. Union-find over these links. Buckets that still hold several components are cut into blocks, and every pair of
        members with different components is compared on full sets inside a task that holds two blocks; only the links
@@ -234,29 +254,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, text: s
 
     Bands miss a pair just at the threshold with a chance below 1e-5. Nulls: null and wordless texts have
     ``n_shingles`` 0 and their own component; a null id stays apart, with a null component, and is kept. Rows that
-    repeat an id share its component; all rows are kept or dropped alike. Empty tables give empty results. Other
+    repeat an id share its component, which joins the classes of all their texts, in whatever order the rows stand;
+    all rows are kept or dropped alike. Empty tables give empty results. Other
     columns are not read.
     """
     spark, percent = docs.sparkSession, round(threshold * 100)
     base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = written(signatures(base, k, threshold), "signed")
     usable = signed.where("digest is not null and id is not null")
-    groups = written(usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
-    reps = usable.select("id", "n", "keys").join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    twice = written(usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id"), "twice")
+    odd = bool(twice.limit(1).count())                 # ids that repeat with different sets
+    groups = written(_classes(usable, twice) if odd else usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "groups")
+    keyed = usable.select("id", "n", "keys")
+    if odd:
+        apart = usable.join(groups.where("apart").select("digest", F.col("rep").alias("node")), "digest").dropDuplicates(["node"])
+        keyed = keyed.join(twice, "id", "left_anti").unionByName(apart.select(F.col("node").alias("id"), "n", "keys"))
+    reps = keyed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     rows = reps.select("id", F.col("n").cast("int").alias("n"), F.posexplode("keys").alias("band", "key"))
     multiple = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band", "key")
     rows = written(rows.join(multiple, ["band", "key"]), "rows")
-    sets = _sets_of(base.where("id is not null"), rows.select("id").distinct(), k)
+    known = base.where("id is not null")
+    sets = _sets_of(known, rows.select("id").distinct(), k)
+    if odd:
+        inside = _sets_of(known.join(twice, "id", "left_semi"), twice, k, several=True)
+        inside = inside.join(groups.where("apart").select("digest", F.col("rep").alias("id")), "digest").dropDuplicates(["id"])
+        sets = written(sets.join(twice, "id", "left_anti").unionByName(inside.select("id", "shingles")), "sets")
     links = written(_verified(_hub_pairs(rows), sets, percent), "links")
-    links = written(links.unionByName(_exhaust(rows, components(links, spark), sets, usable.select("id", "keys"), percent)), "links")
-    # ids that stand for several different sets (repeated ids) join these sets' classes
-    twice = usable.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
-    odd = usable.join(twice, "id", "left_semi").join(groups, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    labels = components(links.unionByName(odd), spark).withColumnsRenamed({"id": "rep", "label": "component"})
+    links = written(links.unionByName(_exhaust(rows, components(links, spark), sets, keyed.select("id", "keys"), percent)), "links")
+    if odd:                                            # an id joins the classes of all its sets
+        own = usable.join(twice, "id", "left_semi").join(groups, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(own)
+    labels = components(links, spark).withColumnsRenamed({"id": "rep", "label": "component"})
     final = groups.where("copies > 1").select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("of_copies"))
     alone = labels.select(F.col("rep").alias("id"), F.col("component").alias("of_id"))
     got = (signed.select("id", "n", "digest").join(final, "digest", "left").join(alone, "id", "left")
-           .withColumn("component_id", F.least(F.coalesce("of_copies", "of_id", "id"), F.coalesce("of_id", "of_copies", "id"))))
+           .withColumn("component_id", F.when(F.col("id").isNotNull(), F.least(F.coalesce("of_copies", "of_id", "id"), F.coalesce("of_id", "of_copies", "id")))))
     return got.select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")).withColumnRenamed("id", doc_id)
 
 

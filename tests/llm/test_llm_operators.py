@@ -245,6 +245,34 @@ def test_components_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), label[i]) for i, _ in docs}
 
 
+def test_repeated_ids_with_several_texts_lose_no_link(spark):
+    """Rows (1, X), (1, Y), (2, nearly Y) and many more of the kind, in two orders, against brute force on single texts."""
+    rng = random.Random(11)
+    base = [prose(60, rng).split() for _ in range(30)]
+    docs = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, " ".join(base[1][:-1] + ["end"]))]
+    for _ in range(90):
+        text = list(rng.choice(base))
+        if rng.random() < 0.6:
+            text[rng.randrange(60)] = rng.choice(WORDS)
+        docs.append((rng.choice([rng.randint(3, 40), rng.randint(3, 200)]), " ".join(text)))
+    docs += [(300, ""), (300, None), (300, "a b"), (301, "A b"), (None, "a b"), (300, "other words")]
+    single = {n: t for n, (i, t) in enumerate(docs) if i is not None}
+    sets, _ = _brute(single.items(), 3, 85)
+    owner = {n: i for n, (i, _) in enumerate(docs)}
+    label = {i: i for i in owner.values() if i is not None}
+    links = [(owner[a], owner[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]
+             and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = sorted((i, len(sets[n]), label[i]) for n, i in owner.items() if i is not None)
+    for order in (docs, docs[::-1], rng.sample(docs, len(docs))):
+        got = neardup.near_duplicates(spark.createDataFrame(order, "doc_id bigint, text string").repartition(5), 3, 0.85).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
+        assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = {r["doc_id"]: r for r in neardup.near_duplicates(odd).collect()}
     assert got[7]["component_id"] == 6 and not got[7]["kept"] and got[1]["n_shingles"] == 0 and got[None]["kept"]
