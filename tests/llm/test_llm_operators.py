@@ -352,6 +352,50 @@ def test_verification_matches_all_places_and_splits_runs():
     assert all((p == q).all() for p, q in zip(passages._equal_runs(z, w), passages._equal_runs(z, w, 100), strict=True))
 
 
+def test_verification_along_given_diagonals():
+    """Bounded diagonals give the runs of these diagonals; only passages inside no other one come out."""
+    rng = np.random.default_rng(8)
+    for alphabet in (3, 9, 1000):
+        x, y = rng.integers(0, alphabet, 120).astype(np.uint64), rng.integers(0, alphabet, 90).astype(np.uint64)
+        for lo, hi in ((-130, 130), (-7, 4), (0, 0), (40, 60), (200, 300)):
+            every, some = (np.stack(passages._equal_runs(x, y, diagonals=d), axis=1) for d in (None, (lo, hi)))
+            assert (every[(every[:, 2] >= lo) & (every[:, 2] <= hi)] == some).all() and ((some[:, 2] >= lo) & (some[:, 2] <= hi)).all()
+    assert not len(passages._equal_runs(x, y[:0], diagonals=(-5, 5))[0])
+    spans = rng.integers(0, 12, (300, 4)).astype(np.int64)
+    spans[:, 1] += spans[:, 0]
+    spans[:, 3] += spans[:, 2]
+    inside = lambda p, q: q[0] <= p[0] and p[1] <= q[1] and q[2] <= p[2] and p[3] <= q[3]                                   # noqa: E731
+    distinct = {tuple(p) for p in spans.tolist()}
+    assert {tuple(p) for p in passages._outermost(spans).tolist()} == {p for p in distinct if not any(p != q and inside(p, q) for q in distinct)}
+    # a line that a text repeats: one passage, not one for each shift
+    line = np.arange(10, dtype=np.uint64)
+    assert passages.matching_passages(np.tile(line, 20), np.tile(line, 20), 46, 0.8) == [(0, 199, 0, 199)]
+
+
+def test_near_copies_of_passages_against_the_planted_ones(spark):
+    """Passages with changed, lost and added words inside other texts: at least nine in ten are found and tied to their source."""
+    rng = random.Random(21)
+    docs, planted = [], []
+    for g in range(30):
+        words = prose(rng.randrange(80, 160), rng).split()
+        docs.append((10 * g, " ".join([prose(40, rng), *words, prose(40, rng)])))
+        for j in range(1, 4):
+            copy = list(words)
+            for _ in range(max(1, len(copy) // 60)):
+                at = rng.randrange(len(copy))
+                copy[at:at + 1] = [[], ["new"], [copy[at], "added"]][rng.randrange(3)]
+            before = rng.randrange(20, 60)
+            docs.append((10 * g + j, " ".join([prose(before, rng), *copy, prose(30, rng)])))
+            planted.append((10 * g + j, before, before + len(copy)))
+    cover = {}
+    for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        assert r["class_id"] // 10 == r["doc_id"] // 10
+        cover.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    found = sum(len(cover.get(i, set()) & set(range(s, e))) >= 0.8 * (e - s) for i, s, e in planted)
+    assert found >= 0.9 * len(planted), found
+    assert all(len(cover.get(i, set()) - set(range(s - 5, e + 5))) == 0 for i, s, e in planted)
+
+
 def test_passages_that_the_smallest_texts_of_their_keys_lack(spark):
     """Texts 10 and 11 share a passage; under each hash function an unrelated smaller text has the minimum's token."""
     rng = random.Random(12)
