@@ -82,20 +82,28 @@ def _(t):
 RINGS = [[(0, 0), (17, 0), (17, 17), (0, 17)], [(4, 8.5), (8.5, 3), (13, 8.5), (8.5, 14)], [(7, 7), (10, 8), (8, 10)], [(17.4, 4), (19.4, 9), (17.4, 12)]]
 CORNERS = [(i, j, float(x), float(y)) for i, ring in enumerate(RINGS) for j, (x, y) in enumerate(ring)]
 SIDES = [(*map(float, a), *map(float, b)) for ring in RINGS for a, b in zip(ring, ring[1:] + ring[:1])]
-RINGED = f"""WITH p AS (SELECT c_custkey, x, y FROM {located_sql()}), s(ax, ay, bx, bz) AS (VALUES {', '.join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in SIDES)}),
+
+
+def ringed(points: str, key: str) -> str:
+    """SQL of ``points`` matched with the nations' rings: ``p`` and the match ``m(key, b)``."""
+    return f"""WITH p AS ({points}), s(ax, ay, bx, bz) AS (VALUES {', '.join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for a, b, c, d in SIDES)}),
 e AS (SELECT n_nationkey AS k, ax + x0 AS ax, ay + y0 AS ay, bx + x0 AS bx, bz + y0 AS bz FROM s, (SELECT n_nationkey, n_nationkey % 5 * 20 + 1.0 AS x0, n_nationkey // 5 * 20 + 1.0 AS y0 FROM nation)),
 t AS (SELECT *, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (bz - ay)) / ((bx - ax) ** 2 + (bz - ay) ** 2))) AS t FROM p, e),
-g AS (SELECT c_custkey, k, min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (bz - ay)) ** 2)) AS d,
+g AS (SELECT {key}, k, min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (bz - ay)) ** 2)) AS d,
              count(*) FILTER ((ay > y) <> (bz > y) AND x > ax + (bx - ax) * (y - ay) / nullif(bz - ay, 0)) % 2 = 1 AS inside FROM t GROUP BY ALL),
-m AS (SELECT c_custkey, min({{'o': NOT inside, 'd': CASE WHEN inside THEN 0 ELSE d END, 'k': k}}) AS b FROM g WHERE inside OR d <= 1.2 GROUP BY 1) """
+m AS (SELECT {key}, min({{'o': NOT inside, 'd': CASE WHEN inside THEN 0 ELSE d END, 'k': k}}) AS b FROM g WHERE inside OR d <= 1.2 GROUP BY 1) """
 
 
-@query("jn6_rings", RINGED + """SELECT c_custkey, coalesce(b.k, -1) AS section, round(coalesce(b.d, -1), 6) AS distance, CASE WHEN b IS NULL THEN 'unmatched' WHEN b.o THEN 'nearest' ELSE 'within' END AS method FROM p LEFT JOIN m USING (c_custkey)""")
-def _(t):
+def nation_edges(t):
     corners = F.inline(F.array(*[F.struct(F.lit(i).alias("ring"), F.lit(j).alias("seq"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for i, j, x, y in CORNERS]))
     x0, y0 = (F.col("n_nationkey") % 5) * 20 + 1.0, F.floor(F.col("n_nationkey") / 5) * 20 + 1.0
     vertices = t.nation.select("n_nationkey", x0.alias("x0"), y0.alias("y0"), corners).select("n_nationkey", "ring", "seq", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y"))
-    got = S.point_in_rings(located(t).select("c_custkey", "x", "y"), S.ring_edges(vertices, "n_nationkey"), "c_custkey", "n_nationkey", 5.0, 1.2)
+    return S.ring_edges(vertices, "n_nationkey")
+
+
+@query("jn6_rings", ringed(f"SELECT c_custkey, x, y FROM {located_sql()}", "c_custkey") + """SELECT c_custkey, coalesce(b.k, -1) AS section, round(coalesce(b.d, -1), 6) AS distance, CASE WHEN b IS NULL THEN 'unmatched' WHEN b.o THEN 'nearest' ELSE 'within' END AS method FROM p LEFT JOIN m USING (c_custkey)""")
+def _(t):
+    got = S.point_in_rings(located(t).select("c_custkey", "x", "y"), nation_edges(t), "c_custkey", "n_nationkey", 5.0, 1.2)
     return got.select("c_custkey", F.coalesce("n_nationkey", F.lit(-1)).alias("section"), F.round(F.coalesce("distance", F.lit(-1.0)), 6).alias("distance"), "method")
 
 

@@ -307,8 +307,15 @@ def _(t):
     """A user-added builder by name."""
     def head_words(df, text):
         return df.select(F.explode(F.split(text, " ")).alias("chiave")).groupBy("chiave").agg(F.count("*").alias("peso"))
-    N.register_builder("words", head_words)
-    return N.ingest("words", t.part, text="p_name")
+    return N.ingest("words", t.part, registry={**N.BUILDERS, "words": head_words}, text="p_name")
+
+
+@query("ud1_table_function", "SELECT unnest(string_split(p_name, ' ')) AS chiave, count(*) AS peso, sum(p_size) AS massa FROM part WHERE p_size >= 10 GROUP BY 1 HAVING count(*) >= 3")
+def _(t):
+    """A normaliser called from SQL as a table function, with its diagnostics as a second one."""
+    words = "SELECT explode(split(p_name, ' ')) AS chiave, p_size FROM {part} WHERE p_size >= head_words.least"
+    N.table_function(t.spark, "head_words", "chiave STRING, peso BIGINT, massa BIGINT", f"SELECT chiave, count(*), sum(p_size) FROM ({words}) GROUP BY chiave", "least INT", part=t.part)
+    return t.spark.sql("SELECT chiave, peso, massa FROM head_words(10) WHERE peso >= 3")
 
 
 @query("ud2_common_layout", """WITH a AS (SELECT CAST(c_nationkey AS VARCHAR) AS geo, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sesso, c_mktsegment AS paese, count(*)::DOUBLE AS n FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY ALL),

@@ -72,7 +72,12 @@ def _inner_corners(edges: DataFrame, poly: str, grid: float) -> DataFrame:
     return spans.select(poly, "cy", F.explode(F.sequence(F.col("cx"), F.col("to") - 1)).alias("cx"))
 
 
-def point_in_rings(points: DataFrame, edges: DataFrame, pid: str, poly: str, grid: float, near: float) -> DataFrame:
+def ring_cells(edges: DataFrame, poly: str, grid: float, near: float) -> tuple[DataFrame, DataFrame]:
+    """What ``point_in_rings`` joins points with, written once for many calls: edges by cell, and cells whose corner is inside."""
+    return cut_lineage(_edge_cells(edges, grid, near)), cut_lineage(_inner_corners(edges, poly, grid))
+
+
+def point_in_rings(points: DataFrame, edges: DataFrame, pid: str, poly: str, grid: float, near: float, cells: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Each row of ``points(pid, x, y, ...)`` with its polygon: inside first, else the nearest edge within ``near``.
 
     Returns the columns of ``points`` with ``poly``, ``distance`` (0 inside) and ``method`` (within, nearest or
@@ -85,7 +90,9 @@ def point_in_rings(points: DataFrame, edges: DataFrame, pid: str, poly: str, gri
     no outline is ever copied to a cell or held in one row, however many vertices it has.
 
     Points without finite coordinates are unmatched. ``pid`` is unique; a polygon's id may have any type that sorts.
+    ``cells`` are those of ``ring_cells`` for the same grid and reach, for points that come in portions.
     """
+    edge_cells, corners = cells or (_edge_cells(edges, grid, near), _inner_corners(edges, poly, grid))
     pts = points.select(pid, "x", "y").where(finite("x", "y")).withColumn("cx", _at(F.col("x"), grid)).withColumn("cy", _at(F.col("y"), grid))
     left, bottom = _line(F.col("cx"), grid), _line(F.col("cy"), grid)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
@@ -96,8 +103,8 @@ def point_in_rings(points: DataFrame, edges: DataFrame, pid: str, poly: str, gri
     up = ((F.col("ax") < left) != (F.col("bx") < left)) & below(F.col("y")) & ~below(bottom)
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy)))
     away = F.sqrt(F.pow(F.col("x") - F.col("ax") - t * dx, F.lit(2.0)) + F.pow(F.col("y") - F.col("ay") - t * dy, F.lit(2.0)))
-    met = pts.join(_edge_cells(edges, grid, near), ["cx", "cy"]).select(pid, poly, (across.cast("int") + up.cast("int")).alias("odd"), away.alias("d"))
-    corner = pts.join(_inner_corners(edges, poly, grid), ["cx", "cy"]).select(pid, poly, F.lit(1).alias("odd"), F.lit(None).cast("double").alias("d"))
+    met = pts.join(edge_cells, ["cx", "cy"]).select(pid, poly, (across.cast("int") + up.cast("int")).alias("odd"), away.alias("d"))
+    corner = pts.join(corners, ["cx", "cy"]).select(pid, poly, F.lit(1).alias("odd"), F.lit(None).cast("double").alias("d"))
     each = met.unionByName(corner).groupBy(pid, poly).agg(F.sum("odd").alias("odd"), F.min("d").alias("d"))
     out = F.col("odd") % 2 == 0
     best = (each.where(~out | (F.col("d") <= near)).groupBy(pid)

@@ -5,7 +5,7 @@ lazy one-row frames; nothing is collected.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -272,16 +272,23 @@ BUILDERS: dict[str, Callable[..., tuple[DataFrame, DataFrame] | DataFrame]] = {
 }
 
 
-def register_builder(name: str, fn: Callable) -> None:
-    """New source kinds are added by name and used from registry rows."""
-    BUILDERS[name] = fn
+def ingest(builder: str, df: DataFrame, registry: Mapping[str, Callable] = BUILDERS, **options):
+    """Apply the builder a registry row names; new kinds come in a registry of the caller's: ``{**BUILDERS, "mine": fn}``."""
+    if builder not in registry:
+        raise KeyError(f"unknown builder {builder}: {sorted(registry)}")
+    return registry[builder](df, **options)
 
 
-def ingest(builder: str, df: DataFrame, **options):
-    """Apply the builder a registry row names."""
-    if builder not in BUILDERS:
-        raise KeyError(f"unknown builder {builder}: {sorted(BUILDERS)}")
-    return BUILDERS[builder](df, **options)
+def table_function(spark: SparkSession, name: str, returns: str, body: str, params: str = "", **views: DataFrame) -> None:
+    """A normaliser that SQL calls by name: ``SELECT * FROM name(...)``.
+
+    ``returns`` lists its columns, ``params`` its parameters (``least INT``) and ``body`` is the SELECT over ``views``, which
+    stand as temporary views ``<name>_<view>``; ``{view}`` in the body names them. The function lives in the session, and
+    the optimiser unfolds its body into the calling query, so filters and columns reach the scan.
+    """
+    for view, df in views.items():
+        df.createOrReplaceTempView(f"{name}_{view}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS TABLE({returns}) RETURN {body.format(**{v: f'{name}_{v}' for v in views})}")
 
 
 def common_layout(df: DataFrame, spec: dict) -> DataFrame:
