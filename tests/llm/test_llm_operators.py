@@ -396,6 +396,23 @@ def test_near_copies_of_passages_against_the_planted_ones(spark):
     assert all(len(cover.get(i, set()) - set(range(s - 5, e + 5))) == 0 for i, s, e in planted)
 
 
+def test_passages_of_ids_with_several_texts(spark):
+    """An id's other texts keep their passages, also where one is a surplus copy, in any order of the rows."""
+    rng = random.Random(31)
+    shared, copied = prose(120, rng), prose(70, rng)
+    near = shared.split()
+    near[60] = "changed"
+    docs = [(1, prose(90, rng)), (1, prose(30, rng) + " " + shared), (2, " ".join(near) + " " + prose(20, rng)), (0, copied), (1, copied), (1, copied.upper()), (5, prose(10, rng) + " " + copied)]
+    both = prose(60, rng)                                            # only ids with several texts hold it
+    docs += [(8, both), (7, both), (7, prose(55, rng)), (8, prose(56, rng)), (9, both + " " + prose(9, rng))]
+    want = {(1, 30, 150, 1, 30, False), (2, 0, 120, 1, 30, False), (0, 0, 70, 0, 0, False), (5, 10, 80, 0, 0, False), (0, 0, 70, 0, 0, True), (1, 0, 70, 0, 0, True),
+            (7, 0, 60, 7, 0, False), (9, 0, 60, 7, 0, False), (7, 0, 60, 7, 0, True), (8, 0, 60, 7, 0, True)}
+    for given in (docs, docs[::-1]):
+        got = passages.repeated_passages(spark.createDataFrame(given, "doc_id bigint, text string").repartition(3)).collect()
+        found = {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"], r["class_start"], r["whole_copy"]) for r in got}
+        assert found == want and len(got) == len(want), found
+
+
 def test_passages_that_the_smallest_texts_of_their_keys_lack(spark):
     """Texts 10 and 11 share a passage; under each hash function an unrelated smaller text has the minimum's token."""
     rng = random.Random(12)
