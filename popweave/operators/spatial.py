@@ -159,11 +159,11 @@ def _tree(places: DataFrame, dims: int) -> list[DataFrame]:
         level = min(level + STEP, DEEPEST)
 
 
-def _box_distances(dims: int) -> tuple[Column, Column]:
+def _box_distances(dims: int, box: Column) -> tuple[Column, Column]:
     """Least and greatest squared distance from a point to the box of a cell."""
     near, far = F.lit(0.0), F.lit(0.0)
     for i in range(dims):
-        u, lo, hi = F.col(f"u{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
+        u, lo, hi = F.col(f"u{i}"), box[f"lo{i}"], box[f"hi{i}"]
         near = near + F.pow(F.greatest(lo - u, u - hi, F.lit(0.0)), F.lit(2.0))
         far = far + F.pow(F.greatest(F.abs(u - lo), F.abs(u - hi)), F.lit(2.0))
     return near, far
@@ -189,20 +189,24 @@ def nearest_place(points: DataFrame, facilities: DataFrame, pid: str, fid: str,
     if places.isEmpty():
         return named.select(pid).where(F.lit(False)).join(facilities.select(fid), F.lit(False)).withColumn("distance", F.lit(0.0))
     front = at(named.select("x", "y").distinct()).withColumn("up", F.lit(-1).cast("bigint")).withColumn("bound", F.lit(float("inf")))
-    near, far = _box_distances(dims)
+    within = lambda near, bound: near <= bound * (1 + SLACK) + F.lit(SLACK ** 2)           # noqa: E731
+    sides = [f"{n}{i}" for i in range(dims) for n in ("lo", "hi")]
     found = []
     for nodes, held in _tree(places, dims):
         of_point = W.partitionBy("x", "y")
-        met = front.join(nodes, "up").select("x", "y", *u, "cell", "leaf", "bound", near.alias("near"), far.alias("far"))
-        met = met.withColumn("bound", F.least("bound", F.min("far").over(of_point))).where(F.col("near") <= F.col("bound") * (1 + SLACK) + F.lit(SLACK ** 2))
-        met = cut_lineage(met.drop("far"))
+        # the parts of a cell are at most 2 ^ (STEP * dims), in one row: a point drops those beyond the best of them before it is dealt
+        parts = nodes.groupBy("up").agg(F.collect_list(F.struct("cell", "leaf", *sides)).alias("parts"))
+        met = (front.join(parts, "up").withColumn("bound", F.least("bound", F.array_min(F.transform("parts", lambda p: _box_distances(dims, p)[1]))))
+               .select("x", "y", *u, "bound", F.explode("parts").alias("p")).select("x", "y", *u, "bound", "p.cell", "p.leaf", _box_distances(dims, F.col("p"))[0].alias("near")))
+        met = met.where(within(F.col("near"), F.col("bound"))).withColumn("bound", F.min("bound").over(of_point)).where(within(F.col("near"), F.col("bound")))
+        met = cut_lineage(met)
         found.append((met.where("leaf"), held))
         front = met.where("not leaf").select("x", "y", *u, F.col("cell").alias("up"), "bound")
     # cells that later, closer ones ruled out are not opened
     closest = reduce(lambda a, b: a.unionByName(b), [m.select("x", "y", "bound") for m, _ in found]).groupBy("x", "y").agg(F.min("bound").alias("closest"))
     answers = []
     for met, held in found:
-        left = met.join(closest, ["x", "y"]).where(F.col("near") <= F.col("closest") * (1 + SLACK) + F.lit(SLACK ** 2)).select("x", "y", "cell")
+        left = met.join(closest, ["x", "y"]).where(within(F.col("near"), F.col("closest"))).select("x", "y", "cell")
         both = left.join(held.select("cell", F.col(fid), F.col("x").alias("px"), F.col("y").alias("py")), "cell")
         x, y, px, py = (F.col(c) for c in ("x", "y", "px", "py"))
         d = haversine(x, y, px, py) if globe else F.sqrt(F.pow(x - px, F.lit(2.0)) + F.pow(y - py, F.lit(2.0)))

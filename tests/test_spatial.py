@@ -124,3 +124,14 @@ def test_one_to_one_against_greedy(spark, monkeypatch, seed):
             ub.add(j)
     assert got == want
     assert max(df.count() for df in kept) <= 2 * J.CANDIDATES * (len(a) + len(b))
+
+
+def test_parts_of_a_cell_are_ruled_out_before_points_are_dealt(spark, monkeypatch):
+    plans = []
+    kept = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    ps = spark.range(300).select(F.col("id").alias("pid"), (F.col("id") * 7 % 101 / 10.0).alias("x"), (F.col("id") * 13 % 97 / 10.0).alias("y"))
+    fs = spark.range(200).select(F.col("id").alias("fid"), (F.col("id") * 11 % 103 / 10.0).alias("x"), (F.col("id") * 5 % 89 / 10.0).alias("y"))
+    assert S.nearest_place(ps, fs, "pid", "fid").count() == 300
+    rounds = [p.split("Window", 1)[1] for p in plans if "Window" in p]
+    assert rounds and all("Filter" in p and "Generate explode" in p for p in rounds)
