@@ -83,9 +83,31 @@ def _draw_slice(df: DataFrame, draw_col: str) -> Column:
     return F.floor(F.col(draw_col) * salt_count(df.sparkSession)).cast("int")
 
 
-def rank_by_draw(df: DataFrame, keys: Key, draw_col: str, ties: Key, out: str = "rank") -> DataFrame:
-    """1-based rank inside ``keys`` by a uniform draw in [0, 1), ties by ``ties``."""
-    return running_total(df, keys, [F.col(draw_col), *map(F.col, ties)], _draw_slice(df, draw_col), F.lit(1).cast("bigint"), out)
+def rank_by_draw(df: DataFrame, keys: Key, draw_col: str, ties: Key, out: str = "rank", slices: DataFrame | None = None, most: DataFrame | None = None) -> DataFrame:
+    """1-based rank inside ``keys`` by a uniform draw in [0, 1), ties by ``ties``.
+
+    With the written ``slices`` of ``slices_by_draw`` and ``most(keys, __most)``, slices that begin at rank ``__most`` or
+    above, and groups without one, are left out before rows are dealt and sorted.
+    """
+    order, slice_, one = [F.col(draw_col), *map(F.col, ties)], _draw_slice(df, draw_col), F.lit(1).cast("bigint")
+    if slices is None:
+        return running_total(df, keys, order, slice_, one, out)
+    before = W.partitionBy(*[f"__g.{k}" for k in keys]).orderBy("__g.__s").rowsBetween(W.unboundedPreceding, -1)
+    wanted = (slices.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0))).select("__g", "__o", *[F.col(f"__g.{k}").alias(k) for k in keys])
+              .join(most, list(keys)).where("__o < __most").select("__g", "__o"))
+    inside = W.partitionBy("__g").orderBy(*order)
+    got = _sliced(df, keys, slice_, one).join(wanted, "__g").withColumn(out, F.col("__o") + F.row_number().over(inside))
+    return got.drop("__g", "__v", "__o")
+
+
+def slices_by_draw(df: DataFrame, keys: Key, draw_col: str) -> DataFrame:
+    """Rows of every slice that ``rank_by_draw`` cuts."""
+    return _slice_totals(_sliced(df, keys, _draw_slice(df, draw_col), F.lit(1).cast("bigint")))
+
+
+def sizes_of_slices(slices: DataFrame, keys: Key) -> DataFrame:
+    """``(keys, __most)``: rows of every group, from its slices."""
+    return slices.groupBy(*[F.col(f"__g.{k}").alias(k) for k in keys]).agg(F.sum("__t").alias("__most"))
 
 
 def sizes_by_draw(df: DataFrame, keys: Key, draw_col: str, out: str = "n") -> DataFrame:

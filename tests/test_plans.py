@@ -106,3 +106,16 @@ def test_cut_lineage_keeps_rows_and_schema(spark):
     df = spark.range(10).select("id", F.struct("id").alias("s"), F.lit(None).cast("string").alias("n"))
     got = cut_lineage(df)
     assert got.schema.simpleString() == df.schema.simpleString() and sorted(r["id"] for r in got.collect()) == list(range(10))
+
+
+def test_ranks_leave_out_slices_without_a_partner(spark):
+    d = spark.range(20_000).select("id", (F.col("id") % 3).alias("k"), draw("rank-most", "id").alias("u"))
+    most = spark.createDataFrame([(0, 50), (1, 4000)], "k bigint, __most bigint")
+    full = {r["id"]: r["rank"] for r in ranking.rank_by_draw(d, ["k"], "u", ["id"]).collect()}
+    slices = ranking.slices_by_draw(d, ["k"], "u")
+    assert {r["k"]: r["__most"] for r in ranking.sizes_of_slices(slices, ["k"]).collect()} == {0: 6667, 1: 6667, 2: 6666}
+    got = ranking.rank_by_draw(d, ["k"], "u", ["id"], "rank", slices, most).collect()
+    assert all(full[r["id"]] == r["rank"] for r in got)
+    assert {r["k"] for r in got} == {0, 1} and 4050 <= len(got) < 7000
+    for k, n in ((0, 50), (1, 4000)):
+        assert set(range(1, n + 1)) <= {r["rank"] for r in got if r["k"] == k}
