@@ -111,6 +111,18 @@ def test_toxicity_learns_and_stands_odd_rows(spark, odd, none):
     assert rows(toxicity.keep_clean(odd, toxicity.fit(labelled, labelled.where("false")))) == rows(odd)
 
 
+def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
+    seen, begun = [], toxicity.begun
+    monkeypatch.setattr(toxicity, "begun", lambda counts, n_docs: seen.append(n_docs.copy()) or begun(counts, n_docs))
+    n = F.col("id")
+    docs = spark.range(6000).select(n.alias("doc_id"), F.concat_ws(" ", F.lit("plain words"), F.when(n % 4 == 0, "vileword").otherwise("kind")).alias("text"), F.lit("en").alias("lang"),
+                                    (n % 4 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, docs)
+    trained = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) != 3).groupBy("toxic").count().collect()
+    assert list(seen[0]) == [r["count"] for r in sorted(trained)] and seen[0][0] > 3000
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in toxicity.classify(docs, model).collect())
+
+
 def test_threshold_weighs_rows_by_their_label():
     rng = np.random.default_rng(7)
     y = np.repeat([1.0, 0.0], 200)
