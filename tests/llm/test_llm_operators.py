@@ -1,5 +1,6 @@
 """Operators on small made cases: brute force, damage, and the rows that break things."""
 import gzip
+import os
 import random
 
 import numpy as np
@@ -439,6 +440,33 @@ def test_passages_that_the_smallest_texts_of_their_keys_lack(spark):
         assert {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got} == {(10, 60, 140, 10), (11, 90, 170, 10)}
 
 
+def test_texts_that_repeat_their_lines_are_not_written_once_a_window(spark, monkeypatch):
+    """Windows of a text under one key lie inside each other: the steps hold no list of all their words."""
+    rng = random.Random(41)
+    line, docs = prose(12, rng), []
+    for i in range(4):
+        docs.append((i, " ".join(prose(6, rng) + " " + line for _ in range(150))))
+    sizes, written = {}, passages.written
+
+    def measured(df, kind="step"):
+        got = written(df, kind)
+        sizes[kind] = sizes.get(kind, 0) + sum(os.path.getsize(f.removeprefix("file://")) for f in got.inputFiles())
+        return got
+
+    monkeypatch.setattr(passages, "written", measured)
+    passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sizes["edges"] and sum(sizes.values()) < 40 * sum(len(t) for _, t in docs), sizes
+
+
+def test_codes_in_common():
+    rng = np.random.default_rng(9)
+    for n, wide in ((5, 64), (70, 4), (70, 64), (130, 20)):
+        held = rng.random((300, n)) < rng.random((300, 1))
+        code, owner = np.nonzero(held)
+        want = np.triu(held.T.astype(int) @ held.astype(int), 1)
+        assert (passages._in_common(code, owner, n, width=32, wide=wide) == want).all()
+
+
 def test_poorest_stretch():
     rng = np.random.default_rng(6)
     for n in (10, 40):
