@@ -440,22 +440,22 @@ def test_passages_that_the_smallest_texts_of_their_keys_lack(spark):
         assert {(r["doc_id"], r["start_word"], r["end_word"], r["class_id"]) for r in got} == {(10, 60, 140, 10), (11, 90, 170, 10)}
 
 
-def test_texts_that_repeat_their_lines_are_not_written_once_a_window(spark, monkeypatch):
-    """Windows of a text under one key lie inside each other: the steps hold no list of all their words."""
-    rng = random.Random(41)
-    line, docs = prose(12, rng), []
-    for i in range(4):
-        docs.append((i, " ".join(prose(6, rng) + " " + line for _ in range(150))))
-    sizes, written = {}, passages.written
+def test_windows_inside_windows_bring_no_words_twice(spark, monkeypatch):
+    """A token that a text repeats makes windows inside windows under one key; the steps do not hold the words of each."""
+    n = 3000
+    texts = [(i, " ".join(f"t{i}w{j}" for j in range(n + 4))) for i in (1, 2)]
+    edges = [(1, 0, 0, n - 1, i, c, c, n - 1, 0, 77) for i in (1, 2) for c in range(0, n - 50, 10) if (i, c) != (1, 0)]
+    edges = spark.createDataFrame(edges, "a bigint, l1 int, c1 int, r1 int, b bigint, l2 int, c2 int, r2 int, k tinyint, key bigint")
+    sizes, written = [], passages.written
 
     def measured(df, kind="step"):
         got = written(df, kind)
-        sizes[kind] = sizes.get(kind, 0) + sum(os.path.getsize(f.removeprefix("file://")) for f in got.inputFiles())
+        sizes.append(sum(os.path.getsize(f.removeprefix("file://")) for f in got.inputFiles()))
         return got
 
     monkeypatch.setattr(passages, "written", measured)
-    passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    assert sizes["edges"] and sum(sizes.values()) < 40 * sum(len(t) for _, t in docs), sizes
+    assert passages._exhaust(edges, spark.createDataFrame([], passages.LINK), spark.createDataFrame(texts, "id bigint, text string"), 46, 0.8, spark).count() == 0
+    assert sum(sizes) < 2 * sum(len(t) for _, t in texts), sizes
 
 
 def test_codes_in_common():
