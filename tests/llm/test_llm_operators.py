@@ -385,6 +385,52 @@ def test_verification_along_given_diagonals():
     assert passages.matching_passages(np.tile(line, 20), np.tile(line, 20), 46, 0.8) == [(0, 199, 0, 199)]
 
 
+def test_parts_of_a_chain_against_sets_of_tokens(monkeypatch):
+    """Parts of a chain of runs equal those found by sets of tokens, and the words are not gone through again for each run."""
+    def by_sets(first, last, d, x, y, least, similarity):
+        out, reached = [], -1
+        for s in range(len(first)):
+            good = -1
+            for e in range(s, len(first)):
+                a0, a1, b0, b1 = first[s], max(last[s:e + 1]), first[s] + d[s], max((last + d)[s:e + 1])
+                u, v = set(x[a0:a1 + 1].tolist()), set(y[b0:b1 + 1].tolist())
+                if min(a1 - a0, b1 - b0) + 1 >= least and len(u & v) >= similarity * len(u | v):
+                    good = e
+                    found = (a0, a1, b0, b1)
+            if good > reached:
+                reached = good
+                out.append(found)
+        return out
+
+    rng = np.random.default_rng(14)
+    compared = alone = 0
+    for alphabet in (25, 10 ** 6) * 40:
+        x = rng.integers(0, alphabet, 150).astype(np.uint64)
+        y = x.copy()
+        y[rng.integers(0, 150, 14)] = rng.integers(10 ** 7, 10 ** 8, 14)
+        y = np.delete(np.concatenate([rng.integers(10 ** 8, 10 ** 9, 7).astype(np.uint64), y]), rng.integers(30, 150, 2))
+        first, last, d = passages._equal_runs(x, y)
+        chain = np.flatnonzero((np.abs(d - 6) <= 1) & ((last - first >= 2) | (alphabet > 25)))
+        chain = chain[np.argsort(first[chain], kind="stable")]
+        if not len(chain):
+            continue
+        a, z, d = first[chain], last[chain], d[chain]
+        want = by_sets(a, z, d, x, y, 20, 0.8)
+        assert passages._similar_parts(a, z, d, x, y, 20, 0.8) == want
+        compared += len(want) > 1
+        if passages._alone(a, z, d, x, y):
+            alone += 1
+            assert passages._parts_of_runs(a, z, d, 20, 0.8) == want
+    assert compared > 5 and alone > 5
+    x = np.arange(4000, dtype=np.uint64)
+    y = x.copy()
+    y[::9] += np.uint64(10 ** 6)                                     # 444 runs, no part of which is similar enough
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    assert passages.matching_passages(x, y, 46, 0.9) == []
+    assert len(calls) < 10, len(calls)
+
+
 def test_near_copies_of_passages_against_the_planted_ones(spark):
     """Passages with changed, lost and added words inside other texts: at least nine in ten are found and tied to their source."""
     rng = random.Random(21)
