@@ -124,6 +124,20 @@ def test_toxicity_counts_every_labelled_row(spark, monkeypatch):
     assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in toxicity.classify(docs, model).collect())
 
 
+def test_toxicity_trains_every_part_for_all_epochs(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", 5)
+    data = [(1, f"plain {'vileword' if i % 4 == 0 else 'kind'} w{i}", "en", int(i % 4 == 0)) for i in range(40)]       # one id: all rows in one part
+    docs = spark.createDataFrame(data, "id bigint, text string, lang string, label int")
+    ordered = sorted((label, text) for _, text, _, label in data)
+    texts, y = [t for _, t in ordered], np.array([v for v, _ in ordered], float)
+    counts, n_docs = np.zeros((2, toxicity.BUCKETS), np.int64), np.zeros(2, np.int64)
+    toxicity._own_grams(texts, y, counts, n_docs)
+    start = toxicity.begun(counts, n_docs)
+    got, want, once = toxicity._trained(docs, start, 40), toxicity.train(start, [(texts, y)], toxicity.EPOCHS), toxicity.train(start, [(texts, y)], 1)
+    assert np.allclose(got.weight, want.weight, atol=1e-6) and np.allclose(got.embedding, want.embedding, atol=1e-6)
+    assert not np.allclose(got.weight, once.weight, atol=1e-3)
+
+
 def test_threshold_weighs_rows_by_their_label():
     rng = np.random.default_rng(7)
     y = np.repeat([1.0, 0.0], 200)
