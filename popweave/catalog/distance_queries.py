@@ -288,7 +288,7 @@ def _(t):
     perm = N.permuted_cells(m, [], "u", "k", "n", B)
     cells = cut_lineage(perm.unionByName(m.withColumn("replicate", F.lit(0))).withColumn("z", COL("u") % 5))
     def net(level):
-        mi = D.information(cells, level, "k", "n", ["replicate"])
+        mi = cut_lineage(D.information(cells, level, "k", "n", ["replicate"]).select("replicate", "mi"))
         med = X.quantiles(mi.filter("replicate > 0"), [], "mi", {"m": 0.5})
         return mi.filter("replicate = 0").select("mi").scalar() - med.scalar()
     out = t.region.agg(F.count("*").alias("one")).select(net("u").alias("section_net"), net("z").alias("zone_net"))

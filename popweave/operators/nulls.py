@@ -1,6 +1,6 @@
 """Null models on cells: replicates multiply cells ``(base, unit, category, n)`` and never persons.
 
-A replicate is drawn as counts. The work of one draw grows with the square root of its count, a row holds the category
+A replicate is drawn as counts. The work of one draw grows with its deviation (the square root of its count at most), a row holds the category
 counts of one base or block of units (as many entries as the base has categories), and only cells are shuffled.
 Counts must be whole numbers; null bases, units and categories are values of their own.
 """
@@ -14,7 +14,7 @@ from popweave.functions.counts import binomial_count, hypergeometric_count
 from popweave.functions.draws import draw
 from popweave.operators.distances import unit_distances, weighted_distance
 from popweave.plans.ranking import join_keys, rank_by_draw
-from popweave.session import cut_lineage
+from popweave.session import cut_lineage, salt_count
 
 ROUNDS_IN_A_PLAN = 6
 
@@ -93,6 +93,9 @@ def permuted_cells(cells: DataFrame, base: Sequence[str], unit: str, category: s
         kept = F.filter("__out", lambda e: e[part] > 0)
         return F.struct(node.alias("__node"), size.alias("__size"), F.transform(kept, lambda e: F.struct(e["k"].alias("k"), e[part].alias("n"))).alias("__cats"))
 
+    # a round may be a broadcast join, which leaves blocks where they are: they start from one row a base
+    dealt = lambda blocks: blocks.repartition(salt_count(blocks.sparkSession), "replicate", *base, "__node")       # noqa: E731
+    blocks = dealt(blocks)
     for done, h in enumerate(range(height, 0, -1), 1):
         child = halves.filter(F.col("__h") == h - 1).select(*base, (F.col("__node") / 2).cast("bigint").alias("__node"), "__left")
         j = join_keys(blocks, child, [*base, "__node"])
@@ -101,7 +104,7 @@ def permuted_cells(cells: DataFrame, base: Sequence[str], unit: str, category: s
         two = F.array(side(F.col("__node") * 2, F.col("__left"), "a"), side(F.col("__node") * 2 + 1, F.col("__size") - F.col("__left"), "b"))
         blocks = j.select("replicate", *base, F.inline(two)).filter("__size > 0")
         if done % ROUNDS_IN_A_PLAN == 0:
-            blocks = cut_lineage(blocks)
+            blocks = dealt(cut_lineage(blocks))
     leaves = join_keys(blocks, units.select(*base, F.col("__rank").alias("__node"), unit), [*base, "__node"])
     return leaves.select("replicate", *base, unit, F.inline("__cats").alias(category, "n"))
 

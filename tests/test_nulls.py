@@ -41,6 +41,24 @@ def test_counts_at_the_ends_and_far_out(spark):
     assert abs(x - big / 4) < 5 * math.sqrt(big * 3 / 16) and abs(y - big / 8) < 5 * math.sqrt(big)
 
 
+@pytest.mark.parametrize("size,marked,taken", [(12, 5, 6), (400, 90, 200), (400, 3, 380), (90_000, 30_000, 45_000)])
+def test_draws_far_out_walk_as_far_as_it_takes(spark, size, marked, taken):
+    low, high = max(0, taken + marked - size), min(marked, taken)
+    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)       # noqa: E731
+    p = {x: math.exp(log(marked, x) + log(size - marked, taken - x) - log(size, taken)) for x in range(low, high + 1)}
+    mode = min(high, max(low, (taken + 1) * (marked + 1) // (size + 2)))
+    order = sorted(p, key=lambda x: 2 * (x - mode) - 1 if x > mode else 2 * (mode - x))
+    at = [0.0, 0.31, 0.77, 0.9, 0.999, 0.99999, 1 - 1e-8]
+    got = spark.createDataFrame([(u,) for u in at], "u double").select("u", hypergeometric_count(F.col("u"), F.lit(size), F.lit(marked), F.lit(taken)).alias("x")).collect()
+    for r in got:
+        run = 0.0
+        for x in order:
+            run += p[x] / sum(p.values())
+            if run > r.u:
+                break
+        assert r.x == x, r
+
+
 ROWS = [(f"{b}-{u}-{k}-{i}", b, u, k) for b, units in (("x", 9), (None, 4)) for u in range(units) for k, m in (("p", 13), ("q", 5 + u), (None, 3)) for i in range(m)]
 
 
@@ -101,3 +119,10 @@ def test_results_do_not_depend_on_partitions(cells):
     for f in (N.drawn_cells, N.permuted_cells):
         a, b = (sorted(map(str, f(c, ["b"], "u", "k", "c", 2).collect())) for c in (cells.repartition(1), cells.repartition(7, "k")))
         assert a == b
+
+
+def test_blocks_of_units_are_dealt_to_many_tasks(spark):
+    cells = spark.range(600).select((F.col("id") % 200).alias("u"), (F.col("id") % 3).alias("k"), F.lit(4).alias("c"))
+    got = N.permuted_cells(cells, [], "u", "k", "c", 5)
+    rows = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(rows) > 4 and max(rows) < sum(rows) / 2
