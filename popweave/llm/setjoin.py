@@ -6,16 +6,46 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from popweave.llm.common import Shared, WordHash, components, in_slices, map_slices, mix, shingles, written
-from popweave.llm.neardup import near_duplicates_sql, tokens
+from popweave.llm.common import Shared, components, in_slices, map_slices, mix, shingles, written
+from popweave.llm.neardup import near_duplicates_sql
 
 BUCKET_BITS = 20               # counts that order the shingles, one byte each on every executor
 CHUNK = 1 << 14
 BLOCK = 150                    # sets (or 150,000 shingles) in a block of a list
+PART_BYTES = 1_000_000         # of texts that are taken apart together
+PAIRS = 1_000_000              # of rows of tiles that are compared together
+MAP_BYTES = 16_000_000         # of parity maps that are compared together
+# Words are parted by code points 9 to 13 and 32.
+_IN_WORD = np.array([not (9 <= b <= 13 or b == 32) for b in range(256)])
 
 
-def _set_of(text, words: WordHash, k: int) -> np.ndarray:
-    return np.unique(shingles(words.of(tokens(text)), k)) if text else np.empty(0, np.uint64)
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the texts, in order, and how many words stand before each text (and in all).
+
+    The hash adds up the word's bytes, each times a number that belongs to its place in the word.
+    """
+    buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    at = np.flatnonzero(_IN_WORD[buffer])
+    begins = np.flatnonzero(np.diff(at, prepend=-2) > 1)                   # a word's first byte, among the bytes of words
+    before = np.searchsorted(at[begins], np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    if not len(begins):
+        return np.empty(0, np.uint64), before
+    lengths = np.diff(begins, append=len(at))
+    factor = mix(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    terms = factor[np.arange(len(at)) - np.repeat(begins, lengths)] * (buffer[at].astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat(terms, begins) + lengths.astype(np.uint64)), before
+
+
+def _shingled(texts: list, k: int) -> list[np.ndarray]:
+    """The shingles of every text, in order, from one pass over the words of all."""
+    hashed, before = _word_hashes([t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts])
+    runs = shingles(hashed, k)
+    return [runs[f:t - k + 1] if t - f >= k else shingles(hashed[f:t], k) for f, t in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+
+
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
 def _rarity(docs: DataFrame, k: int) -> Shared:
@@ -23,14 +53,10 @@ def _rarity(docs: DataFrame, k: int) -> Shared:
 
     A task adds up its buckets before anything is shuffled; a megabyte comes to the driver, whatever the input.
     """
-    words = WordHash()
-
     def count(batches):
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for part in in_slices(batches, "text"):
-            for t in part.column("text").to_pylist():
-                if t:
-                    np.add.at(total, (shingles(words.of(tokens(t)), k) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        for part in in_slices(batches, "text", PART_BYTES):
+            np.add.at(total, (np.concatenate(_shingled(part.column("text").to_pylist(), k)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total) // CHUNK), pa.int32()), pa.array([p.tobytes() for p in total.reshape(-1, CHUNK)], pa.binary())], ["chunk", "counts"])
 
     def add(batches):
@@ -75,12 +101,9 @@ def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
 
 def _indexed(docs: DataFrame, rarity: Shared, k: int, percent: int) -> DataFrame:
     """``id``, set size, digest and parity map of the set, and its prefix: the shingles, rarest first, of which similar sets share one."""
-    words = WordHash()
-
     def index(part: pa.RecordBatch) -> dict:
         power, size, digest, prefix, bits = rarity.get(), [], [], [], []
-        for t in part.column("text").to_pylist():
-            s = _set_of(t, words, k)
+        for s in map(_distinct, _shingled(part.column("text").to_pylist(), k)):
             size.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             bits.append(_parity(s) if len(s) else None)
@@ -89,7 +112,7 @@ def _indexed(docs: DataFrame, rarity: Shared, k: int, percent: int) -> DataFrame
             prefix.append(np.sort(np.partition(order, upto - 1)[:upto] if upto else order).view(np.int64))
         return {"id": part.column("id"), "n": size, "digest": digest, "prefix": prefix, "bits": bits}
 
-    return map_slices(docs, index, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary")
+    return map_slices(docs, index, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary", limit=PART_BYTES)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -97,14 +120,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     Only the narrow table of nodes meets the texts; sets are shuffled here for the few nodes whose row is repeated.
     """
-    words = WordHash()
-
     def build(part: pa.RecordBatch) -> dict:
-        sets = [_set_of(t, words, k) for t in part.column("text").to_pylist()]
+        sets = list(map(_distinct, _shingled(part.column("text").to_pylist(), k)))
         same = [len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, part.column("digest").to_pylist(), strict=True)]
         return {"node": [v for v, ok in zip(part.column("node").to_pylist(), same, strict=True) if ok], "shingles": [v.view(np.int64) for v, ok in zip(sets, same, strict=True) if ok]}
 
-    of = lambda few: map_slices(docs.join(nodes.where(few).drop("rows"), "id"), build, "node bigint, shingles array<bigint>")      # noqa: E731
+    of = lambda few: map_slices(docs.join(nodes.where(few).drop("rows"), "id"), build, "node bigint, shingles array<bigint>", limit=PART_BYTES)      # noqa: E731
     return written(of("rows = 1").unionByName(of("rows > 1").dropDuplicates(["node"])), "sets")
 
 
@@ -175,7 +196,69 @@ def _tiles(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     pairs = written(pairs.select("token", F.col("block").alias("x"), F.col("o_block").alias("y")), "pairs")
     ends = pairs.select("token", F.col("x").alias("block"), "x", "y").unionByName(pairs.where("x <> y").select("token", F.col("y").alias("block"), "x", "y"))
     dealt = rows.join(ends, ["token", "block"]).select("token", "x", "y", "block", "node", "n", "pos", "label")
-    return dealt.groupBy("token", "x", "y").applyInArrow(_open_rows(percent), dealt.schema)
+    return _kept_of_tiles(dealt, lambda part: _ends(len(part), *_able_pairs(part, percent)))
+
+
+def _kept_of_tiles(rows: DataFrame, chosen) -> DataFrame:
+    """Rows (without their maps) that ``chosen`` marks in tables of whole tiles; most tiles are tiny, so many share a table."""
+    columns = [c for c in rows.columns if c != "bits"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = (pa.concat_tables([held, part]) if held is not None else part).combine_chunks()
+            at = _tile_starts(part)
+            last = int(at[-1]) if len(at) else 0
+            yield from kept(part.slice(0, last))
+            held = part.slice(last)
+        if held is not None:
+            yield from kept(held)
+
+    def kept(part: pa.Table):
+        at = np.append(_tile_starts(part), len(part))
+        work = np.cumsum(np.diff(at) ** 2)
+        f = 0
+        while f < len(at) - 1:
+            t = max(f + 1, int(np.searchsorted(work, (work[f - 1] if f else 0) + PAIRS, side="right")))
+            some = part.slice(int(at[f]), int(at[t] - at[f])).combine_chunks()
+            yield from some.filter(pa.array(chosen(some))).select(columns).to_batches()
+            f = t
+
+    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, rows.select(*columns).schema)
+
+
+def _tile_starts(part: pa.Table) -> np.ndarray:
+    """Where tiles begin in rows sorted by tile."""
+    if not len(part):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(part), bool)
+    new[0] = True
+    for c in ("token", "x", "y"):
+        v = part.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _able_pairs(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile that may be links that join two labels, by sizes and positions."""
+    n, pos, label, block, x, y = (part.column(c).to_numpy() for c in ("n", "pos", "label", "block", "x", "y"))
+    at = np.append(_tile_starts(part), len(part))
+    after = np.repeat(at[1:], np.diff(at)) - np.arange(len(part)) - 1      # rows of the tile behind this one
+    i = np.repeat(np.arange(len(part)), after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    # pairs inside a block have a tile of their own
+    able = (label[i] != label[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+    i, j = i[able], j[able]
+    able = (100 + percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= percent * (n[i] + n[j])
+    return i[able], j[able]
+
+
+def _ends(rows: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which rows have a pair."""
+    hit = np.zeros(rows, bool)
+    hit[i] = hit[j] = True
+    return hit
 
 
 def _able(group: pa.Table, percent: int) -> np.ndarray:
@@ -188,27 +271,19 @@ def _able(group: pa.Table, percent: int) -> np.ndarray:
     return np.triu(able, 1)
 
 
-def _open_rows(percent: int):
-    def keep(group: pa.Table) -> pa.Table:
-        """Rows of a tile that have a partner, before any whole set is sent to it."""
-        able = _able(group, percent)
-        return group.filter(pa.array(able.any(axis=0) | able.any(axis=1)))
-    return keep
-
-
 def _near_rows(tiles: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Rows of tiles that still have a partner when parity maps are compared."""
-    columns = tiles.columns
-
-    def keep(group: pa.Table) -> pa.Table:
-        able, n, maps = _able(group, percent), group.column("n").to_numpy(), group.column("bits").to_pylist()
-        i, j = np.nonzero(able)
-        ok = (100 + percent) * _apart([maps[v] for v in i], [maps[v] for v in j]) <= (100 - percent) * (n[i] + n[j])
-        hit = np.zeros(len(n), bool)
-        hit[i[ok]] = hit[j[ok]] = True
-        return group.filter(pa.array(hit)).select(columns)
+    def chosen(part: pa.Table) -> np.ndarray:
+        (i, j), n, maps = _able_pairs(part, percent), part.column("n").to_numpy(), part.column("bits").to_pylist()
+        size = np.cumsum(np.array([len(m) for m in maps], np.int64)[i] + np.array([len(m) for m in maps], np.int64)[j])
+        ok, f = np.zeros(len(i), bool), 0
+        while f < len(i):
+            t = max(f + 1, int(np.searchsorted(size, (size[f - 1] if f else 0) + MAP_BYTES, side="right")))
+            ok[f:t] = (100 + percent) * _apart([maps[v] for v in i[f:t]], [maps[v] for v in j[f:t]]) <= (100 - percent) * (n[i[f:t]] + n[j[f:t]])
+            f = t
+        return _ends(len(part), i[ok], j[ok])
 
-    return tiles.join(bits, "node").select(*tiles.columns, "bits").groupBy("token", "x", "y").applyInArrow(keep, tiles.schema)
+    return _kept_of_tiles(tiles.join(bits, "node").select(*tiles.columns, "bits"), chosen)
 
 
 def _answers(percent: int):
@@ -243,7 +318,8 @@ def _answers(percent: int):
 
         def root(v):
             while up.get(v, v) != v:
-                v = up[v] = up.get(up[v], up[v])
+                up[v] = up.get(up[v], up[v])
+                v = up[v]
             return v
 
         need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))

@@ -86,6 +86,33 @@ def test_odd_rows(spark):
         check(spark, rows, parts=1 + seed * 4)
 
 
+def test_tiles_share_a_pass_and_keep_rows_with_a_partner(spark):
+    """Many tiny tiles are gone through together, with the same rows kept as by all pairs."""
+    rnd = random.Random(4)
+    rows = [(rnd.randrange(300), 0, rnd.randrange(2), rnd.randrange(2), i, rnd.choice([50, 80, 100, 101]), rnd.randrange(30), rnd.randrange(3)) for i in range(1500)]
+    tiles = spark.createDataFrame(rows, "token bigint, x bigint, y bigint, block bigint, node bigint, n bigint, pos int, label bigint")
+    bits = spark.createDataFrame([(i, bytes([rnd.choice([0, 0, 0, 1])]) * rnd.choice([32, 64])) for i in range(1500)], "node bigint, bits binary")
+    maps, want = {r["node"]: r["bits"] for r in bits.collect()}, set()
+    for a in rows:
+        for b in rows:
+            able = a[:3] == b[:3] and a[4] != b[4] and a[7] != b[7] and (a[1] == a[2] or a[3] != b[3]) and 180 * min(a[5] - a[6], b[5] - b[6]) >= 80 * (a[5] + b[5])
+            if able and 180 * int(setjoin._apart([maps[a[4]]], [maps[b[4]]])[0]) <= 20 * (a[5] + b[5]):
+                want.add(a)
+    got = setjoin._near_rows(tiles, bits, 80)
+    kept = {tuple(r) for r in got.collect()}
+    assert kept == want
+    assert 30 < len(want) < 1400
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_many_texts_in_one_pass():
+    texts = ["a b c", "", None, " \t A b\x0bc D e f ", "x" * 3000, "x" * 2999 + "y", "Été ЖУК", "été жук", "a B\nc", "\ud800 b"]
+    got = setjoin._shingled(texts, 2)
+    assert [len(g) for g in got] == [max(len(tokens(t)) - 1, min(1, len(tokens(t)))) if t else 0 for t in texts]
+    assert (got[0] == got[8]).all() and (got[0] == got[3][:2]).all() and got[4][0] != got[5][0] and got[6][0] != got[7][0]
+    assert all((a == b).all() for t, a in zip(texts, got, strict=True) for b in setjoin._shingled([t], 2))
+
+
 def test_empty(spark):
     assert setjoin.jaccard_classes(spark.createDataFrame([], SCHEMA)).collect() == []
     assert check(spark, [(1, None), (2, "")]) == 0
